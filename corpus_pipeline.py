@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import exact_dedup, near_dup
+from quillstone.llm import bpe, exact_dedup, mixing, near_dup, queries, toxicity
 from quillstone.llm.common import Scratch, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(docs)
 
@@ -16,7 +20,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dup.kept(docs)
 
 
-STAGES = [("exact_dedup", drop_copies), ("near_dedup", drop_near_copies)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources that the mixture uses more than once give their documents more than once."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, *queries.tokenizer())
+
+
+STAGES = [("toxicity", reject_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("byte_bpe", tokens)]
 
 #: SQL can't express the classifier of the first stage; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -6,9 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dup
+from . import ann, bpe, exact_dedup, mixing, near_dup, sharding, substring_dedup, suffix_dedup, toxicity, word_pieces
 from .common import table
 
+SHARDS, QUERY_EVERY, NEAREST = 24, 20, 20
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def tokenizer() -> tuple[str, str]:
+    """A rank file and the pattern that goes with it; both are parameters of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
+def op1_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "source_key", "tokens", "block", "weight", "copies")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % QUERY_EVERY == 0, k=NEAREST)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.token_counts(table(spark, sf_dir, "documents"), list(bpe.read_ranks(tokenizer()[0])))
+
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
@@ -42,12 +84,50 @@ SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, co
 FROM s LEFT JOIN reach ON reach.id = s.doc_id
 """
 
+#: Sizes, exponent, budgets and blocks as mixing.plan takes them: targets 0.92 and 2, seed "mix".
+SQL_MIX = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s:' || source, 'null') AS source_key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source_key, sum(tokens)::BIGINT AS n, count(*) AS docs FROM d GROUP BY source_key),
+p AS (SELECT source_key, n / (SELECT sum(n) FROM s) AS p FROM s WHERE n > 0),
+coarse AS (SELECT r.k * 1024 AS k FROM range(1025) r(k)),
+c1 AS (SELECT k, ln(sum(pow(p, k / 1048576))) - sum(pow(p, k / 1048576) * (k / 1048576) * ln(p)) / sum(pow(p, k / 1048576)) AS e FROM p, coarse GROUP BY k),
+lo1 AS (SELECT coalesce(max(k), 0) AS k FROM c1 WHERE e >= 0.92 * ln((SELECT count(*) FROM p))),
+fine AS (SELECT k + r.j AS k FROM lo1, range(1025) r(j) WHERE k + r.j <= 1048576),
+f1 AS (SELECT k, ln(sum(pow(p, k / 1048576))) - sum(pow(p, k / 1048576) * (k / 1048576) * ln(p)) / sum(pow(p, k / 1048576)) AS e FROM p, fine GROUP BY k),
+wanted AS (SELECT coalesce(max(k), 0) AS k FROM f1 WHERE e >= 0.92 * ln((SELECT count(*) FROM p))),
+spread AS (SELECT min(p) AS least_p, max(p) AS most_p FROM p),
+limited AS (SELECT coalesce(min(r.k), 1048576) AS k FROM range(1048577) r(k), spread WHERE pow(least_p, r.k / 1048576 - 1) / pow(most_p, r.k / 1048576 - 1) <= 2.0),
+a AS (SELECT CASE WHEN (SELECT count(*) FROM p) < 2 THEN 1.0 ELSE greatest(wanted.k, limited.k) / 1048576 END AS a FROM wanted, limited),
+w AS (SELECT source_key, p, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a) AS weight FROM p, a),
+budget AS (SELECT max(p * (SELECT sum(n) FROM s) / weight) AS b FROM w),
+passes AS (
+  SELECT s.source_key, docs, round(coalesce(weight, 0), 9) AS weight,
+    CASE WHEN n > 0 THEN CAST(floor(round(weight * b, 3)) AS BIGINT) // n ELSE 1 END AS whole, CASE WHEN n > 0 THEN CAST(floor(round(weight * b, 3)) AS BIGINT) % n ELSE 0 END AS rest
+  FROM s LEFT JOIN w ON s.source_key = w.source_key, budget),
+b AS (SELECT d.*, passes.weight, whole, rest, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(sqrt(docs)) AS BIGINT) AS block FROM d JOIN passes ON d.source_key = passes.source_key),
+blocks AS (SELECT source_key, block, sum(tokens) AS t FROM b GROUP BY source_key, block),
+starts AS (SELECT source_key, block, coalesce(sum(t) OVER (PARTITION BY source_key ORDER BY md5('block|' || source_key || '|' || CAST(block AS VARCHAR)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM blocks),
+placed AS (SELECT b.*, start + coalesce(sum(tokens) OVER (PARTITION BY b.source_key, b.block ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b JOIN starts ON b.source_key = starts.source_key AND b.block = starts.block)
+SELECT doc_id, source_key, tokens, block, weight, whole + CASE WHEN before < rest THEN 1 ELSE 0 END AS copies FROM placed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard_bytes": op1_shard_bytes,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_toxicity": op6_toxicity,
+    "op7_nearest": op7_nearest,
     "op8_near_dup": op8_near_dup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_mix_sources": SQL_MIX,
     "op8_near_dup": SQL_NEAR,
     "op9_exact_dedup": SQL_EXACT,
 }

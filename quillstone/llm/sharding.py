@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import Scratch, partitions
@@ -125,7 +126,7 @@ def shard(rows: DataFrame, shards: int, group: str, tie: list[str]) -> DataFrame
             first = np.array([starts[i] - starts[i // per_shard * per_shard] for i in range(len(starts))], np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block, pa.int64()), pa.array(first[block], pa.int64())], names=[*b.schema.names, "_block", "_first"])
 
-    dealt = placed.mapInArrow(run, placed.schema.add("_block", "long").add("_first", "long"))
+    dealt = placed.mapInArrow(run, T.StructType([*placed.schema.fields]).add("_block", "long").add("_first", "long"))
     order = W.partitionBy("_block").orderBy("_key")
     slot = F.col("_first") + F.row_number().over(order) - 1
     return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col("_block") / per_shard).cast("int")).drop("_key", "_block", "_first")

@@ -26,7 +26,7 @@ from .common import Scratch
 
 #: The bound of the training sample, and what a word needs to enter the lexicon.
 FIT_ROWS = 20_000
-LEXICON_WORDS, LEXICON_SHARE, LEXICON_ODDS = 256, 0.05, 2.0
+LEXICON_WORDS, LEXICON_SHARE, LEXICON_DEVIATIONS = 256, 0.05, 3.0
 THRESHOLD = 0.7
 TREES, TREE_DEPTH, STEP = 24, 4, 0.2
 NEAR, WINDOW = 3, 50
@@ -122,7 +122,8 @@ def _lexicon(sample: DataFrame) -> frozenset[str]:
         return frozenset()
     counts = sample.select("text", "toxic").mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
     odds = F.ln((F.col("p") + 0.5) / (pos + 1)) - F.ln((F.col("n") - F.col("p") + 0.5) / (neg + 1))
-    best = counts.filter(F.col("p") >= max(3.0, LEXICON_SHARE * pos)).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_ODDS)
+    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
+    best = counts.filter(F.col("p") >= max(4.0, LEXICON_SHARE * pos)).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_DEVIATIONS * spread)
     return frozenset(r["word"] for r in best.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).select("word").collect())
 
 
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_RO
     vectors = rows_in.select("fold", "toxic", array_to_vector("f").alias("_features")).coalesce(4)
     part = F.pmod(F.col("fold"), F.lit(5))
     learn, check = vectors.filter(part != 0).persist(), vectors.filter(part == 0)
-    trees = GBTClassifier(featuresCol="_features", labelCol="toxic", predictionCol="_prediction", rawPredictionCol="_raw", probabilityCol="_probability", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=7).fit(learn)
+    trees = GBTClassifier(featuresCol="_features", labelCol="toxic", predictionCol="_prediction", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(learn)
     learn.unpersist()
     calibrate = trees.transform(check).select(vector_to_array("_probability")[1].alias("_p"), "toxic")
     if calibrate.isEmpty():
