@@ -21,7 +21,9 @@ REQUIREMENT_ID = r"\b[A-Z]{2,5}-\d{3,}\b"
 DATE_VALUE = r"\d{4}\s*(?:[-./]|년)\s*\d{1,2}\s*(?:[-./]|월)\s*\d{1,2}\s*(?:일)?"
 NUMBER_VALUE = r"\d[\d,]*(?:\.\d+)?\s*(?:원|천원|백만원|만원|억원|일|개월|년|명|건|%|won|krw|days?|months?|years?)?"
 PAGES = [r"(?:p\.?|page|페이지|쪽)\s*[:.]?\s*(\d+)", r"(\d+)\s*(?:p\.?|page|페이지|쪽)\b"]
-NOT_FOUND = r"찾을 수 없|확인할 수 없|관련된 정보를 찾지 못|관련 정보가 없|근거가 없|not found|no information"
+NOT_FOUND = r"찾을 수 없|확인할 수 없|관련된 정보를 찾지 못|관련 정보가 없|근거가 없"
+SENTENCE_ENDS = ".!?다요니까"
+SOURCE_LINE = r"^\s*(?:[-*]\s*)?(?:source|sources|citation|citations|reference|references|file|filename|document|doc|page|section|chunk|출처|근거|파일명|문서|페이지|쪽|섹션|청크|제목|기관|예산|공고일|입찰기간|핵심내용|문서id)\b"
 CLAIM_MIN = 8
 
 # Kinds of queries in the order in which their rules are tried.
@@ -37,7 +39,7 @@ UNKNOWN = "unknown"
 
 # Search settings by kind of query (mode, k, threshold, prompt, several queries), and what the shipped settings override.
 ROUTES = [
-    ("factual", "keyword", 3, 0.0, "basic", False), ("comparative", "hybrid", 5, 0.5, "cot_few", False), ("summarization", "vector", 4, 0.55, "basic", False),
+    ("factual", "keyword", 3, 0.0, "basic", False), ("comparative", "hybrid", 5, 0.5, "cot_few", True), ("summarization", "vector", 4, 0.55, "basic", False),
     ("procedural", "hyde", 3, 0.55, "cot_zero", False), ("analytical", "mmr", 5, 0.5, "cot_zero", True), ("filter_based", "keyword", 5, 0.0, "basic", False), ("unknown", "hybrid", 3, 0.6, "basic", False),
 ]
 ROUTE_OVERRIDES = [
@@ -46,15 +48,16 @@ ROUTE_OVERRIDES = [
 ]
 
 # Markers of queries that only the conversation makes clear.
-ORDINALS = ["첫 번째", "두 번째", "세 번째", "네 번째", "다섯 번째", "첫째", "둘째", "셋째", "1번째", "2번째", "3번째"]
-PLACES = ["앞서", "위의", "위에서", "아래의", "이전", "방금", "아까", "직전", "바로 전", "다시", "재설명", "한 번 더", "좀 더", "더 자세히", "거기서", "거기에서"]
-LINKS = ["그럼", "그렇다면", "그렇면", "그래서", "따라서", "그 경우", "다른 건", "다른 것은"]
-POINTERS = [
-    "그 사업", "이 사업", "해당 사업", "본 사업", "동 사업", "그 용역", "이 용역", "해당 용역", "그 RFP", "이 RFP", "해당 RFP", "그 공고", "이 공고", "해당 공고",
-    "그 문서", "이 문서", "해당 문서", "그 제안요청서", "해당 제안요청서", "그 기관", "이 기관", "해당 기관", "그 발주처", "해당 발주처",
-    *(f"{a} {b}" for b in ("내용", "조건", "금액", "예산", "일정", "결과", "항목", "기준") for a in ("그", "이", "해당")),
+AMBIGUOUS = [
+    "첫 번째", "두 번째", "세 번째", "네 번째", "다섯 번째", "첫째", "둘째", "셋째", "1번째", "2번째", "3번째",
+    "앞서", "위의", "위에서", "아래의", "이전", "방금", "아까", "직전", "바로 전", "다시", "재설명", "한 번 더", "좀 더", "더 자세히",
+    "그 사업", "이 사업", "해당 사업", "본 사업", "동 사업", "그 용역", "이 용역", "해당 용역", "그 RFP", "이 RFP", "해당 RFP",
+    "그 공고", "이 공고", "해당 공고", "그 문서", "이 문서", "해당 문서", "그 제안요청서", "해당 제안요청서",
+    "그 기관", "이 기관", "해당 기관", "그 발주처", "해당 발주처", "거기서", "거기에서",
+    "그 내용", "이 내용", "해당 내용", "그 조건", "이 조건", "해당 조건", "그 금액", "이 금액", "해당 금액", "그 예산", "이 예산", "해당 예산",
+    "그 일정", "이 일정", "해당 일정", "그 결과", "이 결과", "해당 결과", "그 항목", "이 항목", "해당 항목", "그 기준", "이 기준", "해당 기준",
+    "그럼", "그렇다면", "그렇면", "그래서", "따라서", "그 경우", "다른 건", "다른 것은",
 ]
-AMBIGUOUS = ORDINALS + PLACES + POINTERS + LINKS
 
 # Ranking constants.
 RRF_K, HYBRID_RRF_K = 60, 2

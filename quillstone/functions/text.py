@@ -113,8 +113,8 @@ def find_chunk_ids(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({fixed.CHUNK_ID})"), F.lit(1)))
 
 
-def not_found(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"(?i){fixed.NOT_FOUND}")
+def not_found(text: Column, pattern: str = fixed.NOT_FOUND) -> Column:
+    return squeezed(F.coalesce(text, F.lit(""))).rlike(f"(?i){pattern}")
 
 
 def page_match(page: Column, cited: Column) -> Column:

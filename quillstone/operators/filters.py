@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -67,7 +68,7 @@ def text_matches(column: Column, wanted: str, words: str = "all") -> Column:
     if words == "substring":
         return F.contains(text, F.lit(wanted.lower()))
     tokens = F.split(text, r"(?U)[^\w]+")
-    return reduce(lambda a, b: a & b, (F.array_contains(tokens, w) for w in wanted.lower().split()), F.lit(True))
+    return reduce(lambda a, b: a & b, (F.array_contains(tokens, w) for w in re.findall(r"\w+", wanted.lower())), F.lit(True))
 
 
 def from_text(text: Column, announced=fixed.ANNOUNCED, starts=fixed.STARTS, deadline=fixed.DEADLINE, after=fixed.AFTER, before=fixed.BEFORE, **amounts) -> list[Column]:
@@ -101,3 +102,13 @@ def find_organizations(queries: DataFrame, names: DataFrame) -> DataFrame:
     longer = found.select(F.col("query_id").alias("q"), F.col("organization").alias("o"))
     inside = (F.col("query_id") == F.col("q")) & (F.length("o") > F.length("organization")) & F.contains(F.lower("o"), F.lower("organization"))
     return found.join(longer, inside, "left_anti")
+
+
+FIELDS = tuple(f.name for f in fields(MetadataFilter))
+
+
+def merged_columns(own: str, other: str) -> list[Column]:
+    """Filters of many queries merged: fields of the structs own and other; own wins, organizations are joined in order."""
+    none = F.array().cast("array<string>")
+    orgs = F.array_distinct(F.concat(F.coalesce(F.col(f"{own}.organization"), none), F.coalesce(F.col(f"{other}.organization"), none)))
+    return [F.when(F.size(orgs) > 0, orgs).alias("organization"), *(F.coalesce(f"{own}.{f}", f"{other}.{f}").alias(f) for f in FIELDS[1:])]

@@ -32,7 +32,7 @@ def kind(text: Column, rules: list[tuple[str, str]] = fixed.ROUTE_RULES) -> Colu
     """The kind of the first rule that a query meets."""
     out = F.lit(fixed.UNKNOWN)
     for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(text.rlike(f"(?U){pattern}"), name).otherwise(out)
     return out
 
 
@@ -40,7 +40,7 @@ def reason(text: Column, rules: list[tuple[str, str]] = fixed.ROUTE_RULES) -> Co
     """What made that rule match; null without a match."""
     out = F.lit(None).cast("string")
     for _, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), F.regexp_extract(text, f"({pattern})", 1)).otherwise(out)
+        out = F.when(text.rlike(f"(?U){pattern}"), F.regexp_extract(text, f"(?U)({pattern})", 1)).otherwise(out)
     return out
 
 

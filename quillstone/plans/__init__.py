@@ -1,4 +1,6 @@
 """Registered queries: every operator applied to the tables, and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import chunking, dialogue, filters, matching, metrics, rerank, search, text, verify
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "chunking", "dialogue", "filters", "matching", "metrics", "rerank", "search", "text", "verify"]
