@@ -6,6 +6,9 @@ level's own hash function. Nodes of one class vanish, nodes of at most LEAF clas
 ones branch again. A link of similarity s survives a level with probability s, so TREES trees of depth d find it with
 probability 1 - (1 - s^d)^TREES; for s = 0.75 that is 0.9999 at depth 2 and 0.999 at depth 3.
 
+Classes that drop out of a large node one by one would meet nobody. So a large node's classes are also compared with its
+smallest class, and in the second round with HUBS of them that are still in other components.
+
 Comparing goes by sketch (one byte of each of the minwise values; pairs whose estimate is under SKETCH_FLOOR, about
 four deviations below the threshold, are left out), then every remaining pair is confirmed on its full sets. As only
 components are wanted, a leaf is first linked to its smallest class, and afterwards only pairs whose ends are not yet
@@ -18,6 +21,7 @@ empty set, which is linked with nothing. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 16, 8
 LEAF = 256
+#: A large node's classes are compared with so many others of the node before it branches.
+HUBS = 16
 SKETCH_FLOOR = 0.6
 MAX_LEVELS = 48
 
@@ -76,17 +82,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), flat, pa.array(sketch, pa.binary())], schema=SIGNED)
 
 
-def _leaves(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, cid, n, sketch) of every node with 2 to LEAF classes, of all trees."""
+def _leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node, cid, n, sketch) of every node with 2 to LEAF classes, and (node, cid) of every larger one, of all trees."""
     whole = TREES * DEPTH
     at = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
     rows = at.select("cid", "tree", F.xxhash64("tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
-    small, level = [], 1
+    small, wide, level = [], [], 1
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
         level_rows = scratch.save(rows.join(counts, "node"))
         small.append(level_rows.filter(F.col("c") <= LEAF).select("node", "cid"))
         large = level_rows.filter(F.col("c") > LEAF)
+        wide.append(large.select("node", "cid"))
         if level >= MAX_LEVELS or large.isEmpty():
             # Classes that agree on so many minwise tokens are cut into parts by their ids; other trees part them otherwise.
             small.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("c") / LEAF))).alias("node"), "cid"))
@@ -96,10 +103,26 @@ def _leaves(classes: DataFrame, scratch: Scratch) -> DataFrame:
         tokens = [F.get("sig", F.pmod(F.col("tree") * DEPTH + level + i, F.lit(whole))) for i in range(steps)]
         rows = large.join(classes.select("cid", "sig"), "cid").select("cid", "tree", F.xxhash64("node", *tokens).alias("node"))
         level += steps
-    out = small[0]
-    for x in small[1:]:
-        out = out.unionByName(x)
-    return scratch.save(out.join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").select("node", "cid", "n", "sketch"))
+    leaves = reduce(DataFrame.unionByName, small).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
+    return scratch.save(leaves.select("node", "cid", "n", "sketch")), reduce(DataFrame.unionByName, wide)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches allow a link."""
+    for t in batches:
+        na, nb = (t.column(c).to_numpy() for c in ("n_a", "n_b"))
+        a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, TREES * DEPTH) for c in ("sk_a", "sk_b"))
+        ok = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & ((a == b).mean(axis=1) >= SKETCH_FLOOR)
+        yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+
+def _with_hubs(large: DataFrame, classes: DataFrame, ways: int) -> DataFrame:
+    """Each class of a large node (node, cid, label) with the node's hubs of other labels: the smallest class of each of ways parts."""
+    part = F.pmod(F.xxhash64("cid", "node"), F.lit(ways)) if ways > 1 else F.lit(0)
+    hubs = large.groupBy("node", part.alias("_part")).agg(F.min(F.struct("cid", "label")).alias("hub")).select("node", "hub.cid", "hub.label")
+    met = large.alias("x").join(hubs.alias("h"), "node").filter("x.label != h.label").select(F.least("x.cid", "h.cid").alias("a"), F.greatest("x.cid", "h.cid").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sk_{c}"))
+    return met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
 
 
 def _pairs(first: bool):
@@ -176,19 +199,25 @@ def near_dup(docs: DataFrame) -> DataFrame:
     members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = members.groupBy("cid").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "sketch")).alias("x"))
     classes = scratch.save(firsts.select("cid", "x.*"))
-    leaves = _leaves(classes, scratch)
-    ids = leaves.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
-    bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text"))
+    leaves, large = _leaves(classes, scratch)
+    ids = leaves.select("cid").unionByName(large.select("cid")).distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
+    bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text").dropDuplicates(["cid"]))
 
     by_node = leaves.withColumn("label", F.col("cid")).repartition("node").sortWithinPartitions("node")
-    stars = scratch.save(by_node.mapInArrow(_pairs(True), "a long, b long").distinct())
+    own_label = large.withColumn("label", F.col("cid"))
+    stars = scratch.save(by_node.mapInArrow(_pairs(True), "a long, b long").unionByName(_with_hubs(own_label, classes, 1)).distinct())
     links = scratch.save(_confirmed(stars, bodies))
     known = components(links, scratch)
-    labelled = leaves.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    # Only leaves whose classes are still apart have anything left to compare.
-    apart = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
-    open_ = labelled.join(apart, "node", "left_semi").repartition("node").sortWithinPartitions("node")
-    rest = open_.mapInArrow(_pairs(False), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+
+    def still_apart(nodes: DataFrame) -> DataFrame:
+        """With labels; only nodes whose classes aren't yet in one component have anything left to compare."""
+        labelled = nodes.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        apart = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
+        return labelled.join(apart, "node", "left_semi")
+
+    open_ = still_apart(leaves).repartition("node").sortWithinPartitions("node")
+    found = open_.mapInArrow(_pairs(False), "a long, b long").unionByName(_with_hubs(still_apart(large), classes, HUBS))
+    rest = found.distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_confirmed(rest, bodies))
     known = components(links.unionByName(more), scratch)
 
