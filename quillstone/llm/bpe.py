@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-The merges come from a rank file: a token's merge is the pair that lower ranks leave of its bytes. A rank file's bytes
+A text is split by the pattern, and every match is encoded by itself. The library encodes each different piece of a part
+once; what it made of short pieces is remembered, up to a bound. (The regex library splits as the pattern's origin does,
+for every code point, and several times faster than the library's own splitter.) The merges come from a rank file: a token's merge is the pair that lower ranks leave of its bytes. A rank file's bytes
 are written with the usual byte-to-character table, so every byte is one character of the vocabulary. Offsets follow
 from the ids: a token covers as many bytes as it has, and a byte belongs to the character in which it lies; characters
 that are split between tokens are counted for every token that holds a byte of them. Decoding reverses the table, so
@@ -14,8 +16,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Texts of one call to the library hold about so many characters.
+#: Texts that are split at a time hold about so many characters.
 CALL_CHARS = 1 << 20
+#: Pieces that a task remembers, and how long they may be.
+REMEMBER, SHORT = 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,16 +58,16 @@ def _pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 
 @lru_cache(maxsize=4)
-def tokenizer_json(path: str, pattern: str) -> str:
+def tokenizer_json(path: str) -> str:
     """The tokenizer for a rank file as the library's JSON; its size is bounded by the vocabulary."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     ranks, to = read_ranks(path), byte_characters()
     spelt = lambda token: "".join(map(to.__getitem__, token))
     vocab = {spelt(t): r for t, r in ranks.items()}
     merges = [tuple(map(spelt, _pair(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
     t = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
-    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return t.to_str()
 
 
@@ -98,13 +103,33 @@ def calls(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _worker(spec: str):
-    import os
+class Pieces(dict):
+    """The ids of pieces of text, in whatever form make(ids) gives them."""
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    def __init__(self, spec: str, pattern: str, make: Callable[[list[int]], object]):
+        import os
 
-    return Tokenizer.from_str(spec)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer, self.make, found = Tokenizer.from_str(spec), make, regex.compile(pattern)
+        self.split = (lambda t: [m.group() for m in found.finditer(t)]) if found.groups else found.findall
+
+    def of(self, texts: list[str]) -> Iterator[list[object]]:
+        """What each text's pieces were made, in their order."""
+        split = list(map(self.split, texts))
+        new = list(set(chain.from_iterable(split)) - self.keys())
+        for part in calls(new):
+            self.update(zip(part, (self.make(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        for pieces_ in split:
+            yield list(map(self.__getitem__, pieces_))
+        if len(self) > REMEMBER:
+            self.clear()
+        for p in new:
+            if len(p) > SHORT:
+                self.pop(p, None)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -113,14 +138,14 @@ def _column(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """doc_id, ids array<int>, and with offsets: byte_ends, char_starts and char_ends array<int>."""
-    spec = tokenizer_json(path, pattern)
+    spec = tokenizer_json(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, length = _worker(spec), np.array(list(map(len, token_bytes(spec))), np.int64)
+        known, length = Pieces(spec, pattern, list), np.array(list(map(len, token_bytes(spec))), np.int64)
         for batch in pieces(batches):
             at = 0
             for part in calls(_column(batch, "text")):
-                found = [np.array(e.ids, np.int32) for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                found = [np.fromiter(chain.from_iterable(own), np.int32) for own in known.of(part)]
                 cols = [batch.column("doc_id").slice(at, len(part)), pa.array(found, pa.list_(pa.int32()))]
                 if offsets:
                     spans = [char_offsets(s, length[ids]) for s, ids in zip(part, found, strict=True)]
@@ -133,9 +158,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return rows.mapInArrow(run, "doc_id long, ids array<int>" + more)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, data binary: the bytes of the ids; null ids give no bytes, ids outside the vocabulary fail."""
-    spec = tokenizer_json(path, pattern)
+    spec = tokenizer_json(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = token_bytes(spec)
@@ -148,19 +173,19 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, in one pass over the texts."""
-    spec = tokenizer_json(path, pattern)
+    spec = tokenizer_json(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, own = _worker(spec), token_bytes(spec)
-        spelt = [str(i) for i in range(len(own))]
+        own = token_bytes(spec)
+        known = Pieces(spec, pattern, lambda ids: (len(ids), " ".join(map(str, ids)), b"".join(map(own.__getitem__, ids))))
         for batch in pieces(batches):
             n, sha, back = [], [], []
             for part in calls(_column(batch, "text")):
-                for e in t.encode_batch_fast(part, add_special_tokens=False):
-                    ids = e.ids
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(" ".join(map(spelt.__getitem__, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join(map(own.__getitem__, ids))).hexdigest())
+                for made in known.of(part):
+                    counts, written, data = zip(*made, strict=True) if made else ((), (), ())
+                    n.append(sum(counts))
+                    sha.append(hashlib.sha256(" ".join(written).encode()).hexdigest())
+                    back.append(hashlib.sha256(b"".join(data)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
