@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is learned: words, with look-alike characters put back, that a share of the toxic texts hold and others
-hardly do. Features are rates of a text's words and characters: lexicon densities (overall, found only after look-alike
+The lexicon is learned: words, with look-alike characters put back, and stems, from which a text has several words, that a
+share of the toxic texts hold and others hardly do. Features are rates of a text's words and characters: lexicon densities (overall, found only after look-alike
 characters were put back, the densest window), hits near a second-person word, capitals, punctuation and obfuscation.
 Spark's gradient-boosted trees learn from four fifths of the sample, its isotonic regression calibrates on the rest.
 
@@ -14,6 +14,7 @@ sample lacks one of the classes, every score is the share of toxic rows (0 witho
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import Scratch
 
 #: The bound of the training sample, and what a word needs to enter the lexicon.
 FIT_ROWS = 20_000
-LEXICON_WORDS, LEXICON_SHARE, LEXICON_DEVIATIONS = 256, 0.05, 3.0
+LEXICON_WORDS, LEXICON_SHARE, LEXICON_DEVIATIONS = 512, 0.02, 3.0
+#: Lengths of stems, and what marks one in the lexicon.
+STEM, MARK = range(4, 9), "*"
 THRESHOLD = 0.7
 TREES, TREE_DEPTH, STEP = 24, 4, 0.2
 NEAR, WINDOW = 3, 50
@@ -59,8 +62,9 @@ class Codes(dict):
             self.clear()
         bare, back = plain(token)
         core = token.strip(".,;:!?\"'()[]{}<>#%&*-_~=+/\\")
-        code = HIT if bare in self.lexicon or back in self.lexicon else 0
-        code |= HIDDEN if code and bare not in self.lexicon else 0
+        known = lambda w: w in self.lexicon or any(w[:n] + MARK in self.lexicon for n in STEM if n < len(w))
+        code = HIT if known(bare) or known(back) else 0
+        code |= HIDDEN if code and not known(bare) else 0
         code |= SECOND if bare in YOU else 0
         code |= CAPS if len(bare) > 1 and core.isupper() else 0
         code |= MIXED if bare and not core.isalpha() and any(c in "0134578@$!|*#" for c in core) else 0
@@ -114,7 +118,9 @@ def _lexicon(sample: DataFrame) -> frozenset[str]:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                own = sorted({x for w in set((t or "").split()) for x in plain(w) if len(x) > 2})
+                own = {x for w in set((t or "").split()) for x in plain(w) if len(x) > 2}
+                stems = Counter(w[:n] + MARK for w in own for n in STEM if n < len(w))
+                own = sorted(own | {x for x, k in stems.items() if k > 1})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["word", "toxic"])
 
     pos, neg = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
