@@ -77,9 +77,10 @@ def anchors(rows: DataFrame, unit: Unit) -> DataFrame:
 
 def repeated(rows: DataFrame, unit: Unit, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Occurrences of repeated anchors, once each; and their contexts: anchor, digest, first, n, contexts, least_n."""
-    found = anchors(rows, unit)
+    found = scratch.save(anchors(rows, unit))  # written, as it is read twice and costs more than it takes
     again = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     places = scratch.save(found.join(again, "anchor", "left_semi"))
+    scratch.drop(found)
     own = places.groupBy("anchor", "digest").agg(F.min(F.struct("did", "uid", "pos")).alias("first"), F.max(F.struct("did", "uid", "pos")).alias("last"), F.count("*").alias("n"))
     own = own.withColumn("n", F.when(F.col("first") == F.col("last"), 1).otherwise(F.col("n"))).drop("last")
     groups = own.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least_n"))
