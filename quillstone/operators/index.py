@@ -26,7 +26,7 @@ def flattened(items: DataFrame) -> DataFrame:
     own_id = F.coalesce(given("id"), inner("chunk_id"))
     content = F.coalesce(F.nullif(inner("content"), F.lit("")), given("content") if "content" in items.columns else F.lit(None), F.lit(""))
     rest = [inner(n).alias(n) for n in ("doc_id", "file_name", "title", "page_number", "section_title", "requirement_id")]
-    return items.select(own_id.alias("id"), F.coalesce(F.nullif(inner("chunk_id"), F.lit("")), F.col("id")).alias("chunk_id"), *rest, content.alias("content"))
+    return items.select(own_id.alias("id"), F.coalesce(F.nullif(inner("chunk_id"), F.lit("")), own_id).alias("chunk_id"), *rest, content.alias("content"))
 
 
 def points(chunks: DataFrame, provider: str = "local") -> DataFrame:

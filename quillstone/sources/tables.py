@@ -28,7 +28,11 @@ def header_map(columns: list[str], headers: dict[str, str] = HEADERS) -> dict[st
 
 
 def read_metadata(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "EUC-KR"), headers: dict[str, str] = HEADERS) -> DataFrame:
-    """All fields as text but budget; file_key and ordinal (order of rows in the file) besides. The first encoding whose header has the file name's column counts."""
+    """All fields as text but budget; file_key and ordinal (order of rows in the file) besides. The first encoding whose header has the file name's column counts.
+
+    Of Java's charsets Spark takes only a few unless the session allows all of them, so it is told to.
+    """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for encoding in encodings:
         raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding, inferSchema=False)
         found = header_map(raw.columns, headers)
