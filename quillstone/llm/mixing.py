@@ -105,5 +105,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mixture uses them, with all their columns."""
     uses = plan(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
     joined = docs.join(uses, docs["doc_id"].cast("long").eqNullSafe(uses["_id"]) & (F.xxhash64(docs["text"].cast("string")) == uses["_key"]))
-    columns = [docs[c] for c in docs.columns]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_pass")).drop("_pass")
+    each = F.explode(F.sequence(F.lit(1), uses["_copies"])).alias("use")
+    return joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), each).select("row.*")

@@ -140,17 +140,17 @@ class Model:
         self.lexicon, self.trees, self.steps, self.base = lexicon, trees, steps, base
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with a column _score from 0 to 1."""
+        """row (a struct of docs' columns, whatever their names) and score, from 0 to 1."""
+        rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
         if self.trees is None:
-            return docs.withColumn("_score", F.lit(float(self.base)))
+            return rows.withColumn("score", F.lit(float(self.base)))
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
-        rows = docs.withColumn("_features", array_to_vector(_feature_column(self.lexicon, F.col("text").cast("string"))))
+        rows = rows.withColumn("_features", array_to_vector(_feature_column(self.lexicon, F.col("row.text").cast("string"))))
         out = self.trees.transform(rows).withColumn("_p", vector_to_array("_probability")[1])
-        out = self.steps.transform(out)
         # The calibration has flat steps; a small part of the trees' own value keeps the order within a step.
         score = F.least(F.greatest(0.995 * F.col("_calibrated") + 0.005 * F.col("_p"), F.lit(0.0)), F.lit(1.0))
-        return out.select(*docs.columns, score.alias("_score"))
+        return self.steps.transform(out).select("row", score.alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS) -> Model:
@@ -187,10 +187,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels, Scratch(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = model.score(rows)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    scored = fit(docs, labels, Scratch(docs.sparkSession)).score(docs)
-    return scored.filter(F.col("_score") < THRESHOLD).drop("_score")
+    return fit(docs, labels, Scratch(docs.sparkSession)).score(docs).filter(F.col("score") < THRESHOLD).select("row.*")

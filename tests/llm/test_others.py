@@ -219,3 +219,19 @@ def test_stages_against_plain_versions(spark, tmp_path):
         docs = out
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, empty and long texts, repeated rows, columns that clash with the operators' own, an empty table."""
+    extra = ["_id", "_key", "_copies", "_pass", "_score", "score", "row", "use", "_features", "_p", "_probability", "key", "text_key", "cid", "sig", "label"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(1, None, None, None, None), (None, "a b", None, "s", 3), (2, "", "en", "s", 0), (3, "long " * 40_000, "en", "s", 9), (4, "x y", "en", None, 3), (4, "x y", "en", None, 3)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    for own in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, own, SF)
+            got = out.collect()
+            if name != "byte_bpe":
+                assert out.columns == docs.columns
+                assert all(tuple(r)[5:] == tuple(extra) for r in got)
+            assert (len(got) > 0) == (own is docs)
