@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_score, squeezed, token_set
+from ..functions.text import lexical_score, token_set
 from ..operators import rerank, search
 from .registry import query, sql_squeeze, sql_token_set, table
 from .search import POOL, asked, keyword_hits, sql_keyword
@@ -134,6 +134,3 @@ def rerank_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One list under the constant of multi-query fusion, ranks from 1."""
     return search.fuse([keyword_hits(spark, sf_dir, 10)], 10, 60, 1).select("query_id", "point_id", "score")
-
-
-__all__ = ["hits", "squeezed"]

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.udfs import embed
 from ..operators import context, index
 from ..operators.verify import evidence_text
-from .registry import TOKEN, query, sql_compact, sql_hash, sql_squeeze, sql_token_set, sql_tokens, table
+from .registry import query, sql_compact, sql_hash, sql_squeeze, sql_token_set, sql_tokens, table
 from .rerank import SQL_HITS, hits
 
 
@@ -183,6 +183,3 @@ def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct(F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.col("l_linenumber").cast("string").alias("text"))
     own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
     return own.select("l_orderkey", F.array_join(T.reading_order(F.col("boxes")), " ").alias("line"))
-
-
-__all__ = ["TOKEN", "chunks", "digest"]
