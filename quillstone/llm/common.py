@@ -83,17 +83,40 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each k consecutive items: one for each start, none if there are fewer."""
+    """Hashes of each k consecutive items (whose own hashes are well mixed): one for each start, none if there are fewer."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(n, np.uint64)
         for i in range(k):
-            total = total * BASE + mixed(hashes[i : i + n])
+            total *= BASE
+            total += hashes[i : i + n]
     return mixed(total)
 
 
+class Powers:
+    """Powers of BASE and of its inverse, as far as they have been needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+            size = max(n + 1, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (BASE, inverse))
+        return self.up, self.down
+
+
+def slices(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hashes of hashes[start:end], whatever their lengths, by differences of one running sum."""
+    up, down = powers.of(len(hashes))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * down[: len(hashes)], dtype=np.uint64)))
+        return mixed((sums[end] - sums[start]) * up[end] + (seed.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Sorted positions that hold the rightmost least value of some window of that width (winnowing).
 

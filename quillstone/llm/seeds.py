@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +30,12 @@ LIMIT = 512
 
 @dataclass(frozen=True)
 class Unit:
-    """split: a text's units as something that can be sliced; grams: the hash of each k units; raw: the bytes of a slice."""
+    """make gives a function of a text: its units' hashes of each k (grams), the bytes of a slice (raw), and digests of
+    contexts at some positions (start, end, units before the anchor)."""
 
     window: int
     gram: int
-    make: Callable[[], Callable[[bytes], tuple[object, np.ndarray, Callable[[int, int], bytes]]]]
+    make: Callable[[], Callable[[bytes], tuple[np.ndarray, Callable[[int, int], bytes], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]]]
 
     @property
     def reach(self) -> int:
@@ -57,19 +57,18 @@ ANCHORS = "anchor long, digest long, did long, uid long, pos int"
 def anchors(rows: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = unit.make()
-        digest = xxhash.xxh3_64_intdigest
         for batch in pieces(batches, 128):
             found, digests, places, counts = [], [], [], []
             for t in texts(batch.column("text")):
-                _, grams, raw = split(t)
+                grams, _, digest = split(t)
                 at = window_minima(grams, unit.reach + 1)
                 n = len(grams) + unit.gram - 1
                 found.append(grams[at])
-                digests += [digest(raw(*context(p, n, unit)), min(p, unit.reach)) for p in at.tolist()]
+                digests.append(digest(np.maximum(at - unit.reach, 0), np.minimum(at + unit.window, n), np.minimum(at, unit.reach)))
                 places.append(at)
                 counts.append(len(at))
             did, uid = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts) for c in ("did", "uid"))
-            cols = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(did), pa.array(uid), pa.array(np.concatenate(places).astype(np.int32))]
+            cols = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(digests).view(np.int64)), pa.array(did), pa.array(uid), pa.array(np.concatenate(places).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["anchor", "digest", "did", "uid", "pos"])
 
     return rows.select("did", "uid", "text").mapInArrow(run, ANCHORS)
@@ -99,7 +98,7 @@ def segments(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
         for batch in pieces(batches, 32):
             out = []
             for did, uid, t, xs in zip(batch.column("did").to_pylist(), batch.column("uid").to_pylist(), texts(batch.column("text")), batch.column("xs").to_pylist(), strict=True):
-                _, grams, raw = split(t)
+                grams, raw, _ = split(t)
                 n = len(grams) + unit.gram - 1
                 out += [(x["anchor"], x["digest"], x["n"], did, uid, x["pos"], x["hot"], raw(*context(x["pos"], n, unit))) for x in xs]
             cols = list(zip(*out, strict=True)) or [[]] * 8

@@ -22,18 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seeds
-from .common import Scratch, WordHashes, pieces, runs, texts
+from .common import Powers, Scratch, WordHashes, pieces, runs, slices, texts
 
 WINDOW, GRAM = 20, 6
 
 
 def _make():
-    hashes = WordHashes()
+    hashes, powers = WordHashes(), Powers()
 
     def split(t: bytes):
-        words = t.split()
-        h = hashes.of(words)
-        return words, runs(h, GRAM), lambda s, e: h[s:e].tobytes()
+        h = hashes.of(t.split())
+        return runs(h, GRAM), lambda s, e: h[s:e].tobytes(), lambda s, e, left: slices(h, s, e, left, powers)
 
     return split
 

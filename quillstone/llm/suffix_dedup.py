@@ -32,6 +32,8 @@ WINDOW, GRAM_DOUBLINGS = 200, 6
 GRAM = 1 << GRAM_DOUBLINGS
 #: Segments of one suffix array hold about so many bytes; an anchor's segments stay together.
 ARRAY_BYTES = 1 << 16
+#: Places in sorted order up to which a context that holds another one is looked for.
+NEIGHBOURS = 4
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -40,15 +42,17 @@ def _make():
     def split(t: bytes):
         raw = np.frombuffer(t, np.uint8)
         n = len(raw) - GRAM + 1
+        raw_of = lambda s, e: t[s:e]
+        digests = lambda s, e, left: np.array([xxhash.xxh3_64_intdigest(t[a:b], k) for a, b, k in zip(s.tolist(), e.tolist(), left.tolist(), strict=True)], np.uint64)
         if n <= 0:
-            return t, np.empty(0, np.uint64), lambda s, e: t[s:e]
+            return np.empty(0, np.uint64), raw_of, digests
         h, factor = _BYTE[raw], BASE
         with np.errstate(over="ignore"):
             for i in range(GRAM_DOUBLINGS):
                 w = 1 << i
                 h = h[:-w] * factor + h[w:]
                 factor = factor * factor
-        return t, mixed(h), lambda s, e: t[s:e]
+        return mixed(h), raw_of, digests
 
     return split
 
@@ -127,12 +131,88 @@ def suffix_array(text: bytes) -> list[int]:
     return order
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _reaches(sides: list[bytes]) -> list[int]:
+    """How far each side agrees with the one that agrees with it the longest."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(sides[i], sides[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def narrowed(contexts: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """(contexts, hits) of one anchor's contexts (n, did, uid, pos, segment), no two of them equal.
+
+    What lies farther from the anchor than a context agrees with any other can't be in a repeated window: segments are cut
+    there, and those that are left too short for a window are put aside. Remains that equal another's, or a part of
+    another's around the anchor, are copies: repeats as they are (hits, for both), and the other one stands for them. Where
+    nothing is left to compare it with, it is done too.
+    """
+    lefts = [min(x[3], REACH) for x in contexts]
+    most_left = _reaches([x[4][:a][::-1] for x, a in zip(contexts, lefts, strict=True)])
+    most_right = _reaches([x[4][a + GRAM :] for x, a in zip(contexts, lefts, strict=True)])
+    same: dict[tuple[int, bytes], list[tuple]] = {}
+    for x, a, l, r in zip(contexts, lefts, most_left, most_right, strict=True):
+        if l + r >= REACH:
+            same.setdefault((l, x[4][a - l : a + GRAM + r]), []).append(x)
+    hits: list[tuple] = []
+
+    def mark(own: list[tuple], l: int, r: int) -> None:
+        mask = np.zeros(REACH + 1, bool)
+        mask[max(0, REACH - r) : l + 1] = True
+        bits = seeds.packed(mask)
+        hits.extend((*x[1:4], bits) for x in own if x[0] == 1)
+
+    items = [(l, len(segment) - GRAM - l, segment, own) for (l, segment), own in same.items()]
+    whole = _containing(items)
+    for (l, r, _, own), by in zip(items, whole, strict=True):
+        if len(own) > 1 or by is not None:
+            mark(own, l, r)
+        if by is not None and len(items[by][3]) == 1:
+            mark(items[by][3], l, r)
+    rest = [(max(own[0][0], len(own)), *own[0][1:4], l, segment) for (l, _, segment, own), by in zip(items, whole, strict=True) if by is None]
+    return rest if len(rest) > 1 and any(x[0] == 1 for x in rest) else [], hits
+
+
+def _containing(items: list[tuple]) -> list[int | None]:
+    """For (left, right, segment, ...) an item that holds the segment around the anchor and more; the nearest in either order are tried."""
+    out: list[int | None] = [None] * len(items)
+    orders = (sorted(range(len(items)), key=lambda i: items[i][2][: items[i][0]][::-1]), sorted(range(len(items)), key=lambda i: items[i][2][items[i][0] :]))
+    for order in orders:
+        for step in range(1, NEIGHBOURS + 1):
+            for i, j in zip(order, order[step:], strict=False):
+                for x, y in ((i, j), (j, i)):
+                    (l, r, segment, *_), (ly, ry, other, *_) = items[x], items[y]
+                    if out[x] is None and l <= ly and r <= ry and other[ly - l : ly + GRAM + r] == segment:
+                        out[x] = y
+    return out
+
+
 def repeats(contexts: list[tuple]) -> list[tuple]:
-    """(did, uid, pos, windows) of contexts (n, did, uid, pos, segment) that occur once but hold windows found elsewhere."""
-    text = b"".join(x[4] for x in contexts)
+    """(did, uid, pos, windows) of contexts (n, did, uid, pos, left, segment) that occur once but hold windows found elsewhere.
+
+    left: how much of the segment lies before the anchor at pos.
+    """
+    text = b"".join(x[5] for x in contexts)
     owner: list[int] = [-1] * len(text)
     starts, at = [], 0
-    for j, (_, _, _, _, segment) in enumerate(contexts):
+    for j, (*_, segment) in enumerate(contexts):
         starts.append(at)
         fit = max(0, len(segment) - WINDOW + 1)
         owner[at : at + fit] = [j] * fit
@@ -142,15 +222,15 @@ def repeats(contexts: list[tuple]) -> list[tuple]:
     def mark(run: list[int]) -> None:
         places = set()
         for p in run:
-            n, did, uid, pos, _ = contexts[j := owner[p]]
-            places.add((did, uid, pos - min(pos, REACH) + p - starts[j]))
+            n, did, uid, pos, left, _ = contexts[j := owner[p]]
+            places.add((did, uid, pos - left + p - starts[j]))
             if n > 1:
                 places.add(j)
         if len(places) > 1:
             for p in run:
-                n, _, _, pos, _ = contexts[j := owner[p]]
+                n, _, _, _, left, _ = contexts[j := owner[p]]
                 if n == 1:
-                    masks.setdefault(j, np.zeros(REACH + 1, bool))[min(pos, REACH) - (p - starts[j])] = True
+                    masks.setdefault(j, np.zeros(REACH + 1, bool))[left - (p - starts[j])] = True
 
     run: list[int] = []
     for p in suffix_array(text):
@@ -175,19 +255,41 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments come by anchor. Several anchors share a suffix array; windows with equal places are one place."""
+    """Segments come by anchor. They are narrowed, then several anchors share a suffix array; windows with equal places are one place."""
     held: list[tuple] = []
-    size, last = 0, None
+    group: list[tuple] = []
+    out: list[tuple] = []
+    size, last = 0, (None, None)
+
+    def close() -> None:
+        nonlocal size
+        rest, hits = narrowed(group)
+        out.extend(hits)
+        held.extend(rest)
+        size += sum(len(x[5]) for x in rest)
+        group.clear()
+        if size >= ARRAY_BYTES:
+            sort()
+
+    def sort() -> None:
+        nonlocal size
+        out.extend(repeats(held))
+        held.clear()
+        size = 0
+
     for b in batches:
         for x in zip(*(b.column(c).to_pylist() for c in ("anchor", "digest", "n", "did", "uid", "pos", "segment")), strict=True):
-            if size >= ARRAY_BYTES and x[0] != last[0]:
-                yield _batch(repeats(held))
-                held, size = [], 0
+            if x[0] != last[0]:
+                close()
             if x[:2] != last:  # else a repeated row has brought a context again
-                held.append(x[2:])
-                size += len(x[6])
+                group.append(x[2:])
             last = x[:2]
-    yield _batch(repeats(held))
+        if len(out) > 4096:
+            yield _batch(out)
+            out.clear()
+    close()
+    sort()
+    yield _batch(out)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
