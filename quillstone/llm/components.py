@@ -21,6 +21,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
+def merged(links: DataFrame, scratch: Scratch, rounds: int = 1) -> DataFrame:
+    """(id, label) after a few rounds: ids of equal label are in one component, which may still have several labels."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    for _ in range(rounds):
+        edges = scratch.save(_stars(_stars(edges, True), False))
+    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
+
+
 def components(links: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """links: (a, b) longs. Returns (id, label): the smallest id reachable, for every id that has a link to a smaller one."""
     edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())

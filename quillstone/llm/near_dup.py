@@ -6,13 +6,14 @@ level's own hash function. Nodes of one class vanish, nodes of at most LEAF clas
 ones branch again. A link of similarity s survives a level with probability s, so TREES trees of depth d find it with
 probability 1 - (1 - s^d)^TREES; for s = 0.75 that is 0.9999 at depth 2 and 0.999 at depth 3.
 
-Classes that drop out of a large node one by one would meet nobody. So a large node's classes are also compared with its
-smallest class, and in the second round with HUBS of them that are still in other components.
+Before anything branches, the classes of each first node of some trees are compared with its smallest one, and those of
+large nodes that are outside the node's main component then with HUBS others: that joins groups of near copies at linear cost, and catches
+classes that would drop out of a large node one by one and meet nobody.
 
 Comparing goes by sketch (one byte of each of the minwise values; pairs whose estimate is under SKETCH_FLOOR, about
 four deviations below the threshold, are left out), then every remaining pair is confirmed on its full sets. As only
-components are wanted, a leaf is first linked to its smallest class, and afterwards only pairs whose ends are not yet
-in one component are confirmed: that loses no component and keeps dense groups linear.
+components are wanted, only nodes that still hold several components branch, and only pairs whose ends are not yet in one
+component are confirmed: that loses no component and keeps dense groups linear.
 
 Nulls: rows with a null id take no part in links; their component is null and they stay. A null or empty text has an
 empty set, which is linked with nothing. Empty tables give empty results.
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mixed, pieces, runs, texts
-from .components import components
+from .components import components, merged
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH = 16, 8
 LEAF = 256
-#: A large node's classes are compared with so many others of the node before it branches.
-HUBS = 16
+#: A large node's outsiders are compared with so many others of the node before it branches.
+HUBS = 8
+#: Trees whose first nodes are compared with hubs.
+HUB_TREES = 4
 SKETCH_FLOOR = 0.6
 MAX_LEVELS = 48
 
@@ -82,29 +85,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), flat, pa.array(sketch, pa.binary())], schema=SIGNED)
 
 
-def _leaves(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, cid, n, sketch) of every node with 2 to LEAF classes, and (node, cid) of every larger one, of all trees."""
-    whole = TREES * DEPTH
-    at = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    rows = at.select("cid", "tree", F.xxhash64("tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
-    small, wide, level = [], [], 1
+def _leaves(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, cid, label) of every node of 2 to LEAF classes that are still apart. rows: (node, cid, tree, label) of the first level.
+
+    Nodes whose classes are all in one component have nothing left to find, and don't branch.
+    """
+    small, level = [], 1
     while True:
-        counts = rows.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
-        level_rows = scratch.save(rows.join(counts, "node"))
-        small.append(level_rows.filter(F.col("c") <= LEAF).select("node", "cid"))
-        large = level_rows.filter(F.col("c") > LEAF)
-        wide.append(large.select("node", "cid"))
+        counts = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
+        here = scratch.save(rows.join(counts, "node"))
+        small.append(here.filter(F.col("c") <= LEAF).select("node", "cid", "label"))
+        large = here.filter(F.col("c") > LEAF)
         if level >= MAX_LEVELS or large.isEmpty():
             # Classes that agree on so many minwise tokens are cut into parts by their ids; other trees part them otherwise.
-            small.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("c") / LEAF))).alias("node"), "cid"))
-            break
+            small.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("c") / LEAF))).alias("node"), "cid", "label"))
+            return reduce(DataFrame.unionByName, small)
         # A level goes by one more token, deeper ones by two, then three: nodes that are still large shrink slowly.
         steps = 1 if level < 4 else 2 if level < 10 else 3
-        tokens = [F.get("sig", F.pmod(F.col("tree") * DEPTH + level + i, F.lit(whole))) for i in range(steps)]
-        rows = large.join(classes.select("cid", "sig"), "cid").select("cid", "tree", F.xxhash64("node", *tokens).alias("node"))
+        tokens = [F.get("sig", F.pmod(F.col("tree") * DEPTH + level + i, F.lit(TREES * DEPTH))) for i in range(steps)]
+        rows = large.join(classes.select("cid", "sig"), "cid").select(F.xxhash64("node", *tokens).alias("node"), "cid", "tree", "label")
         level += steps
-    leaves = reduce(DataFrame.unionByName, small).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid")
-    return scratch.save(leaves.select("node", "cid", "n", "sketch")), reduce(DataFrame.unionByName, wide)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,23 +116,27 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _with_hubs(large: DataFrame, classes: DataFrame, ways: int) -> DataFrame:
-    """Each class of a large node (node, cid, label) with the node's hubs of other labels: the smallest class of each of ways parts."""
-    part = F.pmod(F.xxhash64("cid", "node"), F.lit(ways)) if ways > 1 else F.lit(0)
-    hubs = large.groupBy("node", part.alias("_part")).agg(F.min(F.struct("cid", "label")).alias("hub")).select("node", "hub.cid", "hub.label")
-    met = large.alias("x").join(hubs.alias("h"), "node").filter("x.label != h.label").select(F.least("x.cid", "h.cid").alias("a"), F.greatest("x.cid", "h.cid").alias("b")).distinct()
+def _with_hubs(rows: DataFrame, hubs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (node, cid, label) with the hubs (node, cid, label) of their nodes that have other labels, if their sketches allow a link."""
+    met = rows.alias("x").join(hubs.alias("h"), "node").filter("x.label != h.label").select(F.least("x.cid", "h.cid").alias("a"), F.greatest("x.cid", "h.cid").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sk_{c}"))
     return met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
 
 
-def _pairs(first: bool):
-    """Candidates of each leaf whose sizes and sketches allow a link; rows come by node. first: with the smallest class only."""
+def _outsiders(rows: DataFrame) -> DataFrame:
+    """Rows of each node that don't have its most frequent label."""
+    most = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    return rows.join(most, "node").filter("label != most")
+
+
+def _pairs():
+    """Candidates of each leaf whose sizes and sketches allow a link; rows come by node."""
 
     def of(cid: np.ndarray, n: np.ndarray, sk: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(cid)
         cid, n, sk, label = cid[order], n[order], sk[order], label[order]
         left, right = [], []
-        for i in range(1 if first else len(cid) - 1):
+        for i in range(len(cid) - 1):
             rest = slice(i + 1, None)
             ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
             ok &= (sk[rest] == sk[i]).mean(axis=1) >= SKETCH_FLOOR
@@ -199,27 +203,33 @@ def near_dup(docs: DataFrame) -> DataFrame:
     members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = members.groupBy("cid").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "sketch")).alias("x"))
     classes = scratch.save(firsts.select("cid", "x.*"))
-    leaves, large = _leaves(classes, scratch)
-    ids = leaves.select("cid").unionByName(large.select("cid")).distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
+    trees = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
+    rows_1 = trees.select("cid", "tree", F.xxhash64("tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
+    first = rows_1.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1")
+    nodes = scratch.save(rows_1.join(first, "node"))
+    ids = nodes.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
     bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text").dropDuplicates(["cid"]))
 
-    by_node = leaves.withColumn("label", F.col("cid")).repartition("node").sortWithinPartitions("node")
-    own_label = large.withColumn("label", F.col("cid"))
-    stars = scratch.save(by_node.mapInArrow(_pairs(True), "a long, b long").unionByName(_with_hubs(own_label, classes, 1)).distinct())
-    links = scratch.save(_confirmed(stars, bodies))
-    known = components(links, scratch)
-
-    def still_apart(nodes: DataFrame) -> DataFrame:
-        """With labels; only nodes whose classes aren't yet in one component have anything left to compare."""
-        labelled = nodes.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        apart = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
-        return labelled.join(apart, "node", "left_semi")
-
-    open_ = still_apart(leaves).repartition("node").sortWithinPartitions("node")
-    found = open_.mapInArrow(_pairs(False), "a long, b long").unionByName(_with_hubs(still_apart(large), classes, HUBS))
-    rest = found.distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(_confirmed(rest, bodies))
-    known = components(links.unionByName(more), scratch)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return scratch.save(_confirmed(pairs, bodies))
+
+    def labelled(some: DataFrame, known: DataFrame) -> DataFrame:
+        return some.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    # First each class with the smallest one of its node, which joins most of what belongs together.
+    some = nodes.filter(F.col("tree") < HUB_TREES).withColumn("label", F.col("cid"))
+    tried = scratch.save(_with_hubs(some, some.filter("cid = hub"), classes).distinct())
+    links = confirmed(tried)
+    # Then, in large nodes, those outside the main component with HUBS of the others.
+    wide = labelled(nodes.filter((F.col("c") > LEAF) & (F.col("tree") < HUB_TREES)).select("node", "cid"), merged(links, scratch))
+    parts = wide.groupBy("node", F.pmod(F.xxhash64("cid", "node"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("cid", "label")).alias("h")).select("node", "h.cid", "h.label")
+    also = scratch.save(_with_hubs(_outsiders(wide), parts, classes).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(confirmed(also))
+    apart = labelled(nodes.select("node", "cid", "tree"), merged(links, scratch, 2))
+    # Last, all pairs of small nodes whose ends are still in different components.
+    leaves = _leaves(apart, classes, scratch).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").repartition("node").sortWithinPartitions("node")
+    rest = leaves.mapInArrow(_pairs(), "a long, b long").distinct().join(tried.unionByName(also), ["a", "b"], "left_anti")
+    known = components(links.unionByName(confirmed(rest)), scratch)
 
     labels = classes.select("cid", "doc_id").join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = labels.groupBy("label").agg(F.min("doc_id").alias("component"))
