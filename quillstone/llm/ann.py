@@ -26,10 +26,10 @@ from pyspark.sql import Window as W
 
 from .common import Scratch
 
-K, ROUNDS, BLOCK = 24, 6, 64
+K, ROUNDS, BLOCK = 24, 4, 64
 TREES, LEAF = 6, 128
-BEAM, HOPS = 64, 8
-SETTLED = 0.01
+BEAM, HOPS = 48, 4
+SETTLED = 0.02
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -64,6 +64,9 @@ def _compare(k: int, group: str, flagged: bool):
     """
 
     def pairs(ids: np.ndarray, v: np.ndarray, fresh: np.ndarray | None, floor: np.ndarray | None):
+        if flagged:  # who is a neighbour both ways comes twice: new if either is
+            order = np.argsort(-fresh, kind="stable")
+            ids, v, fresh, floor = ids[order], v[order], fresh[order], floor[order]
         ids, first = np.unique(ids, return_index=True)
         v = v[first]
         scores = v @ v.T
@@ -153,9 +156,8 @@ def graph(nodes: DataFrame, n: int, dim: int, scratch: Scratch, k: int = K, roun
     for _ in range(rounds):
         # A node's neighbourhood: its list and the nodes that list it, in blocks if there are many; new pairs only.
         both = current.select(F.col("src").alias("hub"), F.col("dst").alias("id"), "fresh").unionByName(current.select(F.col("dst").alias("hub"), F.col("src").alias("id"), "fresh"))
-        wide = both.groupBy("hub", "id").agg(F.max("fresh").alias("fresh"))
-        sizes = wide.groupBy("hub").agg(F.count("*").alias("c"), F.max("fresh").alias("any")).filter("any = 1")
-        dealt = wide.join(sizes, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("id", "hub", F.lit(_)), F.ceil(F.col("c") / BLOCK))).alias("hub"), "id", "fresh")
+        sizes = both.groupBy("hub").agg(F.count("*").alias("c"), F.max("fresh").alias("any")).filter("any = 1")
+        dealt = both.join(sizes, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("id", "hub", F.lit(_)), F.ceil(F.col("c") / BLOCK))).alias("hub"), "id", "fresh")
         worst = current.groupBy("src").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
         known = floors.join(worst, floors["id"] == worst["src"], "left").select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
         met = dealt.join(known, "id").select("hub", "id", "v", "fresh", "floor").repartition("hub").sortWithinPartitions("hub")
@@ -176,8 +178,8 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
-    """(query, node, score): the best nodes found by greedy search from entries (query, node). queries: id, v."""
-    best = scratch.save(_scored(entries.distinct(), queries, nodes).withColumn("open", F.lit(1)))
+    """(query, node, score): the best nodes found by greedy search from entries (query, node, score), no two equal. queries: id, v."""
+    best = scratch.save(entries.withColumn("open", F.lit(1)))
     for _ in range(hops):
         frontier = best.filter("open = 1").join(edges, best["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
         fresh = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
@@ -206,8 +208,9 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
     # A query's vector is in the table, so its node and its node's list are where the search enters the graph.
     asked = members.filter(is_query(F.col("vec_id")))
     at = asked.select("node").distinct()
-    queries = nodes.join(at, nodes["id"] == at["node"], "left_semi")
-    entries = at.select(F.col("node").alias("query"), "node").unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node")))
+    queries = scratch.save(nodes.join(at, nodes["id"] == at["node"], "left_semi").select("id", "v"))
+    itself = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
+    entries = itself.unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node"), "score"))
     found = search(queries, entries, edges, nodes, scratch)
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id", "row"))
     near = members.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r")
