@@ -39,7 +39,7 @@ LEAF = 256
 #: A large node's outsiders are compared with so many others of the node before it branches.
 HUBS = 8
 #: Trees whose first nodes are compared with hubs.
-HUB_TREES = 4
+HUB_TREES = 2
 SKETCH_FLOOR = 0.6
 MAX_LEVELS = 48
 
