@@ -3,8 +3,12 @@
 A document is the set of its 5-word shingles. Equal sets become one class. Each of TREES independent trees sends a
 class down by selected minwise tokens: at a level, a node's classes go to the child named by the minwise token of the
 level's own hash function. Nodes of one class vanish, nodes of at most LEAF classes are compared exhaustively, larger
-ones branch again. A link of similarity s survives a level with probability s, so TREES trees of depth d find it with
-probability 1 - (1 - s^d)^TREES; for s = 0.75 that is 0.9999 at depth 2 and 0.999 at depth 3.
+ones branch again by one token. A link of similarity s survives a level with probability s, so trees in which one of its
+ends reaches a small node at depths d1, d2, ... find it with probability 1 - (1 - s^d1)(1 - s^d2)...; for s = 0.75, TREES
+trees give 0.9999 at depth 2, 0.997 at depth 4, but 0.60 at depth 10. So the depths that a class reaches are recorded, and
+classes for which that probability is under RECALL go through TREES more trees with fresh functions until none is left.
+Nodes that are still large at MAX_LEVELS, where that would take some 140 trees, are compared whole: every two parts of
+such a node meet in a task of their own.
 
 Before anything branches, the classes of each first node of some trees are compared with its smallest one, and those of
 large nodes that are outside the node's main component then with HUBS others: that joins groups of near copies at linear cost, and catches
@@ -21,6 +25,7 @@ empty set, which is linked with nothing. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,7 +46,12 @@ HUBS = 8
 #: Trees whose first nodes are compared with hubs.
 HUB_TREES = 2
 SKETCH_FLOOR = 0.6
-MAX_LEVELS = 48
+#: Links at the threshold are found with this probability at least, whatever depth their ends reach.
+RECALL = 0.99
+#: Nodes that are large at this depth are compared whole.
+MAX_LEVELS = 12
+#: So many sets of TREES trees are grown at once.
+SETS = 4
 
 
 def shingles(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -51,8 +61,9 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarr
     return np.unique(runs(hashes.of(words), min(k, len(words))))
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240601)
+def _functions(group: int = 0, block: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash functions of DEPTH levels of a set of TREES trees; block 0 is for the first levels, 1 for the next ones."""
+    rng = np.random.default_rng([20240601, group, block] if group or block else 20240601)
     n = TREES * DEPTH
     return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
@@ -85,26 +96,75 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), flat, pa.array(sketch, pa.binary())], schema=SIGNED)
 
 
-def _leaves(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, cid, label) of every node of 2 to LEAF classes that are still apart. rows: (node, cid, tree, label) of the first level.
+def _signatures(sets: list[int], block: int):
+    """(cid, text) to (cid, set, sig) by the functions of each of the sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, functions = WordHashes(), [_functions(g, block) for g in sets]
+        for batch in pieces(batches):
+            found = [shingles(t.lower().split(), hashes) for t in texts(batch.column("text"))]
+            for g, (a, b) in zip(sets, functions, strict=True):
+                flat = np.concatenate([minwise(x, a, b).view(np.int32) for x in found])
+                sig = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(a), dtype=np.int32), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(np.full(len(found), g, np.int32)), sig], names=["cid", "set", "sig"])
+
+    return run
+
+
+def _signed_again(bodies: DataFrame, some: DataFrame, sets: list[int], block: int) -> DataFrame:
+    own = bodies.join(some, "cid", "left_semi").select("cid", "text")
+    return own.mapInArrow(_signatures(sets, block), "cid long, set int, sig array<int>")
+
+
+def _first_nodes(signed: DataFrame) -> DataFrame:
+    """(node, cid, set, tree, c, hub): first-level nodes of several classes; c classes, hub the smallest. signed: (cid, set, sig)."""
+    trees = signed.select("cid", "set", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
+    rows = trees.select("cid", "set", "tree", F.xxhash64("set", "tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1"), "node")
+
+
+def _leaves(rows: DataFrame, signed: DataFrame, bodies: DataFrame, sets: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cid, label) of every node of 2 to LEAF classes that are still apart, and (cid, set, tree, level) of larger ones.
+
+    rows: (node, cid, set, tree, label) of the first level. signed: (cid, set, sig) for the first DEPTH levels.
     Nodes whose classes are all in one component have nothing left to find, and don't branch.
     """
-    small, level = [], 1
+    small, deep, level = [], [], 1
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
         here = scratch.save(rows.join(counts, "node"))
         small.append(here.filter(F.col("c") <= LEAF).select("node", "cid", "label"))
         large = here.filter(F.col("c") > LEAF)
-        if level >= MAX_LEVELS or large.isEmpty():
-            # Classes that agree on so many minwise tokens are cut into parts by their ids; other trees part them otherwise.
-            small.append(large.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", "tree"), F.ceil(F.col("c") / LEAF))).alias("node"), "cid", "label"))
-            return reduce(DataFrame.unionByName, small)
-        # A level goes by one more token, deeper ones by two, then three: nodes that are still large shrink slowly.
-        steps = 1 if level < 4 else 2 if level < 10 else 3
-        tokens = [F.get("sig", F.pmod(F.col("tree") * DEPTH + level + i, F.lit(TREES * DEPTH))) for i in range(steps)]
-        rows = large.join(classes.select("cid", "sig"), "cid").select(F.xxhash64("node", *tokens).alias("node"), "cid", "tree", "label")
-        level += steps
+        if large.isEmpty():
+            break
+        if level >= MAX_LEVELS:
+            small.append(_part_pairs(large))
+            break
+        deep.append(large.select("cid", "set", "tree", F.lit(level).alias("level")))
+        if level % DEPTH == 0:
+            signed = scratch.save(_signed_again(bodies, large.select("cid").distinct(), sets, level // DEPTH))
+        token = F.get("sig", F.col("tree") * DEPTH + level % DEPTH)
+        rows = large.join(signed.select("cid", "set", "sig"), ["cid", "set"]).select(F.xxhash64("node", token).alias("node"), "cid", "set", "tree", "label")
+        level += 1
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, deep) if deep else None
+
+
+def _part_pairs(large: DataFrame) -> DataFrame:
+    """(node, cid, label): each two parts of a large node (node, cid, label, c), about LEAF classes each, as a node."""
+    n = F.ceil(F.col("c") / LEAF).cast("int")
+    parts = large.select("node", "cid", "label", F.pmod(F.xxhash64("cid", "node"), n).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    return parts.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", "label")
+
+
+def _missing(deep: DataFrame, trees: int) -> DataFrame:
+    """(cid, miss): log of the probability that trees trees miss a link at the threshold. deep: (cid, set, tree, level) of large nodes.
+
+    Trees in which a class was in no large node ended at the first level.
+    """
+    s = PERCENT / 100
+    ends = deep.groupBy("cid", "set", "tree").agg((F.max("level") + 1).alias("depth"))
+    of = ends.groupBy("cid").agg(F.sum(F.log1p(-F.pow(F.lit(s), F.col("depth")))).alias("m"), F.count("*").alias("n"))
+    return of.select("cid", (F.col("m") + (trees - F.col("n")) * math.log1p(-s)).alias("miss"))
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +263,7 @@ def near_dup(docs: DataFrame) -> DataFrame:
     members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = members.groupBy("cid").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "sketch")).alias("x"))
     classes = scratch.save(firsts.select("cid", "x.*"))
-    trees = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    rows_1 = trees.select("cid", "tree", F.xxhash64("tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
-    first = rows_1.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1")
-    nodes = scratch.save(rows_1.join(first, "node"))
+    nodes = scratch.save(_first_nodes(classes.select("cid", F.lit(0).alias("set"), "sig")))
     ids = nodes.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
     bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text").dropDuplicates(["cid"]))
 
@@ -225,11 +282,34 @@ def near_dup(docs: DataFrame) -> DataFrame:
     parts = wide.groupBy("node", F.pmod(F.xxhash64("cid", "node"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("cid", "label")).alias("h")).select("node", "h.cid", "h.label")
     also = scratch.save(_with_hubs(_outsiders(wide), parts, classes).join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(confirmed(also))
-    apart = labelled(nodes.select("node", "cid", "tree"), merged(links, scratch, 2))
-    # Last, all pairs of small nodes whose ends are still in different components.
-    leaves = _leaves(apart, classes, scratch).join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").repartition("node").sortWithinPartitions("node")
-    rest = leaves.mapInArrow(_pairs(), "a long, b long").distinct().join(tried.unionByName(also), ["a", "b"], "left_anti")
-    known = components(links.unionByName(confirmed(rest)), scratch)
+    # Last, all pairs of small nodes whose ends are still in different components, in as many trees as their depth asks for.
+    tried, signed_by, sets, total, open_ = tried.unionByName(also), classes.select("cid", F.lit(0).alias("set"), "sig"), [0], 1, None
+    while True:
+        apart = labelled(nodes.select("node", "cid", "set", "tree"), merged(links, scratch, 2))
+        found, deep = _leaves(apart, signed_by, bodies, sets, scratch)
+        leaves = found.join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").repartition("node").sortWithinPartitions("node")
+        rest = scratch.save(leaves.mapInArrow(_pairs(), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.unionByName(rest), links.unionByName(confirmed(rest))
+        if open_ is None and deep is None:
+            break
+        # Classes in no large node this time ended each tree at its first level.
+        of = deep and _missing(deep, TREES * len(sets))
+        if open_ is None:
+            now = of
+        else:
+            shallow = F.lit(TREES * len(sets) * math.log1p(-PERCENT / 100))
+            now = open_.withColumn("miss", F.col("miss") + shallow) if of is None else open_.join(of.withColumnRenamed("miss", "more"), "cid", "left").select("cid", (F.col("miss") + F.coalesce("more", shallow)).alias("miss"))
+        open_ = scratch.save(now.filter(F.col("miss") > math.log(1 - RECALL)))
+        worst = open_.agg(F.max("miss")).first()[0]
+        if worst is None:
+            break
+        # A class whose trees so far give miss needs log(1 - RECALL) / miss times as many.
+        need = math.ceil(total * (math.log(1 - RECALL) / worst - 1)) if worst < 0 else SETS
+        sets = list(range(total, total + min(SETS, max(1, need))))
+        total += len(sets)
+        signed_by = scratch.save(_signed_again(bodies, open_, sets, 0))
+        nodes = scratch.save(_first_nodes(signed_by))
+    known = components(links, scratch)
 
     labels = classes.select("cid", "doc_id").join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = labels.groupBy("label").agg(F.min("doc_id").alias("component"))

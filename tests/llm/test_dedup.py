@@ -1,7 +1,9 @@
 """Exact dedup, near dedup, suffix-array and substring dedup against plain versions."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,47 @@ def test_near_branches_below_large_nodes(spark, monkeypatch):
     assert got == sorted(brute.near(docs), key=str)
 
 
+def family(n, linked, seed=1, places=80, rare=0.23, changed=11):
+    """n texts that share almost half of their shingles, and copies of some that share 0.759 with their originals; hardly a shingle is rare."""
+    rng = random.Random(seed)
+    kinds = [[rng.random() < rare for _ in range(places)] for _ in range(n)]
+    for k in kinds[:linked]:
+        flipped = set(rng.sample(range(places), changed))
+        kinds.append([x != (j in flipped) for j, x in enumerate(k)])
+    return [(i, " ".join(f"a{j} b{j} {'v' if x else 'c'}{j} d{j} e{j}" for j, x in enumerate(k))) for i, k in enumerate(kinds)]
+
+
+def links_of(docs):
+    """All links, by comparing everything with everything."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    count = Counter(x for s in sets for x in s)
+    columns = {x: i for i, x in enumerate(x for x, c in count.items() if c > 1)}
+    has = np.zeros((len(docs), len(columns)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [columns[x] for x in s if x in columns]] = 1
+    size = np.array([len(s) for s in sets])
+    both = has @ has.T
+    return [(int(a), int(b)) for a, b in np.argwhere(both >= 0.75 * (size[:, None] + size[None, :] - both)) if a < b]
+
+
+def near_recall(spark, docs):
+    label = dict(near_dup.near_dup(frame(spark, docs)).select("doc_id", "component_id").collect())
+    true = links_of(docs)
+    return sum(label[a] == label[b] for a, b in true) / len(true)
+
+
+def test_near_recall_in_a_dense_family(spark, monkeypatch):
+    """Nodes are large for many levels, as those of far larger families are at LEAF = 256; links at the threshold are found all the same."""
+    monkeypatch.setattr(near_dup, "LEAF", 4)
+    assert near_recall(spark, family(800, 200)) >= 0.97
+
+
+def test_near_nodes_that_stay_large_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEAF", 8)
+    monkeypatch.setattr(near_dup, "MAX_LEVELS", 2)
+    assert near_recall(spark, family(150, 60)) == 1
+
+
 def test_near_null_ids_and_repeated_rows(spark):
     docs = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = rows(near_dup.near_dup(frame(spark, docs)), "doc_id", "component_id", "kept")
