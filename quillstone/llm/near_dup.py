@@ -10,9 +10,10 @@ classes for which that probability is under RECALL go through TREES more trees w
 Nodes that are still large at MAX_LEVELS, where that would take some 140 trees, are compared whole: every two parts of
 such a node meet in a task of their own.
 
-Before anything branches, the classes of each first node of some trees are compared with its smallest one, and those of
-large nodes that are outside the node's main component then with HUBS others: that joins groups of near copies at linear cost, and catches
-classes that would drop out of a large node one by one and meet nobody.
+Before anything branches, the classes of each first node of some trees are compared with its smallest one, which joins
+groups of near copies at linear cost. Those of large first nodes of all trees that are outside the node's main component
+then meet HUBS others, and so does each class that leaves a large node at any level of any tree: that catches classes
+that would drop out one by one and meet nobody. A node's hubs travel as one row, so that a class is one row of that join.
 
 Comparing goes by sketch (one byte of each of the minwise values; pairs whose estimate is under SKETCH_FLOOR, about
 four deviations below the threshold, are left out), then every remaining pair is confirmed on its full sets. As only
@@ -42,8 +43,8 @@ WORDS, PERCENT = 5, 75
 TREES, DEPTH = 16, 8
 LEAF = 256
 #: A large node's outsiders are compared with so many others of the node before it branches.
-HUBS = 8
-#: Trees whose first nodes are compared with hubs.
+HUBS = 16
+#: Trees in which first nodes are compared with their smallest class before anything is known.
 HUB_TREES = 2
 SKETCH_FLOOR = 0.6
 #: Links at the threshold are found with this probability at least, whatever depth their ends reach.
@@ -123,30 +124,35 @@ def _first_nodes(signed: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1"), "node")
 
 
-def _leaves(rows: DataFrame, signed: DataFrame, bodies: DataFrame, sets: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(node, cid, label) of every node of 2 to LEAF classes that are still apart, and (cid, set, tree, level) of larger ones.
+def _leaves(rows: DataFrame, signed: DataFrame, bodies: DataFrame, sets: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(node, cid, label) of every node of 2 to LEAF classes that are still apart, and (cid, set, tree, level) of larger ones;
+    (node, cid, label) of classes that leave a larger node for a small one or alone, and of the larger node's hubs.
 
     rows: (node, cid, set, tree, label) of the first level. signed: (cid, set, sig) for the first DEPTH levels.
     Nodes whose classes are all in one component have nothing left to find, and don't branch.
     """
-    small, deep, level = [], [], 1
+    small, deep, leavers, hubs, level = [], [], [], [], 1
     while True:
-        counts = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c > 1 AND lo < hi").select("node", "c")
+        counts = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c = 1 OR lo < hi").select("node", "c")
         here = scratch.save(rows.join(counts, "node"))
-        small.append(here.filter(F.col("c") <= LEAF).select("node", "cid", "label"))
+        small.append(here.filter(F.col("c").between(2, LEAF)).select("node", "cid", "label"))
+        if level > 1:
+            leavers.append(here.filter(F.col("c") <= LEAF).select(F.col("parent").alias("node"), "cid", "label"))
         large = here.filter(F.col("c") > LEAF)
         if large.isEmpty():
             break
         if level >= MAX_LEVELS:
             small.append(_part_pairs(large))
             break
+        hubs.append(_hubs(large))
         deep.append(large.select("cid", "set", "tree", F.lit(level).alias("level")))
         if level % DEPTH == 0:
             signed = scratch.save(_signed_again(bodies, large.select("cid").distinct(), sets, level // DEPTH))
         token = F.get("sig", F.col("tree") * DEPTH + level % DEPTH)
-        rows = large.join(signed.select("cid", "set", "sig"), ["cid", "set"]).select(F.xxhash64("node", token).alias("node"), "cid", "set", "tree", "label")
+        rows = large.join(signed.select("cid", "set", "sig"), ["cid", "set"]).select(F.xxhash64("node", token).alias("node"), "cid", "set", "tree", "label", F.col("node").alias("parent"))
         level += 1
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, deep) if deep else None
+    small, deep, leavers, hubs = (reduce(DataFrame.unionByName, x) if x else None for x in (small, deep, leavers, hubs))
+    return small, deep, leavers, hubs
 
 
 def _part_pairs(large: DataFrame) -> DataFrame:
@@ -168,19 +174,35 @@ def _missing(deep: DataFrame, trees: int) -> DataFrame:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and sketches allow a link."""
-    for t in batches:
-        na, nb = (t.column(c).to_numpy() for c in ("n_a", "n_b"))
-        a, b = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, TREES * DEPTH) for c in ("sk_a", "sk_b"))
-        ok = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & ((a == b).mean(axis=1) >= SKETCH_FLOOR)
-        yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok))
+    """Pairs of a class and one of its node's hubs, if their labels differ and sizes and sketches allow a link."""
+    width = TREES * DEPTH
+    for t in pieces(batches, 2048):
+        cid, label, n = (t.column(c).to_numpy() for c in ("cid", "label", "n"))
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, width)
+        hubs = t.column("hubs")
+        of = np.repeat(np.arange(t.num_rows), hubs.value_lengths().to_numpy())
+        flat = hubs.flatten()
+        h, h_label, h_n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "label", "n"))
+        at = np.flatnonzero((h_label != label[of]) & (100 * np.minimum(n[of], h_n) >= PERCENT * np.maximum(n[of], h_n)))
+        h_sk = np.frombuffer(b"".join(flat.field("sketch").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), width)
+        at = at[(sk[of[at]] == h_sk).mean(axis=1) >= SKETCH_FLOOR]
+        x, y = cid[of[at]], h[at]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
 
 
 def _with_hubs(rows: DataFrame, hubs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes (node, cid, label) with the hubs (node, cid, label) of their nodes that have other labels, if their sketches allow a link."""
-    met = rows.alias("x").join(hubs.alias("h"), "node").filter("x.label != h.label").select(F.least("x.cid", "h.cid").alias("a"), F.greatest("x.cid", "h.cid").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sk_{c}"))
-    return met.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
+    known = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
+    apart = hubs.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    of = hubs.join(known, "cid").groupBy("node").agg(F.collect_list(F.struct("cid", "label", "n", "sketch")).alias("hubs"))
+    some = rows.select("node", "cid", "label").join(apart, "node").filter("label != lo OR label != hi").drop("lo", "hi")
+    return some.join(known, "cid").join(of, "node").select("cid", "label", "n", "sketch", "hubs").mapInArrow(_likely, "a long, b long").distinct()
+
+
+def _hubs(large: DataFrame) -> DataFrame:
+    """(node, cid, label): the smallest class of each of HUBS parts of each node."""
+    parts = large.groupBy("node", F.pmod(F.xxhash64("cid", "node"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("cid", "label")).alias("h"))
+    return parts.select("node", "h.cid", "h.label")
 
 
 def _outsiders(rows: DataFrame) -> DataFrame:
@@ -278,17 +300,19 @@ def near_dup(docs: DataFrame) -> DataFrame:
     tried = scratch.save(_with_hubs(some, some.filter("cid = hub"), classes).distinct())
     links = confirmed(tried)
     # Then, in large nodes, those outside the main component with HUBS of the others.
-    wide = labelled(nodes.filter((F.col("c") > LEAF) & (F.col("tree") < HUB_TREES)).select("node", "cid"), merged(links, scratch))
-    parts = wide.groupBy("node", F.pmod(F.xxhash64("cid", "node"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("cid", "label")).alias("h")).select("node", "h.cid", "h.label")
-    also = scratch.save(_with_hubs(_outsiders(wide), parts, classes).join(tried, ["a", "b"], "left_anti"))
+    wide = labelled(nodes.filter(F.col("c") > LEAF).select("node", "cid"), merged(links, scratch, 2))
+    also = scratch.save(_with_hubs(_outsiders(wide), _hubs(wide), classes).join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(confirmed(also))
     # Last, all pairs of small nodes whose ends are still in different components, in as many trees as their depth asks for.
     tried, signed_by, sets, total, open_ = tried.unionByName(also), classes.select("cid", F.lit(0).alias("set"), "sig"), [0], 1, None
     while True:
         apart = labelled(nodes.select("node", "cid", "set", "tree"), merged(links, scratch, 2))
-        found, deep = _leaves(apart, signed_by, bodies, sets, scratch)
+        found, deep, leavers, hubs = _leaves(apart, signed_by, bodies, sets, scratch)
         leaves = found.join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").repartition("node").sortWithinPartitions("node")
-        rest = scratch.save(leaves.mapInArrow(_pairs(), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        close = leaves.mapInArrow(_pairs(), "a long, b long")
+        if leavers is not None:
+            close = close.unionByName(_with_hubs(leavers, hubs, classes))
+        rest = scratch.save(close.distinct().join(tried, ["a", "b"], "left_anti"))
         tried, links = tried.unionByName(rest), links.unionByName(confirmed(rest))
         if open_ is None and deep is None:
             break

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import exact_dedup, near_dup, seeds, substring_dedup, suffix_dedup
+from quillstone.llm.common import Scratch
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, cid string, rank int"
@@ -124,6 +125,19 @@ def test_near_nodes_that_stay_large_are_compared_whole(spark, monkeypatch):
     assert near_recall(spark, family(150, 60)) == 1
 
 
+def test_near_classes_that_leave_a_large_node_meet_its_hubs(spark):
+    """Trees 2 and up, level 2 and deeper: who drops out alone is among the leavers, and the node it left has hubs."""
+    n = near_dup.LEAF + 44
+    alone = 7
+    sig = lambda i: [0] * 5 * near_dup.DEPTH + [0, i if i == alone else 1] + ([i] if i != alone else [0]) + [0] * (11 * near_dup.DEPTH - 3)
+    signed = spark.createDataFrame([(i, 0, sig(i)) for i in range(n)], "cid long, set int, sig array<int>")
+    first = near_dup._first_nodes(signed).filter("tree = 5").select("node", "cid", "set", "tree", F.col("cid").alias("label"))
+    _, _, leavers, hubs = near_dup._leaves(first, signed, None, [0], Scratch(spark))
+    node = first.select("node").first()[0]
+    assert alone in {r["cid"] for r in leavers.filter(F.col("node") == node).collect()}
+    assert hubs.filter(F.col("node") == node).count() == near_dup.HUBS
+
+
 def test_near_null_ids_and_repeated_rows(spark):
     docs = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     got = rows(near_dup.near_dup(frame(spark, docs)), "doc_id", "component_id", "kept")
