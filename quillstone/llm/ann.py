@@ -2,7 +2,8 @@
 
 Equal vectors become one node, so that a very common vector is one point of the graph; its rows come back at the end.
 The first graph comes from a few random-projection partitions: rows are ordered by a random direction within random
-bucket codes, and every block of that order is compared within itself. Each round of NN-descent then joins every node
+bucket codes, and every block of that order is compared within itself; one partition at random gives a list to nodes that
+are alone in their leaves. Each round of NN-descent then joins every node
 with its neighbours and reverse neighbours, compares the neighbours with one another, and keeps each node's best K; it
 ends when few lists change. Reverse lists have no bound, so they are cut into blocks of bounded size by hash, which is a
 part of NN-descent: pairs that a round misses are met in another.
@@ -26,10 +27,13 @@ from pyspark.sql import Window as W
 
 from .common import Scratch
 
-K, ROUNDS, BLOCK = 24, 4, 64
+K, BLOCK = 24, 64
 TREES, LEAF = 6, 128
-BEAM, HOPS = 48, 4
-SETTLED = 0.02
+BEAM = 64
+#: Descent ends when so small a share of the lists' entries is new.
+SETTLED = 0.001
+#: Rounds or hops after which something must be wrong.
+ENDLESS = 200
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -145,15 +149,17 @@ def _leaves(nodes: DataFrame, n: int, dim: int) -> DataFrame:
     coded = nodes.select("id", "v").mapInArrow(run, "leaf long, id long, v array<double>")
     # Codes are uneven: full ones are cut by hash into blocks that stay comparable within themselves.
     sizes = coded.groupBy("leaf").agg(F.count("*").alias("c"))
-    return coded.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("c") / (2 * LEAF)))).alias("leaf"), "id", "v")
+    by_code = coded.join(sizes, "leaf").select(F.xxhash64("leaf", F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("c") / (2 * LEAF)))).alias("leaf"), "id", "v")
+    at_random = nodes.select(F.xxhash64(F.lit("any"), F.pmod(F.xxhash64("id"), F.lit(-(-n // LEAF) or 1))).alias("leaf"), "id", "v")
+    return by_code.unionByName(at_random)
 
 
-def graph(nodes: DataFrame, n: int, dim: int, scratch: Scratch, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+def graph(nodes: DataFrame, n: int, dim: int, scratch: Scratch, k: int = K) -> DataFrame:
     """src, dst, score: each node's k best neighbours, by NN-descent. nodes: id, v; ids are unique."""
     leaves = _leaves(nodes, n, dim).repartition("leaf").sortWithinPartitions("leaf")
     current = scratch.save(_top(leaves.mapInArrow(_compare(k, "leaf", False), PAIRS), k))
     floors = nodes.select("id", "v")
-    for _ in range(rounds):
+    for _ in range(ENDLESS):
         # A node's neighbourhood: its list and the nodes that list it, in blocks if there are many; new pairs only.
         both = current.select(F.col("src").alias("hub"), F.col("dst").alias("id"), "fresh").unionByName(current.select(F.col("dst").alias("hub"), F.col("src").alias("id"), "fresh"))
         sizes = both.groupBy("hub").agg(F.count("*").alias("c"), F.max("fresh").alias("any")).filter("any = 1")
@@ -168,6 +174,8 @@ def graph(nodes: DataFrame, n: int, dim: int, scratch: Scratch, k: int = K, roun
         changed, total = after.agg(F.sum("fresh"), F.count("*")).first()
         if not total or (changed or 0) <= SETTLED * total:
             break
+    else:
+        raise RuntimeError("neighbour lists have not settled")
     return current.select("src", "dst", "score")
 
 
@@ -177,10 +185,10 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
     return rows.select("query", "node", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
-def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
     """(query, node, score): the best nodes found by greedy search from entries (query, node, score), no two equal. queries: id, v."""
     best = scratch.save(entries.withColumn("open", F.lit(1)))
-    for _ in range(hops):
+    for _ in range(ENDLESS):
         frontier = best.filter("open = 1").join(edges, best["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
         fresh = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
         scored = _scored(fresh, queries, nodes).withColumn("open", F.lit(1))
@@ -190,6 +198,8 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: Data
         best = after
         if best.filter("open = 1").isEmpty():
             break
+    else:
+        raise RuntimeError("beams have not settled")
     return best.select("query", "node", "score")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstone.llm import ann, mixing, queries, sharding, toxicity
+from quillstone.llm.common import Scratch
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -181,6 +182,15 @@ def test_recall_without_structure_and_with_copies(spark):
     assert recall(spark, rows, 20) >= 0.9
 
 
+def test_search_goes_on_until_beams_settle(spark):
+    """A chain of nodes, each better than the one before: the best is twelve hops away."""
+    nodes = spark.createDataFrame([(i, [i + 1.0]) for i in range(13)], "id long, v array<double>")
+    edges = spark.createDataFrame([(i, i + 1, (i + 1.0) * (i + 2.0)) for i in range(12)], "src long, dst long, score double")
+    entries = spark.createDataFrame([(0, 0, 1.0)], "query long, node long, score double")
+    found = ann.search(nodes.filter("id = 0"), entries, edges, nodes, Scratch(spark))
+    assert sorted(r["node"] for r in found.collect()) == list(range(13))
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (20, [0.0, 0.0]), (40, [float("nan"), 1.0]), (60, [float("inf"), 1.0]), (80, [None, 1.0]), (100, []), (None, [1.0, 1.0]), (120, [-1.0, 0.0])]
     assert recall(spark, rows, 20) == 1.0
