@@ -1,15 +1,17 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon is learned: words, with look-alike characters put back, and stems, from which a text has several words, that a
-share of the toxic texts hold and others hardly do. Features are rates of a text's words and characters: lexicon densities (overall, found only after look-alike
-characters were put back, the densest window), hits near a second-person word, capitals, punctuation and obfuscation.
-Spark's gradient-boosted trees learn from four fifths of the sample, its isotonic regression calibrates on the rest.
+share of the toxic texts hold and that are LEXICON_TIMES as likely there as in others. Features are rates of a text's words
+and characters: lexicon densities (overall, found only after look-alike characters were put back, the densest window), hits
+near a second-person word, capitals, punctuation and obfuscation. The lexicon and Spark's gradient-boosted trees are learned
+from four fifths of the sample; its isotonic regression calibrates on the rest, which neither has seen.
 
 The classifier is fitted on at most FIT_ROWS labelled rows (the ids with the smallest hashes), which bounds the sample;
 everything else covers all rows. Labels, lang, source and ids are never inputs of a score.
 
-Nulls: a null text is an empty one, and gets a score like any other; rows without a usable label don't train. If the
-sample lacks one of the classes, every score is the share of toxic rows (0 without labels). Extra columns stay.
+Nulls: a null text is an empty one, and gets a score like any other; a null id is not held out; rows without a usable label
+or id don't train. Repeated rows are scored one by one and train once. If the sample lacks one of the classes, every score is
+the share of toxic rows (0 without labels). An empty table gives an empty result. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import Scratch
 
 #: The bound of the training sample, and what a word needs to enter the lexicon.
 FIT_ROWS = 20_000
-LEXICON_WORDS, LEXICON_SHARE, LEXICON_DEVIATIONS = 512, 0.02, 3.0
+LEXICON_WORDS, LEXICON_SHARE, LEXICON_TIMES, LEXICON_DEVIATIONS = 512, 0.01, 20.0, 2.0
 #: Lengths of stems, and what marks one in the lexicon.
 STEM, MARK = range(4, 9), "*"
 THRESHOLD = 0.7
@@ -110,8 +112,8 @@ def _feature_column(lexicon: frozenset[str], text):
 
 
 def held_out(doc_id):
-    """The fold that never trains."""
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """The fold that never trains; a null id is in none."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def _lexicon(sample: DataFrame) -> frozenset[str]:
@@ -129,8 +131,9 @@ def _lexicon(sample: DataFrame) -> frozenset[str]:
     counts = sample.select("text", "toxic").mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
     odds = F.ln((F.col("p") + 0.5) / (pos + 1)) - F.ln((F.col("n") - F.col("p") + 0.5) / (neg + 1))
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
-    best = counts.filter(F.col("p") >= max(4.0, LEXICON_SHARE * pos)).withColumn("odds", odds).filter(F.col("odds") >= LEXICON_DEVIATIONS * spread)
-    return frozenset(r["word"] for r in best.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).select("word").collect())
+    best = counts.filter(F.col("p") >= max(4.0, LEXICON_SHARE * pos)).withColumn("odds", odds).withColumn("sure", F.col("odds") - LEXICON_DEVIATIONS * spread)
+    best = best.filter((F.col("odds") >= float(np.log(LEXICON_TIMES))) & (F.col("sure") > 0))
+    return frozenset(r["word"] for r in best.orderBy(F.desc("sure"), "word").limit(LEXICON_WORDS).select("word").collect())
 
 
 class Model:
@@ -168,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_RO
     n, pos = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not pos or pos == n:
         return Model(frozenset(), base=(pos or 0) / n if n else 0.0)
-    lexicon = _lexicon(sample)
+    part = F.pmod(F.col("fold"), F.lit(5))
+    lexicon = _lexicon(sample.filter(part != 0))
     rows_in = scratch.save(sample.select("fold", F.col("toxic").cast("double").alias("toxic"), _feature_column(lexicon, F.col("text")).alias("f")))
     vectors = rows_in.select("fold", "toxic", array_to_vector("f").alias("_features")).coalesce(4)
-    part = F.pmod(F.col("fold"), F.lit(5))
     learn, check = vectors.filter(part != 0).persist(), vectors.filter(part == 0)
     trees = GBTClassifier(featuresCol="_features", labelCol="toxic", predictionCol="_prediction", maxIter=TREES, maxDepth=TREE_DEPTH, stepSize=STEP, minInstancesPerNode=5, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(learn)
     learn.unpersist()
