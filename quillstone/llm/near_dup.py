@@ -1,32 +1,32 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
-A document is the set of its 5-word shingles. Equal sets become one class. Each of TREES independent trees sends a
-class down by selected minwise tokens: at a level, a node's classes go to the child named by the minwise token of the
-level's own hash function. Nodes of one class vanish, nodes of at most LEAF classes are compared exhaustively, larger
-ones branch again by one token. A link of similarity s survives a level with probability s, so trees in which one of its
-ends reaches a small node at depths d1, d2, ... find it with probability 1 - (1 - s^d1)(1 - s^d2)...; for s = 0.75, TREES
-trees give 0.9999 at depth 2, 0.997 at depth 4, but 0.60 at depth 10. So the depths that a class reaches are recorded, and
-classes for which that probability is under RECALL go through TREES more trees with fresh functions until none is left.
-Nodes that are still large at MAX_LEVELS, where that would take some 140 trees, are compared whole: every two parts of
-such a node meet in a task of their own.
-
-Before anything branches, the classes of each first node of some trees are compared with its smallest one, which joins
-groups of near copies at linear cost. Those of large first nodes of all trees that are outside the node's main component
-then meet HUBS others, and so does each class that leaves a large node at any level of any tree: that catches classes
-that would drop out one by one and meet nobody. A node's hubs travel as one row, so that a class is one row of that join.
-
-Comparing goes by sketch (one byte of each of the minwise values; pairs whose estimate is under SKETCH_FLOOR, about
-four deviations below the threshold, are left out), then every remaining pair is confirmed on its full sets. As only
-components are wanted, only nodes that still hold several components branch, and only pairs whose ends are not yet in one
-component are confirmed: that loses no component and keeps dense groups linear.
+A document is the set of its 5-word shingles. Equal sets become one class. Each of TREES independent trees sends classes
+down by selected minwise tokens: a node has one function, and one in three has a second; each of its classes goes to the
+children named by its minwise tokens of these. So a class is in 4/3 children on average, and a pair of similarity 0.75 stays
+together in one child on average, however deep a tree gets. With p(0) = 1 and p(d) = p(d - 1) - 3/16 p(d - 1)^2, a tree
+holds such a pair together at depth d with probability 0.75 p(d - 1): 0.75 at depth 1, 0.45 at 4, 0.21 at MAX_LEVELS. TREES
+trees find a link at the threshold with 0.99 at least if its node is still large at MAX_LEVELS, with 0.9999 at depth 5.
+
+A node is small if it has at most LEAF classes, or at most LEAF outside its main component; these, its leads, are compared
+with the whole node, in cells of bounded size. Others branch, and those that are large at MAX_LEVELS are compared whole, every
+two parts in a cell of their own. Only components are wanted, so nodes whose classes are all in one component have nothing
+left to find, and only pairs whose ends have different labels (components as far as known) are compared. That loses no
+component. A pair that shares several small nodes is compared in the least of them.
+
+To know components early, the classes of first nodes of some trees first meet the smallest one, and those of large first
+nodes then meet HUBS of their classes, HUB_ROUNDS times; groups of near copies become few labels at linear cost.
+
+Comparing goes by sketch (one byte of each of the minwise values; pairs whose estimate is under SKETCH_FLOOR, about five
+deviations below the threshold, are left out: about one link at exactly 0.75 in a million), then every remaining pair is
+confirmed on its full sets.
 
 Nulls: rows with a null id take no part in links; their component is null and they stay. A null or empty text has an
-empty set, which is linked with nothing. Empty tables give empty results.
+empty set, which is linked with nothing. Rows that repeat an id share its component if their texts are linked. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,19 +40,17 @@ from .common import Scratch, WordHashes, mixed, pieces, runs, texts
 from .components import components, merged
 
 WORDS, PERCENT = 5, 75
-TREES, DEPTH = 16, 8
+TREES, MAX_LEVELS = 20, 12
+#: Minwise values of a class that are computed at once: two functions for each tree at LEVELS levels, and some for the sketch.
+WIDTH, LEVELS = 128, 3
 LEAF = 256
-#: A large node's outsiders are compared with so many others of the node before it branches.
-HUBS = 16
-#: Trees in which first nodes are compared with their smallest class before anything is known.
-HUB_TREES = 2
-SKETCH_FLOOR = 0.6
-#: Links at the threshold are found with this probability at least, whatever depth their ends reach.
-RECALL = 0.99
-#: Nodes that are large at this depth are compared whole.
-MAX_LEVELS = 12
-#: So many sets of TREES trees are grown at once.
-SETS = 4
+#: Rows of a cell, besides those that meet all of them.
+CELL = 1024
+#: So many of a large first node's classes meet all the others before it branches, so often, in so many trees.
+HUBS, HUB_ROUNDS, HUB_TREES = 16, 2, 4
+SKETCH_FLOOR = 0.5625
+#: Leads whose sets a task holds while the texts that they may be linked with pass by.
+RUN = 32
 
 
 def shingles(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -62,11 +60,10 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarr
     return np.unique(runs(hashes.of(words), min(k, len(words))))
 
 
-def _functions(group: int = 0, block: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash functions of DEPTH levels of a set of TREES trees; block 0 is for the first levels, 1 for the next ones."""
-    rng = np.random.default_rng([20240601, group, block] if group or block else 20240601)
-    n = TREES * DEPTH
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+def _functions(block: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """WIDTH hash functions; block 0 is for the first LEVELS levels, 1 for the next ones."""
+    rng = np.random.default_rng([20240601, block])
+    return rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, WIDTH, dtype=np.uint64)
 
 
 def minwise(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,186 +94,157 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), flat, pa.array(sketch, pa.binary())], schema=SIGNED)
 
 
-def _signatures(sets: list[int], block: int):
-    """(cid, text) to (cid, set, sig) by the functions of each of the sets."""
+def _signatures(block: int):
+    """(cid, text) to (cid, sig) by the functions of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, functions = WordHashes(), [_functions(g, block) for g in sets]
+        hashes, (a, b) = WordHashes(), _functions(block)
         for batch in pieces(batches):
-            found = [shingles(t.lower().split(), hashes) for t in texts(batch.column("text"))]
-            for g, (a, b) in zip(sets, functions, strict=True):
-                flat = np.concatenate([minwise(x, a, b).view(np.int32) for x in found])
-                sig = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(a), dtype=np.int32), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(np.full(len(found), g, np.int32)), sig], names=["cid", "set", "sig"])
+            flat = np.concatenate([minwise(shingles(t.lower().split(), hashes), a, b).view(np.int32) for t in texts(batch.column("text"))])
+            sig = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), sig], names=["cid", "sig"])
 
     return run
 
 
-def _signed_again(bodies: DataFrame, some: DataFrame, sets: list[int], block: int) -> DataFrame:
-    own = bodies.join(some, "cid", "left_semi").select("cid", "text")
-    return own.mapInArrow(_signatures(sets, block), "cid long, set int, sig array<int>")
+def _first_nodes(classes: DataFrame) -> DataFrame:
+    """(node, cid, tree, hub): first-level nodes of several classes; hub is the smallest one."""
+    trees = classes.select("cid", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
+    rows = trees.select("cid", "tree", F.xxhash64("tree", F.get("sig", 2 * F.col("tree"))).alias("node"))
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1").select("node", "hub"), "node")
 
 
-def _first_nodes(signed: DataFrame) -> DataFrame:
-    """(node, cid, set, tree, c, hub): first-level nodes of several classes; c classes, hub the smallest. signed: (cid, set, sig)."""
-    trees = signed.select("cid", "set", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    rows = trees.select("cid", "set", "tree", F.xxhash64("set", "tree", F.get("sig", F.col("tree") * DEPTH)).alias("node"))
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1"), "node")
+def _children(large: DataFrame, signed: DataFrame, level: int) -> DataFrame:
+    """(node, cid, tree) of the level below. large: (node, cid, tree); signed: (cid, sig) of the level's block."""
+    at = 2 * F.col("tree") + 2 * TREES * (level % LEVELS)
+    more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(3)) == 0
+    both = F.array(F.xxhash64("node", F.lit(0), F.get("sig", at)), F.xxhash64("node", F.lit(1), F.get("sig", at + 1)))
+    return large.join(signed, "cid").select(F.explode(F.when(more, both).otherwise(F.slice(both, 1, 1))).alias("node"), "cid", "tree")
 
 
-def _leaves(rows: DataFrame, signed: DataFrame, bodies: DataFrame, sets: list[int], scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None, DataFrame | None]:
-    """(node, cid, label) of every node of 2 to LEAF classes that are still apart, and (cid, set, tree, level) of larger ones;
-    (node, cid, label) of classes that leave a larger node for a small one or alone, and of the larger node's hubs.
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows (node, cid, tree, label) of nodes that hold several labels, with c (classes), x (classes without the main label), lead (is one of these)."""
+    each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+    nodes = each.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "label")).alias("most")).filter("c > most.n")
+    return rows.join(nodes, "node").select("node", "cid", "tree", "label", "c", (F.col("c") - F.col("most.n")).alias("x"), (F.col("label") != F.col("most.label")).alias("lead"))
 
-    rows: (node, cid, set, tree, label) of the first level. signed: (cid, set, sig) for the first DEPTH levels.
-    Nodes whose classes are all in one component have nothing left to find, and don't branch.
-    """
-    small, deep, leavers, hubs, level = [], [], [], [], 1
-    while True:
-        counts = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c = 1 OR lo < hi").select("node", "c")
-        here = scratch.save(rows.join(counts, "node"))
-        small.append(here.filter(F.col("c").between(2, LEAF)).select("node", "cid", "label"))
-        if level > 1:
-            leavers.append(here.filter(F.col("c") <= LEAF).select(F.col("parent").alias("node"), "cid", "label"))
-        large = here.filter(F.col("c") > LEAF)
-        if large.isEmpty():
-            break
-        if level >= MAX_LEVELS:
-            small.append(_part_pairs(large))
-            break
-        hubs.append(_hubs(large))
-        deep.append(large.select("cid", "set", "tree", F.lit(level).alias("level")))
-        if level % DEPTH == 0:
-            signed = scratch.save(_signed_again(bodies, large.select("cid").distinct(), sets, level // DEPTH))
-        token = F.get("sig", F.col("tree") * DEPTH + level % DEPTH)
-        rows = large.join(signed.select("cid", "set", "sig"), ["cid", "set"]).select(F.xxhash64("node", token).alias("node"), "cid", "set", "tree", "label", F.col("node").alias("parent"))
-        level += 1
-    small, deep, leavers, hubs = (reduce(DataFrame.unionByName, x) if x else None for x in (small, deep, leavers, hubs))
-    return small, deep, leavers, hubs
 
+def _with_hubs(large: DataFrame, time: int) -> DataFrame:
+    """Rows of large nodes, HUBS of each node as its leads; others each time."""
+    part, least = F.pmod(F.xxhash64("cid", F.lit(time)), F.lit(HUBS)), F.struct(F.xxhash64("cid", F.lit(-time)), "cid")
+    hubs = large.groupBy("node", part.alias("part")).agg(F.min(least).alias("h")).select("node", F.col("h.cid").alias("cid"), F.lit(True).alias("is"))
+    return large.drop("lead").join(hubs, ["node", "cid"], "left").withColumn("lead", F.coalesce("is", F.lit(False))).drop("is")
 
-def _part_pairs(large: DataFrame) -> DataFrame:
-    """(node, cid, label): each two parts of a large node (node, cid, label, c), about LEAF classes each, as a node."""
-    n = F.ceil(F.col("c") / LEAF).cast("int")
-    parts = large.select("node", "cid", "label", F.pmod(F.xxhash64("cid", "node"), n).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
-    return parts.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", "label")
 
+def _cells(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows by cell: leads are in every cell of their node, others in one, which is a lead's home too. rows: (node, cid, label, lead, c)."""
+    cells, own = F.ceil(F.col("c") / CELL).cast("int"), F.pmod(F.xxhash64("cid", "node"), F.ceil(F.col("c") / CELL)).cast("int")
+    dealt = rows.select(F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(own))).alias("part"), own.alias("own"), "node", "cid", "label", "lead")
+    dealt = dealt.select(F.xxhash64("node", "part").alias("cell"), "node", "cid", "label", "lead", (F.col("part") == F.col("own")).alias("home"))
+    return dealt.join(known, "cid").select("cell", "node", "cid", "label", "lead", "home", "n", "sketch", "nodes")
 
-def _missing(deep: DataFrame, trees: int) -> DataFrame:
-    """(cid, miss): log of the probability that trees trees miss a link at the threshold. deep: (cid, set, tree, level) of large nodes.
 
-    Trees in which a class was in no large node ended at the first level.
-    """
-    s = PERCENT / 100
-    ends = deep.groupBy("cid", "set", "tree").agg((F.max("level") + 1).alias("depth"))
-    of = ends.groupBy("cid").agg(F.sum(F.log1p(-F.pow(F.lit(s), F.col("depth")))).alias("m"), F.count("*").alias("n"))
-    return of.select("cid", (F.col("m") + (trees - F.col("n")) * math.log1p(-s)).alias("miss"))
-
-
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a class and one of its node's hubs, if their labels differ and sizes and sketches allow a link."""
-    width = TREES * DEPTH
-    for t in pieces(batches, 2048):
-        cid, label, n = (t.column(c).to_numpy() for c in ("cid", "label", "n"))
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, width)
-        hubs = t.column("hubs")
-        of = np.repeat(np.arange(t.num_rows), hubs.value_lengths().to_numpy())
-        flat = hubs.flatten()
-        h, h_label, h_n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "label", "n"))
-        at = np.flatnonzero((h_label != label[of]) & (100 * np.minimum(n[of], h_n) >= PERCENT * np.maximum(n[of], h_n)))
-        h_sk = np.frombuffer(b"".join(flat.field("sketch").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), width)
-        at = at[(sk[of[at]] == h_sk).mean(axis=1) >= SKETCH_FLOOR]
-        x, y = cid[of[at]], h[at]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
-
-
-def _with_hubs(rows: DataFrame, hubs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes (node, cid, label) with the hubs (node, cid, label) of their nodes that have other labels, if their sketches allow a link."""
-    known = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
-    apart = hubs.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    of = hubs.join(known, "cid").groupBy("node").agg(F.collect_list(F.struct("cid", "label", "n", "sketch")).alias("hubs"))
-    some = rows.select("node", "cid", "label").join(apart, "node").filter("label != lo OR label != hi").drop("lo", "hi")
-    return some.join(known, "cid").join(of, "node").select("cid", "label", "n", "sketch", "hubs").mapInArrow(_likely, "a long, b long").distinct()
-
-
-def _hubs(large: DataFrame) -> DataFrame:
-    """(node, cid, label): the smallest class of each of HUBS parts of each node."""
-    parts = large.groupBy("node", F.pmod(F.xxhash64("cid", "node"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("cid", "label")).alias("h"))
-    return parts.select("node", "h.cid", "h.label")
-
-
-def _outsiders(rows: DataFrame) -> DataFrame:
-    """Rows of each node that don't have its most frequent label."""
-    most = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-    return rows.join(most, "node").filter("label != most")
+def _parts(large: DataFrame) -> DataFrame:
+    """(node, cid, label, lead, c): every two parts of a node, about LEAF classes each, as a node; all are leads."""
+    n = F.ceil(F.col("c") / LEAF).cast("int")
+    parts = large.select("node", "cid", "label", F.pmod(F.xxhash64("cid", "node"), n).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    return parts.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", "label", F.lit(True).alias("lead"), F.lit(1).alias("c"))
 
 
-def _pairs():
-    """Candidates of each leaf whose sizes and sketches allow a link; rows come by node."""
+RUNS = "run long, first boolean, cid long, label long, leads array<long>"
 
-    def of(cid: np.ndarray, n: np.ndarray, sk: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(cid)
-        cid, n, sk, label = cid[order], n[order], sk[order], label[order]
-        left, right = [], []
-        for i in range(len(cid) - 1):
-            rest = slice(i + 1, None)
-            ok = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= PERCENT * np.maximum(n[rest], n[i]))
-            ok &= (sk[rest] == sk[i]).mean(axis=1) >= SKETCH_FLOOR
-            at = np.flatnonzero(ok) + i + 1
-            left.append(np.full(len(at), cid[i]))
-            right.append(cid[at])
-        return np.concatenate(left), np.concatenate(right)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _with_end(batches):
-            t = None if b is None else pa.Table.from_batches([b])
-            if rest is not None:
-                t = rest if t is None else pa.concat_tables([rest, t])
-            if t is None or not t.num_rows:
-                continue
-            node = t.column("node").to_numpy()
-            cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-            bounds = [0, *cuts.tolist(), len(node)]
-            if b is not None:  # the last node may go on in the next batch
-                rest = t.slice(bounds[-2])
-                bounds = bounds[:-1]
-            cid, n, label = (t.column(c).to_numpy() for c in ("cid", "n", "label"))
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-            found = [of(cid[s:e], n[s:e], sk[s:e], label[s:e]) for s, e in zip(bounds, bounds[1:], strict=False) if e - s > 1]
-            if found:
-                x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For RUN leads of a cell at a time: each lead that sizes and sketches allow a link with another label, and each class with the leads that it may be linked with.
 
-    return run
+    Rows come by cell. Pairs that share a lesser node are left to that node.
+    """
+    ones, floor = np.uint64(0x0101010101010101), int(np.ceil(SKETCH_FLOOR * WIDTH))
+
+    def of(cell: int, node: int, cid, label, lead, home, n, sk, nodes: pa.ListArray) -> Iterator[tuple]:
+        flat, ends = nodes.flatten().to_numpy(), np.concatenate(([0], np.cumsum(nodes.value_lengths().to_numpy())))
+        less = flat < node
+        leads = np.flatnonzero(lead)
+        for part in range(0, len(leads), RUN):
+            met: dict[int, list[int]] = {}
+            used = []
+            for i in leads[part : part + RUN]:
+                once = ~lead | ((cid > cid[i]) & home)
+                at = np.flatnonzero((label != label[i]) & once & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+                if not len(at):
+                    continue
+                # Each byte of the eight-byte sums counts up to WIDTH / 8 places; the product adds the bytes up.
+                with np.errstate(over="ignore"):
+                    at = at[((sk[at] == sk[i]).view(np.uint64).sum(axis=1) * ones) >> np.uint64(56) >= floor]
+                mine = flat[ends[i] : ends[i + 1]]
+                mine = mine[mine < node]
+                if len(at) and len(mine):
+                    shared = np.concatenate(([0], np.cumsum(np.isin(flat, mine) & less)))
+                    at = at[shared[ends[at + 1]] == shared[ends[at]]]
+                if len(at):
+                    used.append(i)
+                    for j in at.tolist():
+                        met.setdefault(j, []).append(int(cid[i]))
+            run = xxhash.xxh3_64_intdigest(int(cell).to_bytes(8, "little", signed=True), part) - (1 << 63)
+            yield from ((run, True, int(cid[i]), int(label[i]), []) for i in used)
+            yield from ((run, False, int(cid[j]), int(label[j]), own) for j, own in met.items())
+
+    for t in _whole(batches, "cell"):
+        cell, node, cid, label, n = (t.column(c).to_numpy() for c in ("cell", "node", "cid", "label", "n"))
+        lead, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "home"))
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cell), -1)
+        nodes = t.column("nodes").combine_chunks()
+        bounds = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        out = [x for s, e in zip(bounds, bounds[1:], strict=False) if e - s > 1 for x in of(cell[s], node[s], cid[s:e], label[s:e], lead[s:e], home[s:e], n[s:e], sk[s:e], nodes.slice(s, e - s))]
+        if out:
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["run", "first", "cid", "label", "leads"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables in which no run of equal keys is cut. Rows come by key."""
+    rest = None
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            keys = t.column(key).to_numpy()
+            cut = len(keys) - int((keys[::-1] != keys[-1]).argmax()) if keys[0] != keys[-1] else 0
+            if cut:
+                yield t.slice(0, cut)
+            rest = t.slice(cut)
+    if rest is not None:
+        yield rest
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each run, but for those between labels that others of them have joined. Rows come by run, leads first."""
+    hashes, run, sets, up = WordHashes(), None, {}, {}
 
+    def top(x: int) -> int:
+        while (above := up.get(x, x)) != x:
+            up[x] = x = up.get(above, above)
+        return x
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, key, mine = WordHashes(), None, None
     for batch in pieces(batches, 256):
         a, b = [], []
-        for x, y, s, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts(batch.column("text_a")), texts(batch.column("text_b")), strict=True):
-            if x != key:
-                key, mine = x, shingles(s.lower().split(), hashes)
-            other = shingles(t.lower().split(), hashes)
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            if 100 * both >= PERCENT * (len(mine) + len(other) - both):
-                a.append(x)
-                b.append(y)
+        for r, first, cid, label, leads, t in zip(*(batch.column(c).to_pylist() for c in ("run", "first", "cid", "label", "leads")), texts(batch.column("text")), strict=True):
+            if r != run:
+                run, sets, up = r, {}, {}
+            own = shingles(t.lower().split(), hashes)
+            if first:
+                sets[cid] = label, own
+                continue
+            for x in leads:
+                other, theirs = sets[x]
+                if top(other) != top(label):
+                    both = len(np.intersect1d(theirs, own, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(theirs) + len(own) - both):
+                        up[top(label)] = top(other)
+                        a.append(x)
+                        b.append(cid)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    ends = pairs.join(bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = ends.join(bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(_confirm, "a long, b long")
-
-
 def near_dup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text)."""
     scratch = Scratch(docs.sparkSession)
@@ -285,57 +253,59 @@ def near_dup(docs: DataFrame) -> DataFrame:
     members = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     firsts = members.groupBy("cid").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "sketch")).alias("x"))
     classes = scratch.save(firsts.select("cid", "x.*"))
-    nodes = scratch.save(_first_nodes(classes.select("cid", F.lit(0).alias("set"), "sig")))
+    nodes = scratch.save(_first_nodes(classes))
     ids = nodes.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
     bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text").dropDuplicates(["cid"]))
+    known = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
+    links, labels = None, None
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return scratch.save(_confirmed(pairs, bodies))
+    def labelled(some: DataFrame) -> DataFrame:
+        return some.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    def labelled(some: DataFrame, known: DataFrame) -> DataFrame:
-        return some.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    def compare(some: DataFrame, small: DataFrame | None = None) -> None:
+        """Adds the links of leads and other classes of their nodes. small: (cid, nodes), where pairs may meet earlier."""
+        nonlocal links, labels
+        each = known.withColumn("nodes", F.array().cast("array<bigint>")) if small is None else known.join(small, "cid")
+        runs = _cells(some, each).repartition("cell").sortWithinPartitions("cell").mapInArrow(_runs, RUNS)
+        found = runs.join(bodies, "cid").select("run", "first", "cid", "label", "leads", "text").repartition("run").sortWithinPartitions("run", F.desc("first"))
+        own = scratch.save(found.mapInArrow(_confirm, "a long, b long"))
+        links = own if links is None else links.unionByName(own)
+        labels = merged(links, scratch, 2)
 
     # First each class with the smallest one of its node, which joins most of what belongs together.
-    some = nodes.filter(F.col("tree") < HUB_TREES).withColumn("label", F.col("cid"))
-    tried = scratch.save(_with_hubs(some, some.filter("cid = hub"), classes).distinct())
-    links = confirmed(tried)
-    # Then, in large nodes, those outside the main component with HUBS of the others.
-    wide = labelled(nodes.filter(F.col("c") > LEAF).select("node", "cid"), merged(links, scratch, 2))
-    also = scratch.save(_with_hubs(_outsiders(wide), _hubs(wide), classes).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(also))
-    # Last, all pairs of small nodes whose ends are still in different components, in as many trees as their depth asks for.
-    tried, signed_by, sets, total, open_ = tried.unionByName(also), classes.select("cid", F.lit(0).alias("set"), "sig"), [0], 1, None
-    while True:
-        apart = labelled(nodes.select("node", "cid", "set", "tree"), merged(links, scratch, 2))
-        found, deep, leavers, hubs = _leaves(apart, signed_by, bodies, sets, scratch)
-        leaves = found.join(classes.select("cid", F.col("n_shingles").alias("n"), "sketch"), "cid").repartition("node").sortWithinPartitions("node")
-        close = leaves.mapInArrow(_pairs(), "a long, b long")
-        if leavers is not None:
-            close = close.unionByName(_with_hubs(leavers, hubs, classes))
-        rest = scratch.save(close.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(rest), links.unionByName(confirmed(rest))
-        if open_ is None and deep is None:
-            break
-        # Classes in no large node this time ended each tree at its first level.
-        of = deep and _missing(deep, TREES * len(sets))
-        if open_ is None:
-            now = of
-        else:
-            shallow = F.lit(TREES * len(sets) * math.log1p(-PERCENT / 100))
-            now = open_.withColumn("miss", F.col("miss") + shallow) if of is None else open_.join(of.withColumnRenamed("miss", "more"), "cid", "left").select("cid", (F.col("miss") + F.coalesce("more", shallow)).alias("miss"))
-        open_ = scratch.save(now.filter(F.col("miss") > math.log(1 - RECALL)))
-        worst = open_.agg(F.max("miss")).first()[0]
-        if worst is None:
+    some = nodes.filter(F.col("tree") < HUB_TREES)
+    sized = some.join(some.groupBy("node").agg(F.count("*").alias("c")), "node")
+    compare(sized.select("node", "cid", F.col("cid").alias("label"), (F.col("cid") == F.col("hub")).alias("lead"), "c"))
+
+    # Down the trees, in large first nodes with hubs before.
+    rows_in, small, level, sign = nodes.select("node", "cid", "tree"), [], 1, classes.select("cid", "sig")
+    is_large = (F.col("c") > LEAF) & (F.col("x") > LEAF)
+    here = scratch.save(_apart(labelled(rows_in)))
+    for time in range(1, HUB_ROUNDS + 1):
+        large = here.filter(is_large & (F.col("tree") < HUB_TREES))
+        if not large.isEmpty():
+            compare(_with_hubs(large, time))
+            here = scratch.save(_apart(labelled(rows_in)))
+    columns = ["node", "cid", "label", "lead", "c"]
+    while not (large := here.filter(is_large)).isEmpty():
+        small.append(here.filter(~is_large).select(columns))
+        if level == MAX_LEVELS:
             break
-        # A class whose trees so far give miss needs log(1 - RECALL) / miss times as many.
-        need = math.ceil(total * (math.log(1 - RECALL) / worst - 1)) if worst < 0 else SETS
-        sets = list(range(total, total + min(SETS, max(1, need))))
-        total += len(sets)
-        signed_by = scratch.save(_signed_again(bodies, open_, sets, 0))
-        nodes = scratch.save(_first_nodes(signed_by))
-    known = components(links, scratch)
-
-    labels = classes.select("cid", "doc_id").join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        if level % LEVELS == 0:
+            own = bodies.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
+            sign = scratch.save(own.mapInArrow(_signatures(level // LEVELS), "cid long, sig array<int>"))
+        rows_in = scratch.save(_children(large.select("node", "cid", "tree"), sign, level))
+        level += 1
+        here = scratch.save(_apart(labelled(rows_in)))
+    else:
+        small.append(here.select(columns))
+    met = reduce(DataFrame.unionByName, small)
+    compare(met, met.groupBy("cid").agg(F.collect_list("node").alias("nodes")))
+    if not large.isEmpty():
+        compare(_parts(large))
+    joined = components(links, scratch)
+
+    labels = classes.select("cid", "doc_id").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = labels.groupBy("label").agg(F.min("doc_id").alias("component"))
     of_class = labels.join(heads, "label").select("cid", "component")
     found = signed.select("doc_id", "text_key", "n_shingles", "cid").join(of_class, "cid", "left")

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import exact_dedup, near_dup, seeds, substring_dedup, suffix_dedup
-from quillstone.llm.common import Scratch
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, cid string, rank int"
@@ -125,17 +124,37 @@ def test_near_nodes_that_stay_large_are_compared_whole(spark, monkeypatch):
     assert near_recall(spark, family(150, 60)) == 1
 
 
-def test_near_classes_that_leave_a_large_node_meet_its_hubs(spark):
-    """Trees 2 and up, level 2 and deeper: who drops out alone is among the leavers, and the node it left has hubs."""
-    n = near_dup.LEAF + 44
-    alone = 7
-    sig = lambda i: [0] * 5 * near_dup.DEPTH + [0, i if i == alone else 1] + ([i] if i != alone else [0]) + [0] * (11 * near_dup.DEPTH - 3)
-    signed = spark.createDataFrame([(i, 0, sig(i)) for i in range(n)], "cid long, set int, sig array<int>")
-    first = near_dup._first_nodes(signed).filter("tree = 5").select("node", "cid", "set", "tree", F.col("cid").alias("label"))
-    _, _, leavers, hubs = near_dup._leaves(first, signed, None, [0], Scratch(spark))
-    node = first.select("node").first()[0]
-    assert alone in {r["cid"] for r in leavers.filter(F.col("node") == node).collect()}
-    assert hubs.filter(F.col("node") == node).count() == near_dup.HUBS
+def test_near_boilerplate_family(spark, monkeypatch):
+    """240 texts that share most of their shingles without being linked, 120 of them with a planted copy near the threshold."""
+    monkeypatch.setattr(near_dup, "LEAF", 16)
+    rng = random.Random(4)
+    core = [f"c{i}" for i in range(800)]
+    own = [[f"t{k}x{i}" for i in range(165)] for k in range(240)]
+    docs = [(k, " ".join([*core, *own[k]])) for k in range(240)]
+    for k in range(120):
+        other = list(own[k])
+        at = rng.randrange(len(other) - 130)
+        other[at : at + 130] = [f"u{k}x{i}" for i in range(130)]
+        docs.append((240 + k, " ".join([*core, *other])))
+    assert near_recall(spark, docs) >= 0.97
+
+
+def test_near_survival_by_depth():
+    """A pair at the threshold stays together in a tree as often as the docstring says."""
+    rng = np.random.default_rng(5)
+
+    def together(depth):
+        nodes = int(rng.random() < 0.75)
+        for _ in range(depth - 1):
+            nodes = int(rng.binomial(nodes + rng.binomial(nodes, 1 / 3), 0.75))
+        return nodes > 0
+
+    p = 1.0
+    for depth in range(1, near_dup.MAX_LEVELS + 1):
+        if depth in (1, 4, near_dup.MAX_LEVELS):
+            assert abs(np.mean([together(depth) for _ in range(20_000)]) - 0.75 * p) < 0.015
+        assert 1 - (1 - 0.75 * p) ** near_dup.TREES >= 0.99
+        p -= 3 / 16 * p * p
 
 
 def test_near_null_ids_and_repeated_rows(spark):
