@@ -155,7 +155,7 @@ RUNS = "run long, first boolean, cid long, label long, leads array<long>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For RUN leads of a cell at a time: each lead that sizes and sketches allow a link with another label, and each class with the leads that it may be linked with.
+    """For RUN leads of a cell at a time: those that sizes and sketches allow a link with another label, and the classes in question, each with its leads.
 
     Rows come by cell. Pairs that share a lesser node are left to that node.
     """
@@ -166,13 +166,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         less = flat < node
         leads = np.flatnonzero(lead)
         for part in range(0, len(leads), RUN):
-            met: dict[int, list[int]] = {}
-            used = []
-            for i in leads[part : part + RUN]:
+            own = leads[part : part + RUN]
+            likely = np.zeros((len(own), len(cid)), bool)
+            for row, i in zip(likely, own, strict=True):
                 once = ~lead | ((cid > cid[i]) & home)
                 at = np.flatnonzero((label != label[i]) & once & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-                if not len(at):
-                    continue
                 # Each byte of the eight-byte sums counts up to WIDTH / 8 places; the product adds the bytes up.
                 with np.errstate(over="ignore"):
                     at = at[((sk[at] == sk[i]).view(np.uint64).sum(axis=1) * ones) >> np.uint64(56) >= floor]
@@ -181,24 +179,34 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(at) and len(mine):
                     shared = np.concatenate(([0], np.cumsum(np.isin(flat, mine) & less)))
                     at = at[shared[ends[at + 1]] == shared[ends[at]]]
-                if len(at):
-                    used.append(i)
-                    for j in at.tolist():
-                        met.setdefault(j, []).append(int(cid[i]))
-            run = xxhash.xxh3_64_intdigest(int(cell).to_bytes(8, "little", signed=True), part) - (1 << 63)
-            yield from ((run, True, int(cid[i]), int(label[i]), []) for i in used)
-            yield from ((run, False, int(cid[j]), int(label[j]), own) for j, own in met.items())
+                row[at] = True
+            used, met = own[likely.any(axis=1)], np.flatnonzero(likely.any(axis=0))
+            if len(met):
+                run = xxhash.xxh3_64_intdigest(int(cell).to_bytes(8, "little", signed=True), part) - (1 << 63)
+                of_met, by = np.nonzero(likely[:, met].T)
+                at = np.concatenate((used, met))
+                sizes = np.concatenate((np.zeros(len(used), np.int64), np.bincount(of_met, minlength=len(met))))
+                yield np.full(len(at), run), np.arange(len(at)) < len(used), cid[at], label[at], sizes, cid[own[by]]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        run, first, cid, label, sizes, leads = (np.concatenate(x) for x in zip(*out, strict=True))
+        of = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(leads))
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(first), pa.array(cid), pa.array(label), of], names=["run", "first", "cid", "label", "leads"])
 
     for t in _whole(batches, "cell"):
         cell, node, cid, label, n = (t.column(c).to_numpy() for c in ("cell", "node", "cid", "label", "n"))
         lead, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "home"))
         sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cell), -1)
         nodes = t.column("nodes").combine_chunks()
-        bounds = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-        out = [x for s, e in zip(bounds, bounds[1:], strict=False) if e - s > 1 for x in of(cell[s], node[s], cid[s:e], label[s:e], lead[s:e], home[s:e], n[s:e], sk[s:e], nodes.slice(s, e - s))]
+        bounds, out = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)], []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if e - s > 1:
+                out += of(cell[s], node[s], cid[s:e], label[s:e], lead[s:e], home[s:e], n[s:e], sk[s:e], nodes.slice(s, e - s))
+            if sum(len(x[0]) for x in out) > 4096:
+                yield batch(out)
+                out = []
         if out:
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["run", "first", "cid", "label", "leads"])
+            yield batch(out)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
