@@ -11,8 +11,10 @@ part of NN-descent: pairs that a round misses are met in another.
 A query starts from nodes of the graph that its own vector suggests and, round by round, joins the neighbours of its best
 nodes, until its best BEAM no longer change. Scores are inner products in double precision on the original vectors.
 
-Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids. Nearest of equal score
-is the smaller id. Rows that repeat an id are different rows. With fewer candidates than k, all of them come back.
+Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids, nor vectors that are not of
+the most frequent length (of equally frequent ones, the greater). Nearest of equal score is the smaller id; final scores are
+all summed up in one way, component by component, so that equal ones are equal. Rows that repeat an id are different rows.
+With fewer candidates than k, all of them come back. Empty tables give empty results; extra columns stay behind.
 """
 
 from __future__ import annotations
@@ -206,9 +208,10 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: Data
 def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every row for which is_query(id) holds."""
     scratch = Scratch(rows.sparkSession)
-    own = scratch.save(usable(rows, key, vector).withColumn("row", F.monotonically_increasing_id()))
-    head = own.select(F.size("v")).first()
+    valid = scratch.save(usable(rows, key, vector).withColumn("row", F.monotonically_increasing_id()))
+    head = valid.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = head[0] if head else 1
+    own = valid.filter(F.size("v") == dim)
     # Equal vectors are one node, known by its smallest id; of its rows, the k + 1 smallest ids can be among the nearest.
     classes = own.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.min("row").alias("id"))
     nodes = scratch.save(classes.select("id", "h", "v"))
@@ -221,7 +224,7 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
     queries = scratch.save(nodes.join(at, nodes["id"] == at["node"], "left_semi").select("id", "v"))
     itself = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     entries = itself.unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node"), "score"))
-    found = search(queries, entries, edges, nodes, scratch)
+    found = scratch.save(_scored(search(queries, entries, edges, nodes, scratch).select("query", "node"), queries, nodes))
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id", "row"))
     near = members.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r")
     listed = found.join(near, "node").select("query", "score", "vec_id", "row")

@@ -182,6 +182,25 @@ def test_recall_without_structure_and_with_copies(spark):
     assert recall(spark, rows, 20) >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_on_larger_tables(spark, clusters):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((12_000, 64)) + (3 * rng.standard_normal((clusters, 64))[rng.integers(0, clusters, 12_000)] if clusters else 0)
+    rows = [(i, x.tolist()) for i, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float))]
+    got = ann.nearest(vectors(spark, rows), lambda i: i % 20 == 0).select("query_id", "vec_id").collect()
+    m = np.array([x for _, x in rows])
+    scores = m[::20] @ m.T
+    scores[np.arange(len(scores)), np.arange(0, len(m), 20)] = -np.inf
+    want = {20 * q: set(np.argpartition(-s, 19)[:20].tolist()) for q, s in enumerate(scores)}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) / (20 * len(want)) >= 0.9
+
+
+def test_vectors_of_unequal_length(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(30)] + [(40, [1.0, 2.0]), (60, [1.0] * 5), (61, [2.0, 1.0])]
+    got = ann.nearest(vectors(spark, rows), lambda i: i % 20 == 0).collect()
+    assert {r["query_id"] for r in got} == {0, 20} and {r["vec_id"] for r in got} <= set(range(30)) and len(got) == 40
+
+
 def test_search_goes_on_until_beams_settle(spark):
     """A chain of nodes, each better than the one before: the best is twelve hops away."""
     nodes = spark.createDataFrame([(i, [i + 1.0]) for i in range(13)], "id long, v array<double>")
