@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, rerank
+from ..sources.stored import stored
 from ..streaming.ingest import rates
 from .registry import query, table
 from .rerank import SQL_FALLBACK, _final
@@ -35,7 +36,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """(queries, ranked, qrels)"""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     gold = containing(table(spark, sf_dir, "documents"), items)
-    return items.select("query_id"), metrics.predicted(keyword_hits(spark, sf_dir, POOL), "point_id"), gold
+    return items.select("query_id"), metrics.predicted(stored(keyword_hits(spark, sf_dir, POOL)), "point_id"), stored(gold)
 
 
 SQL_EVAL = f"""{sql_keyword(POOL)},

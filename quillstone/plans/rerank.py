@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_score, token_set
 from ..operators import rerank, search
+from ..sources.stored import stored
 from .registry import query, sql_squeeze, sql_token_set, table
 from .search import POOL, asked, keyword_hits, sql_keyword
 
@@ -14,9 +15,15 @@ THRESHOLD = 0.5
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, point_id, score, rank with the hit's text, source, lang, n_chars and the query's text."""
+    """query_id, point_id, score, rank with the hit's text, source, lang, n_chars and tokens, and the query's text and tokens.
+
+    Tokens are told apart once for each text that was hit, not for each hit.
+    """
+    found = stored(keyword_hits(spark, sf_dir, POOL))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang", "source", "n_chars")
-    return keyword_hits(spark, sf_dir, POOL).join(docs, "point_id").join(asked(spark, sf_dir).select("query_id", F.col("text").alias("query_text")), "query_id")
+    docs = docs.join(found.select("point_id").distinct(), "point_id", "left_semi").withColumn("tokens", token_set(F.col("text")))
+    queries = asked(spark, sf_dir).select("query_id", F.col("text").alias("query_text"), token_set(F.col("text")).alias("query_tokens"))
+    return found.join(docs, "point_id").join(queries, "query_id")
 
 
 SQL_HITS = f"{sql_keyword(POOL)}, hits AS (SELECT kw.*, d.text, d.lang, d.source, d.n_chars, b.text AS query_text FROM kw JOIN documents d ON d.doc_id = point_id JOIN benchmark b ON b.item_id = query_id)"
@@ -24,34 +31,40 @@ SQL_LEXICAL = f"lex AS (SELECT query_id, point_id, score, rank, CASE WHEN len(q)
 SQL_RERANKED = f"re AS (SELECT query_id, point_id, score, rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, rank) AS rerank_rank FROM lex WHERE rerank_score >= {THRESHOLD})"
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their lexical score and content key instead of texts, written once for all that is made of them."""
+    own = hits(spark, sf_dir).withColumn("lexical", lexical_score(F.col("query_tokens"), F.col("tokens"))).withColumn("ck", rerank.content_key(F.col("text")))
+    return stored(own.select("query_id", "point_id", "score", "rank", "source", "lexical", "ck"))
+
+
 def _reranked(own: DataFrame) -> DataFrame:
-    return rerank.rerank(own, lexical_score(token_set(F.col("query_text")), token_set(F.col("text"))), THRESHOLD)
+    return rerank.rerank(own, F.col("lexical"), THRESHOLD)
 
 
 @query("lexical_score", f"WITH {SQL_HITS}, {SQL_LEXICAL} SELECT query_id, point_id, round(rerank_score, 6) AS lexical FROM lex")
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).select("query_id", "point_id", F.round(lexical_score(token_set(F.col("query_text")), token_set(F.col("text"))), 6).alias("lexical"))
+    return hits(spark, sf_dir).select("query_id", "point_id", F.round(lexical_score(F.col("query_tokens"), F.col("tokens")), 6).alias("lexical"))
 
 
 @query("rerank_lexical", f"WITH {SQL_HITS}, {SQL_LEXICAL}, {SQL_RERANKED} SELECT query_id, point_id, rerank_rank, round(rerank_score, 6) AS rerank_score FROM re WHERE rerank_rank <= 5")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(hits(spark, sf_dir)).filter("rerank_rank <= 5").select("query_id", "point_id", "rerank_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    return _reranked(_scored(spark, sf_dir)).filter("rerank_rank <= 5").select("query_id", "point_id", "rerank_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("rerank_threshold", f"WITH {SQL_HITS}, {SQL_LEXICAL} SELECT query_id, count(*) AS n FROM lex WHERE rerank_score >= {THRESHOLD} GROUP BY query_id")
 def rerank_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(hits(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"))
+    return _reranked(_scored(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 SQL_FALLBACK = f"""WITH {SQL_HITS}, {SQL_LEXICAL}, {SQL_RERANKED},
-final AS (SELECT query_id, point_id, rerank_rank AS final_rank, rerank_score FROM re WHERE rerank_rank <= 5 AND query_id % 3 > 0
-  UNION ALL SELECT query_id, point_id, rank, NULL FROM hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM re WHERE query_id % 3 > 0))"""
+final AS (SELECT query_id, point_id, rerank_rank AS final_rank, rerank_score FROM re WHERE rerank_rank <= 5
+  UNION ALL SELECT query_id, point_id, rank, NULL FROM hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM re))"""
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every third passage the reranker leaves nothing, as if all of it were under the threshold."""
-    own = hits(spark, sf_dir)
-    return rerank.with_fallback(_reranked(own).filter("query_id % 3 > 0"), own, 5)
+    """Passages of which the threshold leaves nothing keep the first list."""
+    own = _scored(spark, sf_dir)
+    return rerank.with_fallback(_reranked(own), own, 5)
 
 
 @query("rerank_fallback", f"{SQL_FALLBACK} SELECT query_id, point_id, final_rank, rerank_score IS NOT NULL AS reranked FROM final")
@@ -107,11 +120,20 @@ def diverse_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.diverse(_keyed(hits(spark, sf_dir)), 30, 1).select("query_id", "point_id", "final_rank")
 
 
-@query("retrieve_rerank")
+SQL_WHOLE = f"""WITH {SQL_HITS}, {SQL_LEXICAL},
+one AS (SELECT hits.query_id, hits.point_id, hits.score, hits.rank, hits.source, rerank_score FROM hits JOIN lex ON lex.query_id = hits.query_id AND lex.point_id = hits.point_id QUALIFY row_number() OVER (PARTITION BY hits.query_id, {SQL_KEY} ORDER BY hits.rank) = 1),
+re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, rank) AS place FROM one WHERE rerank_score >= {THRESHOLD}),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(source, '-' || point_id) ORDER BY place) AS n FROM re),
+di AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (source IS NOT NULL AND n > 1), place) AS final_rank FROM ca)
+SELECT query_id, point_id, final_rank, round(rerank_score, 6) AS rerank_score FROM di WHERE final_rank <= 5
+UNION ALL SELECT query_id, point_id, rank, NULL FROM hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM di)"""
+
+
+@query("retrieve_rerank", SQL_WHOLE)
 def retrieve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path: 40 candidates, duplicates out, lexical reranking, one hit a source first, what is left filled up, else the first list."""
-    own = hits(spark, sf_dir)
-    once = rerank.first_of(own.withColumn("ck", rerank.content_key(F.col("text"))), ["query_id", "ck"], "rank")
+    own = _scored(spark, sf_dir)
+    once = rerank.first_of(own, ["query_id", "ck"], "rank")
     scored = _reranked(once).withColumn("rank", F.col("rerank_rank")).withColumn("key", F.col("source"))
     chosen = rerank.diverse(scored, 5, 1).withColumn("rerank_rank", F.col("final_rank"))
     return rerank.with_fallback(chosen, own, 5).select("query_id", "point_id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import verify
+from ..sources.stored import stored
 from .registry import WS, query, sql_compact, sql_squeeze, sql_token_set, table
 from .rerank import SQL_HITS, hits
 from .text import SQL_VALUES, digest
@@ -26,10 +27,10 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passage's hits, named by their rank, so that the answers' citations point somewhere."""
+    """The passage's hits, named by their rank, so that the answers' citations point somewhere; written once, as checks read them often."""
     r = (F.col("rank") - 1).cast("string")
     own = hits(spark, sf_dir).filter("rank <= 5")
-    return own.select(F.col("query_id").alias("answer_id"), F.concat(F.lit("c"), r, F.lit("_0001")).alias("chunk_id"), F.concat(F.lit("source"), r, F.lit(".pdf")).alias("file_name"), F.col("rank").cast("int").alias("page_number"), F.col("text").alias("evidence"))
+    return stored(own.select(F.col("query_id").alias("answer_id"), F.concat(F.lit("c"), r, F.lit("_0001")).alias("chunk_id"), F.concat(F.lit("source"), r, F.lit(".pdf")).alias("file_name"), F.col("rank").cast("int").alias("page_number"), F.col("text").alias("evidence")))
 
 
 SQL_ANSWERS = """an AS (SELECT item_id AS answer_id, CASE item_id % 6 WHEN 4 THEN 'There is no information.' WHEN 0 THEN text || ' See c0_0001 and c1_0001.' WHEN 1 THEN text || ' Read source 0.pdf, p. 3, of 12 days.'
@@ -92,8 +93,9 @@ def find_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_match", f"WITH {SQL_CITED} SELECT ck.answer_id, chunk_id, list_contains(pages, page_number) OR list_contains(pages, page_number + 1) AS matches FROM ck JOIN ci ON ci.answer_id = ck.answer_id")
 def page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = verify.citations(answers(spark, sf_dir), chunks(spark, sf_dir))
-    return chunks(spark, sf_dir).join(cited.select("answer_id", "pages"), "answer_id").select("answer_id", "chunk_id", T.page_match(F.col("page_number"), F.col("pages")).alias("matches"))
+    own = chunks(spark, sf_dir)
+    cited = verify.citations(answers(spark, sf_dir), own)
+    return own.join(cited.select("answer_id", "pages"), "answer_id").select("answer_id", "chunk_id", T.page_match(F.col("page_number"), F.col("pages")).alias("matches"))
 
 
 @query("citation_candidates", f"WITH {SQL_CITED} SELECT * FROM ca")
