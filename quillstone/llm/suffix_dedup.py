@@ -2,7 +2,8 @@
 
 Every byte covered by a WINDOW-byte string that also starts elsewhere is found. Anchors and contexts narrow the texts to
 places where such strings can be (see seeds): a context that occurs more than once is a repeat as it is. The different
-contexts of an anchor are written one after the other, and the suffix array of that string brings equal windows together.
+contexts of an anchor are cut to what can be repeated at all and written one after the other; the suffix array of that string
+brings equal windows together, and so tells which are repeated.
 
 The suffix array is built in two linear phases. First suffixes are put into groups by their longest Lyndon prefix: groups
 are taken in descending order; pointers to the previous smaller suffix tell which suffixes a group extends, and those
@@ -17,7 +18,7 @@ bytes stay as they are. Removing bytes may part a character; what is kept is byt
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,6 @@ WINDOW, GRAM_DOUBLINGS = 200, 6
 GRAM = 1 << GRAM_DOUBLINGS
 #: Segments of one suffix array hold about so many bytes; an anchor's segments stay together.
 ARRAY_BYTES = 1 << 16
-#: Places in sorted order up to which a context that holds another one is looked for.
-NEIGHBOURS = 4
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -61,8 +60,8 @@ UNIT = seeds.Unit(WINDOW, GRAM, _make)
 REACH = UNIT.reach
 
 
-def suffix_array(text: bytes) -> list[int]:
-    """Starts of the suffixes of text in lexicographic order (a shorter one before its extensions)."""
+def suffix_array(text: Sequence[int]) -> list[int]:
+    """Starts of the suffixes of a string of symbols in lexicographic order (a shorter one before its extensions)."""
     n = len(text)
     first: dict[int, list[int]] = {}
     for i, c in enumerate(text):
@@ -75,7 +74,21 @@ def suffix_array(text: bytes) -> list[int]:
             group[i] = g
     lower = list(range(-1, len(members) - 1))
     upper = [*range(1, len(members)), -1]
+    size = [len(own) for own in members]
     done, prev, final = bytearray(n), [-1] * n, []
+
+    def after(old: int) -> int:
+        """A new group right after the old one."""
+        new, above = len(members), upper[old]
+        members.append([])
+        size.append(0)
+        lower.append(old)
+        upper.append(above)
+        upper[old] = new
+        if above >= 0:
+            lower[above] = new
+        return new
+
     g = len(members) - 1
     while g >= 0:
         own = [i for i in members[g] if group[i] == g]  # others have moved to greater groups since
@@ -83,6 +96,18 @@ def suffix_array(text: bytes) -> list[int]:
             final.append(own)
             for i in own:
                 done[i] = 1
+            if len(own) == 1:  # most groups: what follows, for one suffix
+                p = own[0] - 1
+                while p >= 0 and done[p]:
+                    p = prev[p]
+                prev[own[0]] = p
+                if p >= 0 and size[old := group[p]] > 1:
+                    size[old] -= 1
+                    group[p] = new = after(old)
+                    members[new].append(p)
+                    size[new] = 1
+                g = lower[g]
+                continue
             # The previous smaller suffixes, none before the last: equal ones follow one another.
             met: dict[int, int] = {}
             for i in own:
@@ -92,23 +117,20 @@ def suffix_array(text: bytes) -> list[int]:
                 prev[i] = p
                 if p >= 0:
                     met[p] = met.get(p, 0) + 1
-            times = sorted(set(met.values()), reverse=True) if len(met) > 1 else met.values()
-            for k in dict.fromkeys(times):
+            by_count: dict[int, list[int]] = {}
+            for p, c in met.items():
+                by_count.setdefault(c, []).append(p)
+            for c in sorted(by_count, reverse=True) if len(by_count) > 1 else by_count:
                 moved: dict[int, int] = {}
-                for p, c in met.items():
-                    if c != k:
-                        continue
+                for p in by_count[c]:
                     old = group[p]
+                    if size[old] == 1 and old not in moved:  # alone in its group, which stands for the new one
+                        continue
                     new = moved.get(old)
                     if new is None:  # right after the old group: those met less often come in between later
-                        new = moved[old] = len(members)
-                        above = upper[old]
-                        members.append([])
-                        lower.append(old)
-                        upper.append(above)
-                        upper[old] = new
-                        if above >= 0:
-                            lower[above] = new
+                        new = moved[old] = after(old)
+                    size[old] -= 1
+                    size[new] += 1
                     group[p] = new
                     members[new].append(p)
         g = lower[g]
@@ -156,13 +178,12 @@ def _reaches(sides: list[bytes]) -> list[int]:
     return out
 
 
-def narrowed(contexts: list[tuple]) -> tuple[list[tuple], list[tuple]]:
-    """(contexts, hits) of one anchor's contexts (n, did, uid, pos, segment), no two of them equal.
+def narrowed(contexts: list[tuple]) -> list[tuple]:
+    """(members, left, segment) of one anchor's contexts (n, did, uid, pos, segment), no two of them equal.
 
     What lies farther from the anchor than a context agrees with any other can't be in a repeated window: segments are cut
-    there, and those that are left too short for a window are put aside. Remains that equal another's, or a part of
-    another's around the anchor, are copies: repeats as they are (hits, for both), and the other one stands for them. Where
-    nothing is left to compare it with, it is done too.
+    there, and those that are left too short for a window are put aside. Equal remains are one segment with several members
+    (n, did, uid, pos); left is how much of it lies before the anchor.
     """
     lefts = [min(x[3], REACH) for x in contexts]
     most_left = _reaches([x[4][:a][::-1] for x, a in zip(contexts, lefts, strict=True)])
@@ -170,79 +191,58 @@ def narrowed(contexts: list[tuple]) -> tuple[list[tuple], list[tuple]]:
     same: dict[tuple[int, bytes], list[tuple]] = {}
     for x, a, l, r in zip(contexts, lefts, most_left, most_right, strict=True):
         if l + r >= REACH:
-            same.setdefault((l, x[4][a - l : a + GRAM + r]), []).append(x)
-    hits: list[tuple] = []
-
-    def mark(own: list[tuple], l: int, r: int) -> None:
-        mask = np.zeros(REACH + 1, bool)
-        mask[max(0, REACH - r) : l + 1] = True
-        bits = seeds.packed(mask)
-        hits.extend((*x[1:4], bits) for x in own if x[0] == 1)
-
-    items = [(l, len(segment) - GRAM - l, segment, own) for (l, segment), own in same.items()]
-    whole = _containing(items)
-    for (l, r, _, own), by in zip(items, whole, strict=True):
-        if len(own) > 1 or by is not None:
-            mark(own, l, r)
-        if by is not None and len(items[by][3]) == 1:
-            mark(items[by][3], l, r)
-    rest = [(max(own[0][0], len(own)), *own[0][1:4], l, segment) for (l, _, segment, own), by in zip(items, whole, strict=True) if by is None]
-    return rest if len(rest) > 1 and any(x[0] == 1 for x in rest) else [], hits
-
-
-def _containing(items: list[tuple]) -> list[int | None]:
-    """For (left, right, segment, ...) an item that holds the segment around the anchor and more; the nearest in either order are tried."""
-    out: list[int | None] = [None] * len(items)
-    orders = (sorted(range(len(items)), key=lambda i: items[i][2][: items[i][0]][::-1]), sorted(range(len(items)), key=lambda i: items[i][2][items[i][0] :]))
-    for order in orders:
-        for step in range(1, NEIGHBOURS + 1):
-            for i, j in zip(order, order[step:], strict=False):
-                for x, y in ((i, j), (j, i)):
-                    (l, r, segment, *_), (ly, ry, other, *_) = items[x], items[y]
-                    if out[x] is None and l <= ly and r <= ry and other[ly - l : ly + GRAM + r] == segment:
-                        out[x] = y
-    return out
+            same.setdefault((l, x[4][a - l : a + GRAM + r]), []).append(x[:4])
+    return [(own, l, segment) for (l, segment), own in same.items()]
 
 
-def repeats(contexts: list[tuple]) -> list[tuple]:
-    """(did, uid, pos, windows) of contexts (n, did, uid, pos, left, segment) that occur once but hold windows found elsewhere.
+def repeats(groups: list[list[tuple]]) -> list[tuple]:
+    """(did, uid, pos, windows) of places that occur once, by the windows around them that are found elsewhere.
 
-    left: how much of the segment lies before the anchor at pos.
+    groups: the segments (members, left, segment) of anchors, as narrowed gives them. Windows of a segment with several
+    members, or with one that occurs several times, are repeated; others if the suffix array brings a window of another
+    place next to them. No window starts inside an anchor or after it, so the anchor and what all segments of its group have
+    after it are one symbol of the string, the group's own.
     """
-    text = b"".join(x[5] for x in contexts)
-    owner: list[int] = [-1] * len(text)
-    starts, at = [], 0
-    for j, (*_, segment) in enumerate(contexts):
-        starts.append(at)
-        fit = max(0, len(segment) - WINDOW + 1)
-        owner[at : at + fit] = [j] * fit
-        at += len(segment)
+    segments, text, owner, starts = [], [], [], []
+    for g, own in enumerate(groups):
+        rights = [segment[left + GRAM :] for _, left, segment in own]
+        common = GRAM + _common(min(rights), max(rights))
+        for members, left, segment in own:
+            starts.append(len(text))
+            text += segment[:left]
+            text.append(256 + g)
+            text += segment[left + common :]
+            fit = len(segment) - WINDOW + 1
+            owner += [len(segments)] * fit + [-1] * (len(text) - len(owner) - fit)
+            segments.append((members, left, segment))
     masks: dict[int, np.ndarray] = {}
 
-    def mark(run: list[int]) -> None:
+    def mark(run: list[tuple[int, int]]) -> None:
         places = set()
-        for p in run:
-            n, did, uid, pos, left, _ = contexts[j := owner[p]]
-            places.add((did, uid, pos - left + p - starts[j]))
-            if n > 1:
+        for j, at in run:
+            members, left, _ = segments[j]
+            n, did, uid, pos = members[0]
+            places.add((did, uid, pos - left + at))
+            if n > 1 or len(members) > 1:
                 places.add(j)
         if len(places) > 1:
-            for p in run:
-                n, _, _, _, left, _ = contexts[j := owner[p]]
-                if n == 1:
-                    masks.setdefault(j, np.zeros(REACH + 1, bool))[left - (p - starts[j])] = True
+            for j, at in run:
+                masks.setdefault(j, np.zeros(REACH + 1, bool))[segments[j][1] - at] = True
 
-    run: list[int] = []
+    run: list[tuple[int, int]] = []
+    last = b""
     for p in suffix_array(text):
-        if owner[p] >= 0:
-            if run and text[run[-1] : run[-1] + WINDOW] != text[p : p + WINDOW]:
-                if len(run) > 1:
-                    mark(run)
+        if (j := owner[p]) >= 0:
+            at = p - starts[j]
+            window = segments[j][2][at : at + WINDOW]
+            if run and window != last:
+                mark(run)
                 run = []
-            run.append(p)
-    if len(run) > 1:
+            run.append((j, at))
+            last = window
+    if run:
         mark(run)
-    return [(*contexts[j][1:4], seeds.packed(mask)) for j, mask in masks.items()]
+    return [(*x[1:], bits) for j, mask in masks.items() for bits in (seeds.packed(mask),) for x in segments[j][0] if x[0] == 1]
 
 
 HITS = "did long, uid long, pos int, windows binary"
@@ -255,18 +255,17 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments come by anchor. They are narrowed, then several anchors share a suffix array; windows with equal places are one place."""
-    held: list[tuple] = []
+    """Segments come by anchor. They are narrowed, then several anchors share a suffix array, in which one place can be met by several anchors."""
+    held: list[list[tuple]] = []
     group: list[tuple] = []
     out: list[tuple] = []
     size, last = 0, (None, None)
 
     def close() -> None:
         nonlocal size
-        rest, hits = narrowed(group)
-        out.extend(hits)
-        held.extend(rest)
-        size += sum(len(x[5]) for x in rest)
+        if rest := narrowed(group):
+            held.append(rest)
+            size += sum(len(x[2]) for x in rest)
         group.clear()
         if size >= ARRAY_BYTES:
             sort()
