@@ -200,49 +200,66 @@ def repeats(groups: list[list[tuple]]) -> list[tuple]:
 
     groups: the segments (members, left, segment) of anchors, as narrowed gives them. Windows of a segment with several
     members, or with one that occurs several times, are repeated; others if the suffix array brings a window of another
-    place next to them. No window starts inside an anchor or after it, so the anchor and what all segments of its group have
-    after it are one symbol of the string, the group's own.
+    place next to them. No window starts inside an anchor or after it, so what all segments of a group have around it is one
+    symbol of the string, the group's own. Suffixes that start with that symbol stand for all windows that start inside it:
+    how far neighbours agree after the anchor tells which of these are repeated.
     """
     segments, text, owner, starts = [], [], [], []
+    masks: dict[int, np.ndarray] = {}
+    none = lambda: np.zeros(REACH + 1, bool)
     for g, own in enumerate(groups):
-        rights = [segment[left + GRAM :] for _, left, segment in own]
-        common = GRAM + _common(min(rights), max(rights))
-        for members, left, segment in own:
+        for x in own:
+            if len(x[0]) > 1 or x[0][0][0] > 1:
+                masks[len(segments)] = mask = none()
+                mask[max(0, WINDOW - len(x[2]) + x[1]) : x[1] + 1] = True
             starts.append(len(text))
-            text += segment[:left]
-            text.append(256 + g)
-            text += segment[left + common :]
-            fit = len(segment) - WINDOW + 1
-            owner += [len(segments)] * fit + [-1] * (len(text) - len(owner) - fit)
-            segments.append((members, left, segment))
-    masks: dict[int, np.ndarray] = {}
+            if len(own) > 1:
+                if x is own[0]:
+                    rights = [segment[left + GRAM :] for _, left, segment in own]
+                    lefts = [segment[:left][::-1] for _, left, segment in own]
+                    after, before = GRAM + _common(min(rights), max(rights)), _common(min(lefts), max(lefts))
+                _, left, segment = x
+                text += segment[: left - before]
+                text.append(256 + g)
+                text += segment[left + after :]
+                text.append(-1)  # before all bytes, so that a segment that ends is next to those that go on from there
+                fit = max(0, min(len(segment) - WINDOW, left - before - 1) + 1)
+                owner += [len(segments)] * fit + [-1] * (left - before - fit) + [len(segments)] + [-1] * (len(segment) - left - after + 1)
+            segments.append((*x, before if len(own) > 1 else 0, g))
 
     def mark(run: list[tuple[int, int]]) -> None:
-        places = set()
-        for j, at in run:
-            members, left, _ = segments[j]
-            n, did, uid, pos = members[0]
-            places.add((did, uid, pos - left + at))
-            if n > 1 or len(members) > 1:
-                places.add(j)
-        if len(places) > 1:
+        places = {(*segments[j][0][0][1:3], segments[j][0][0][3] - segments[j][1] + at) for j, at in run}
+        if len(places) > 1 or any(len(segments[j][0]) > 1 or segments[j][0][0][0] > 1 for j, _ in run):
             for j, at in run:
-                masks.setdefault(j, np.zeros(REACH + 1, bool))[segments[j][1] - at] = True
+                if len(run) > 1:
+                    masks.setdefault(j, none())[segments[j][1] - at] = True
+
+    def mark_around(i: int, j: int) -> None:
+        """Neighbours that start with their group's symbol: windows that start inside it, as far as their right sides agree."""
+        (xi, li, si, before, _), (xj, lj, sj, *_) = segments[i], segments[j]
+        if xi[0][1:] != xj[0][1:] or len(xi) > 1 or len(xj) > 1:
+            least = REACH - _common(si[li + GRAM :], sj[lj + GRAM :])
+            for k in (i, j):
+                masks.setdefault(k, none())[max(0, least) : before + 1] = True
 
     run: list[tuple[int, int]] = []
-    last = b""
+    window, inner = b"", -1
     for p in suffix_array(text):
-        if (j := owner[p]) >= 0:
-            at = p - starts[j]
-            window = segments[j][2][at : at + WINDOW]
-            if run and window != last:
-                mark(run)
-                run = []
-            run.append((j, at))
-            last = window
-    if run:
-        mark(run)
-    return [(*x[1:], bits) for j, mask in masks.items() for bits in (seeds.packed(mask),) for x in segments[j][0] if x[0] == 1]
+        if (j := owner[p]) < 0:
+            continue
+        if text[p] > 255:
+            if inner >= 0 and segments[inner][4] == segments[j][4]:
+                mark_around(inner, j)
+            inner = j
+            continue
+        at = p - starts[j]
+        last, window = window, segments[j][2][at : at + WINDOW]
+        if run and window != last:
+            mark(run)
+            run = []
+        run.append((j, at))
+    mark(run)
+    return [(*x[1:], bits) for j, mask in masks.items() if mask.any() for bits in (seeds.packed(mask),) for x in segments[j][0] if x[0] == 1]
 
 
 HITS = "did long, uid long, pos int, windows binary"

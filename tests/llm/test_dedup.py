@@ -181,6 +181,33 @@ def test_substring(spark, seed, limit, monkeypatch):
     assert got == sorted(brute.substring(docs), key=str)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_of_texts_that_end_near_their_anchors(spark, seed):
+    """Many different contexts of the same anchors, whose sides are parts of one another."""
+    rng = random.Random(seed)
+    core = "".join(rng.choice("abcdefgh") for _ in range(170))
+    side = lambda: "".join(rng.choice("ab") for _ in range(3)) * rng.randint(0, 25)
+    docs = [(i, side() + core[rng.randint(0, 20) :][: rng.randint(140, 170)] + side()) for i in range(80)]
+    got = rows(suffix_dedup.suffix_dedup(frame(spark, docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.suffix(docs), key=str) and sum(r[2] for r in got) > 0
+
+
+def test_suffix_arrays_tell_the_repeats():
+    """Contexts of one anchor that agree in part: each window by itself, against a comparison of all pairs."""
+    rng = random.Random(9)
+    line = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    core, left, right = line(suffix_dedup.GRAM), line(110), line(130)
+    sides = [(left, right[:40] + b"x" * 20), (left[5:], right[:50]), (line(80) + left[80:], right[:120] + line(9)), (line(100) + left[90:], right), (left[40:], right[:77]), (line(120), right[:20])]
+    contexts = [(1, i, 0, len(a), a + core + b) for i, (a, b) in enumerate(sides)]
+    found = {h[0]: np.flatnonzero(np.unpackbits(np.frombuffer(h[3], np.uint8))).tolist() for h in suffix_dedup.repeats([suffix_dedup.narrowed(contexts)])}
+    want: dict[int, list[int]] = {}
+    for i, (a, b) in enumerate(sides):
+        for l in range(len(a) + 1):
+            if any(i != j and (a[len(a) - l :], b[: suffix_dedup.REACH - l]) == (c[len(c) - l :] if l <= len(c) else None, d[: suffix_dedup.REACH - l]) for j, (c, d) in enumerate(sides)) and len(b) >= suffix_dedup.REACH - l:
+                want.setdefault(i, []).append(l)
+    assert found == want and want
+
+
 def test_suffix_array():
     rng = random.Random(5)
     for n in (0, 1, 2, 7, 60, 300):
