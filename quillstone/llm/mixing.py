@@ -26,6 +26,8 @@ from .common import Scratch
 STEPS, WAYS = 1 << 20, 32
 TARGET_ENTROPY = 0.92
 REPEAT_LIMIT = 2.0
+#: So many sources, of some hundred bytes each, are broadcast to the rows.
+BROADCAST = 50_000
 
 
 def _hash(*parts: Column) -> Column:
@@ -90,8 +92,8 @@ def plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = REPEA
     whole = sources.join(weighted.select("source_key", "weight"), "source_key", "left")
     want = F.floor(F.round(F.col("weight") * F.lit(float(budget)), 3)).cast("long")
     passes = whole.select("source_key", "docs", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), F.when(F.col("n") > 0, F.floor(want / F.col("n"))).otherwise(1).cast("long").alias("full"), F.when(F.col("n") > 0, want % F.col("n")).otherwise(0).alias("rest"))
-    # The table of sources is small next to the rows, but not bounded: Spark decides by its size whether to broadcast it.
-    blocked = rows.join(passes, "source_key").withColumn("block", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.ceil(F.sqrt("docs")).cast("long"))
+    # A hot source then stays where its rows are. More sources than that are joined by key, where none can be hot for long.
+    blocked = rows.join(F.broadcast(passes) if sources.count() <= BROADCAST else passes, "source_key").withColumn("block", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.ceil(F.sqrt("docs")).cast("long"))
     per_block = blocked.groupBy("source_key", "block").agg(F.sum("tokens").alias("block_tokens"))
     order = W.partitionBy("source_key").orderBy(_hash(F.lit("block"), F.col("source_key"), F.col("block").cast("string")), "block").rowsBetween(W.unboundedPreceding, -1)
     starts = per_block.select("source_key", "block", F.coalesce(F.sum("block_tokens").over(order), F.lit(0)).alias("start"))
