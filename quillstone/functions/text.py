@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .udfs import normal_form
 
 
 def squeezed(text: Column) -> Column:
@@ -52,8 +53,8 @@ def extension(name: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    """What names are compared by: no extension, case, spaces or punctuation. Composition to NFC is udfs.nfc's."""
-    bare = F.lower(F.regexp_replace(name, r"(?i)\.(pdf|hwp|hwpx)$", ""))
+    """What names are compared by: composed (NFC), no extension, case, spaces or punctuation. Python makes the normal form."""
+    bare = normal_form(F.regexp_replace(name, r"(?i)\.(pdf|hwp|hwpx)$", ""), "NFC", fold=True)
     return F.regexp_replace(bare, r"(?U)[\s_\-&()\[\]{}.,·ㆍ]", "")
 
 

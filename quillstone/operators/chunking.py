@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.udfs import embed
 from .search import dot, normalised
 
 SIZE, OVERLAP = 500, 50
@@ -106,7 +107,10 @@ def breakpoints(measured: DataFrame, key: str, percentile: float = 70.0) -> Data
 
 
 def semantic(units: DataFrame, key: str, percentile: float = 70.0, vector: str = "vector") -> DataFrame:
-    """key, chunk, n_units, content: units until the distance to the next exceeds the text's percentile."""
+    """key, chunk, n_units, content: units until the distance to the next exceeds the text's percentile.
+
+    A chunk of any length stays whole here; see resplit.
+    """
     measured = distances(units, key, vector)
     own = measured.join(breakpoints(measured, key, percentile), key)
     breaks = F.sum(F.when(F.col("distance") > F.col("threshold"), 1).otherwise(0)).over(W.partitionBy(key).orderBy("pos"))
@@ -114,6 +118,13 @@ def semantic(units: DataFrame, key: str, percentile: float = 70.0, vector: str =
     return grouped.select(key, "chunk", "n_units", F.array_join(F.transform("own", lambda u: u["content"]), " ").alias("content"))
 
 
+def resplit(chunks: DataFrame, key: str, longest: int = HARD_CUT, size: int = 1200, overlap: int = 100) -> DataFrame:
+    """key, chunk, pos, content: chunks of more than longest characters cut again by the recursive splitter; others whole, as pos 0."""
+    long = chunks.filter(F.length("content") > longest).select(key, "chunk", F.col("content").alias("text"))
+    whole = chunks.filter(F.length("content") <= longest).select(key, "chunk", F.lit(0).alias("pos"), "content")
+    return whole.unionByName(recursive(long, size, overlap).select(key, "chunk", "pos", "content"))
+
+
 def numbered(chunks: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """chunks with seq from 1 within key, and chunk_id <key>_<seq>."""
     seq = F.row_number().over(W.partitionBy(key).orderBy(*order))
@@ -146,7 +157,7 @@ def with_context(chunks: DataFrame, summary: Column) -> DataFrame:
 
 
 def chunk(docs: DataFrame, mode: str, key: str, **options) -> DataFrame:
-    """By mode: recursive, sentence or fixed; semantic needs vectors (see semantic)."""
+    """By mode: recursive, sentence, fixed or semantic (sentences by their vectors, long chunks cut again)."""
     if mode == "recursive":
         return recursive(docs, **options)
     if mode == "fixed":
@@ -154,4 +165,8 @@ def chunk(docs: DataFrame, mode: str, key: str, **options) -> DataFrame:
     if mode == "sentence":
         units = recursive(docs.select(key, "text"), 400, 50, SENTENCE_SEPARATORS)
         return windows(units, key, **options)
+    if mode == "semantic":
+        provider = options.pop("provider", "local")
+        units = sentences(docs, key).withColumn("vector", embed(F.col("content"), provider))
+        return resplit(semantic(units, key, **options), key)
     raise ValueError(f"unknown chunk mode: {mode}")

@@ -91,19 +91,36 @@ def organizations(names: DataFrame, column: str) -> DataFrame:
     return own.withColumn("length", F.length("organization"))
 
 
+#: Texts and names meet on so many first characters of a name; shorter names on all they have.
+HEAD = 4
+
+
 def find_organizations(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that occur in a query's text and aren't part of a longer name that does. queries: query_id, text.
+    """Names that occur in a query's text, inside words too, and aren't part of a longer name that does. queries: query_id, text.
 
-    Queries and names meet on the words of the text and the first word of the name, so nothing is compared with everything.
+    A name's first characters have to stand somewhere in the text, so texts and names meet on those and nothing is compared
+    with everything. Case doesn't count; null and blank texts and names find nothing.
     """
-    first = F.element_at(F.split(F.lower("organization"), r"\s+"), 1)
-    words = queries.select("query_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s,.;:!?()]+"))).alias("w")).filter("w != ''")
-    found = words.join(names.select("organization", first.alias("w")), "w").filter(F.contains(F.lower("text"), F.lower("organization"))).select("query_id", "organization").distinct()
+    low = F.lower("text")
+    heads = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring(low, i, n))))
+    places = queries.filter(F.trim("text") != "").select("query_id", F.explode(F.array_distinct(heads)).alias("head"))
+    known = names.filter(F.trim("organization") != "").select("organization", F.substring(F.lower("organization"), 1, HEAD).alias("head")).distinct()
+    met = places.join(known, "head").select("query_id", "organization").distinct()
+    found = met.join(queries.select("query_id", "text"), "query_id").filter(F.contains(F.lower("text"), F.lower("organization"))).select("query_id", "organization").distinct()
     longer = found.select(F.col("query_id").alias("q"), F.col("organization").alias("o"))
     inside = (F.col("query_id") == F.col("q")) & (F.length("o") > F.length("organization")) & F.contains(F.lower("o"), F.lower("organization"))
     return found.join(longer, inside, "left_anti")
 
 
+def from_queries(queries: DataFrame, names: DataFrame, **words) -> DataFrame:
+    """All that the texts of queries give: query_id, organization (names that occur, the longest first; null without any)
+    and the columns of from_text. queries: query_id, text; names: organization."""
+    longest = F.array_sort(F.collect_set(F.struct((-F.length("organization")).alias("n"), "organization")))
+    found = find_organizations(queries, names).groupBy("query_id").agg(F.transform(longest, lambda x: x["organization"]).alias("organization"))
+    rest = from_text(F.col("text"), **words)
+    return queries.select("query_id", *rest).join(found, "query_id", "left").select("query_id", "organization", *FIELDS[1:9])
+
+
 FIELDS = tuple(f.name for f in fields(MetadataFilter))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed
 from ..functions.text import token_hash
+from ..sources.stored import stored
 
 #: At most so many queries are broadcast at a time; more of them go in blocks.
 QUERY_BLOCK = 2048
@@ -68,8 +69,12 @@ def idf(posting: DataFrame, n: Column) -> DataFrame:
     return df.select("idx", "df", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """Sum over common tokens of tf in the query * idf * tf in the text. query_terms: query_id, idx, qtf."""
+def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Sum over common tokens of tf in the query * idf * tf in the text. query_terms: query_id, idx, qtf.
+
+    allowed: point_id of the points that a filter leaves; it holds before the ranking, and weights stay those of all points.
+    """
+    posting = posting if allowed is None else posting.join(allowed.select("point_id"), "point_id", "left_semi")
     asked = query_terms.join(weights, "idx")
     hits = posting.join(asked, "idx").groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf")), 6).alias("score"))
     return ranked(hits.filter("score > 0"), k)
@@ -83,14 +88,15 @@ def fuse(arms: list[DataFrame], k: int, rrf_k: int = fixed.HYBRID_RRF_K, first_r
     return ranked(found, k)
 
 
-def hybrid(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """Dense and keyword lists of 2 k each, fused."""
-    return fuse([dense(points, queries, 2 * k), keyword(posting, query_terms, weights, 2 * k)], k)
+def hybrid(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """Dense and keyword lists of 2 k each, fused. where: a filter of points, which holds in both."""
+    allowed = None if where is None else points.filter(where)
+    return fuse([dense(points, queries, 2 * k, where=where), keyword(posting, query_terms, weights, 2 * k, allowed)], k)
 
 
-def hyde(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hyde(points: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """Dense search by the vector of a hypothetical passage, or by the query's own where there is none. queries: query_id, vector, hyde."""
-    return dense(points, queries.select("query_id", F.coalesce("hyde", "vector").alias("vector")), k)
+    return dense(points, queries.select("query_id", F.coalesce("hyde", "vector").alias("vector")), k, where=where)
 
 
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -156,6 +162,40 @@ def by_mode(mode: str, arms: dict[str, DataFrame]) -> DataFrame:
     return arms[mode]
 
 
+MODES = ("vector", "hyde", "keyword", "hybrid", "mmr")
+
+
+def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, where: Column | None = None, file: str = "file_name") -> DataFrame:
+    """The k hits of each query by its own mode: query_id, mode, point_id, score, rank, source (first, or fallback).
+
+    points: point_id, dense and what where and file name (file: only where a query's mode is mmr). queries: query_id, mode,
+    vector, and if they have them hyde (a hypothetical passage's vector) and threshold, which cuts the lists of vector and
+    hyde. Keyword queries without a hit are searched by vector. Queries of an unknown or null mode are an error.
+
+    All modes share one dense and one keyword pass, each written once, as deep as the deepest mode of the batch needs.
+    """
+    modes = {r["mode"] for r in queries.select("mode").distinct().limit(len(MODES) + 1).collect()}
+    if unknown := modes - set(MODES):
+        raise ValueError(f"unknown search mode: {sorted(map(str, unknown))}")
+    own = lambda c, kind: F.col(c) if c in queries.columns else F.lit(None).cast(kind)
+    by = queries.select("query_id", "mode", own("threshold", "double").alias("threshold"))
+    vector = F.when(F.col("mode") == "hyde", F.coalesce(own("hyde", queries.schema["vector"].dataType), "vector")).otherwise(F.col("vector"))
+    depth = 2 * max([k, fixed.MMR_POOL] if "mmr" in modes else [k])
+    near = stored(dense(points, queries.select("query_id", vector.alias("vector")), depth, where=where)).join(by, "query_id")
+    wordy = by.filter(F.col("mode").isin("keyword", "hybrid", "mmr")).select("query_id")
+    words = stored(keyword(posting, query_terms.join(wordy, "query_id", "left_semi"), weights, depth, None if where is None else points.filter(where))).join(by, "query_id")
+    columns = ["query_id", "point_id", "score", "rank"]
+    of = lambda hits, mode, n: hits.filter((F.col("mode") == mode) & (F.col("rank") <= n)).select(columns)
+    good = near.filter(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")))
+    lists = [of(good, "vector", k), of(good, "hyde", k), fuse([of(near, "hybrid", 2 * k), of(words, "hybrid", 2 * k)], k).select(columns)]
+    if "mmr" in modes:
+        pool = fuse([of(near, "mmr", depth), of(words, "mmr", depth)], fixed.MMR_POOL).select(columns)
+        chosen = mmr(pool.drop("rank").join(points.select("point_id", "dense", F.col(file).alias("file_name")), "point_id"), k)
+        lists.append(chosen.select("query_id", "point_id", F.col("relevance").alias("score"), "rank"))
+    first = reduce(DataFrame.unionByName, lists).withColumn("source", F.lit("first"))
+    return first.unionByName(with_fallback(of(words, "keyword", k), of(near, "keyword", k))).join(by.select("query_id", "mode"), "query_id")
+
+
 def compare_modes(arms: dict[str, DataFrame], k: int) -> DataFrame:
     """Where each mode ranks a point, side by side."""
     every = reduce(DataFrame.unionByName, (a.filter(F.col("rank") <= k).select("query_id", "point_id", F.lit(m).alias("mode"), "rank") for m, a in arms.items()))

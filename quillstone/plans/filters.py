@@ -25,7 +25,7 @@ def filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenders(spark, sf_dir).filter(MetadataFilter(budget_min=100000, budget_max=150000).condition()).select("doc_id", "budget")
 
 
-@query("filter_org_any", f"WITH {SQL_TENDERS} SELECT doc_id, organization FROM t WHERE organization IN ('Customer#000000003', 'Customer#000000012')")
+@query("filter_org_any", f"WITH {SQL_TENDERS} SELECT doc_id, organization FROM t WHERE list_has_all(regexp_split_to_array(lower(organization), '[^a-z0-9_]+'), ['customer', '000000003']) OR list_has_all(regexp_split_to_array(lower(organization), '[^a-z0-9_]+'), ['customer', '000000012'])")
 def filter_org_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = MetadataFilter(organization=["customer#000000003", "Customer#000000012"])
     return tenders(spark, sf_dir).filter(wanted.condition()).select("doc_id", "organization")
@@ -38,7 +38,7 @@ def filter_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenders(spark, sf_dir).filter(wanted.condition()).select("doc_id", "announcement_date")
 
 
-@query("filter_keyword_eq", f"WITH {SQL_TENDERS} SELECT doc_id, title FROM t WHERE title = '2-HIGH'")
+@query("filter_keyword_eq", f"WITH {SQL_TENDERS} SELECT doc_id, title FROM t WHERE list_has_all(regexp_split_to_array(lower(title), '[^a-z0-9_]+'), ['high', '2'])")
 def filter_keyword_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenders(spark, sf_dir).filter(MetadataFilter(title_keyword="high 2").condition()).select("doc_id", "title")
 
@@ -58,22 +58,38 @@ def filter_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query text for each order: an amount and a day in words; the status decides the direction."""
+    """A query text for each order: a customer with a particle, an amount and a day; the status decides the direction."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     amount = F.concat(F.floor(F.col("o_totalprice") / 10000).cast("string"), F.lit("만원 "))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     s = F.col("o_orderstatus")
-    text = F.concat(F.lit("예산 "), amount, F.when(s == "F", "이상").otherwise("이하"), F.lit(" 공고일 "), day, F.when(s == "P", " 이전").when(s == "F", " 이후").otherwise(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", text.alias("text"))
+    text = F.concat("c_name", F.lit("에서 발주한 예산 "), amount, F.when(s == "F", "이상").otherwise("이하"), F.lit(" 공고일 "), day, F.when(s == "P", " 이전").when(s == "F", " 이후").otherwise(""))
+    return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("o_orderkey").alias("query_id"), text.alias("text"))
+
+
+SQL_ASKED = """asked AS (SELECT o_orderkey AS query_id, c_name || '에서 발주한 예산 ' || CAST(floor(o_totalprice / 10000) AS BIGINT) || '만원 ' || CASE WHEN o_orderstatus = 'F' THEN '이상' ELSE '이하' END || ' 공고일 ' || strftime(o_orderdate, '%Y-%m-%d')
+  || CASE o_orderstatus WHEN 'P' THEN ' 이전' WHEN 'F' THEN ' 이후' ELSE '' END AS text FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
 
+def sql_found(names: str, queries: str = "asked") -> str:
+    """CTE found: query_id, organization; names: SQL of a table with the column organization."""
+    return f"""met AS (SELECT DISTINCT query_id, organization FROM {queries} JOIN ({names}) ON contains(lower(text), lower(organization))),
+found AS (SELECT * FROM met WHERE NOT EXISTS (SELECT 1 FROM met l WHERE l.query_id = met.query_id AND length(l.organization) > length(met.organization) AND contains(lower(l.organization), lower(met.organization))))"""
 
-@query("filter_auto", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN nullif(floor(o_totalprice / 10000) * 10000, 0) END AS budget_min, CASE WHEN o_orderstatus <> 'F' THEN nullif(floor(o_totalprice / 10000) * 10000, 0) END AS budget_max,
-CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS announcement_after, CASE WHEN o_orderstatus <> 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS announcement_before FROM orders""")
+
+@query("filter_auto", f"""WITH {SQL_ASKED}, {sql_found("SELECT c_name AS organization FROM customer")},
+p AS (SELECT query_id, nullif(CAST(regexp_extract(text, '(\\d+)만원', 1) AS DOUBLE) * 10000, 0) AS v, regexp_extract(text, '공고일 ([0-9-]+)', 1) AS d, contains(text, '이상') AS low, contains(text, '이후') AS after, contains(text, '이전') AS before FROM asked)
+SELECT p.query_id, organization, CASE WHEN low THEN v END AS budget_min, CASE WHEN NOT low THEN v END AS budget_max, CASE WHEN after OR NOT before THEN d END AS announcement_after, CASE WHEN NOT after THEN d END AS announcement_before FROM p LEFT JOIN found ON found.query_id = p.query_id""")
 def filter_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir).select("o_orderkey", *filters.from_text(F.col("text"))).select("o_orderkey", "budget_min", "budget_max", "announcement_after", "announcement_before")
+    """Each text has one customer's name, so a list of them has one item."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("organization"))
+    own = filters.from_queries(_asked(spark, sf_dir), names)
+    return own.select("query_id", F.array_join("organization", "|").alias("organization"), "budget_min", "budget_max", "announcement_after", "announcement_before")
 
 
-@query("extract_budget", """WITH o AS (SELECT o_orderkey, o_orderstatus AS s, nullif(floor(o_totalprice / 10000) * 10000, 0) AS v FROM orders)
-SELECT o_orderkey, CASE WHEN s = 'F' THEN v WHEN s = 'O' AND v IS NOT NULL THEN least(v, 100000000) END AS budget_min, CASE WHEN s = 'P' THEN v WHEN s = 'O' AND v IS NOT NULL THEN greatest(v, 100000000) END AS budget_max FROM o""")
+@query("extract_budget", """WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice / 10000) AS BIGINT) || '만원' || CASE o_orderstatus WHEN 'F' THEN ' 이상' WHEN 'P' THEN ' 이하' ELSE ' ~ 1억원' END AS text FROM orders),
+o AS (SELECT o_orderkey, text, nullif(CAST(regexp_extract(text, '(\\d+)만', 1) AS DOUBLE) * 10000, 0) AS v, CAST(nullif(regexp_extract(text, '~ (\\d+)억', 1), '') AS DOUBLE) * 100000000 AS w FROM t)
+SELECT o_orderkey, CASE WHEN contains(text, '이상') THEN v WHEN contains(text, '~') AND v IS NOT NULL THEN least(v, w) END AS budget_min, CASE WHEN contains(text, '이하') THEN v WHEN contains(text, '~') AND v IS NOT NULL THEN greatest(v, w) END AS budget_max FROM o""")
 def extract_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At least, at most, or a range up to 1억."""
     amount = F.concat(F.floor(F.col("o_totalprice") / 10000).cast("string"), F.lit("만원"))
@@ -82,7 +98,8 @@ def extract_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", amounts.amount_bounds(text).alias("b")).select("o_orderkey", "b.*")
 
 
-@query("parse_amount", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice, 2) END AS amount FROM orders")
+@query("parse_amount", """WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN format('{:,.2f}원', CAST(o_totalprice AS DOUBLE)) WHEN o_orderkey % 2 = 0 THEN 'nan' ELSE ' ' END AS cell FROM orders)
+SELECT o_orderkey, round(TRY_CAST(nullif(regexp_replace(cell, '[,원 ]', '', 'g'), 'nan') AS DOUBLE), 2) AS amount FROM c""")
 def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with commas and currency; some are blank or nan."""
     cell = F.when(F.col("o_orderstatus") != "P", F.concat(F.format_number("o_totalprice", 2), F.lit("원"))).when(F.col("o_orderkey") % 2 == 0, "nan").otherwise(" ")
@@ -121,14 +138,18 @@ def org_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.organizations(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-@query("org_extract", "SELECT DISTINCT o_orderkey AS query_id, c_name || ' ' || c_mktsegment AS organization FROM orders JOIN customer ON c_custkey = o_custkey")
+SQL_ORG_TEXT = "asked AS (SELECT o_orderkey AS query_id, c_name || ' ' || c_mktsegment || '에서 발주한 사업, 예산 ' || o_orderpriority AS text FROM orders JOIN customer ON c_custkey = o_custkey)"
+SQL_ORG_NAMES = "SELECT c_name || ' ' || c_mktsegment AS organization FROM customer UNION SELECT c_name FROM customer UNION SELECT c_mktsegment FROM customer"
+
+
+@query("org_extract", f"WITH {SQL_ORG_TEXT}, {sql_found(SQL_ORG_NAMES)} SELECT * FROM found")
 def org_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts name a customer with its segment; the dictionary has customers with and without it."""
+    """Texts name a customer with its segment and a particle; the dictionary has both together and each alone."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    text = F.concat(F.lit("all of "), F.col("c_name"), F.lit(" "), F.col("c_mktsegment"), F.lit(", please"))
+    text = F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit("에서 발주한 사업, 예산 "), "o_orderpriority")
     asked = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("o_orderkey").alias("query_id"), text.alias("text"))
-    long = customers.select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("organization"))
-    return filters.find_organizations(asked, long.unionByName(customers.select(F.col("c_name").alias("organization"))))
+    both, alone = F.concat_ws(" ", "c_name", "c_mktsegment"), [F.col("c_name"), F.col("c_mktsegment")]
+    return filters.find_organizations(asked, customers.select(F.explode(F.array(both, *alone)).alias("organization")))
 
 
 #: Rules for the tables' languages, in their order.

@@ -10,7 +10,8 @@ from ..sources.stored import stored
 from ..streaming.ingest import rates
 from .registry import query, table
 from .rerank import SQL_FALLBACK, _final
-from .search import POOL, keyword_hits, sql_keyword
+from .search import K as HITS
+from .search import POOL, SQL_MIXED, keyword_hits, mixed, sql_keyword
 
 K = 5
 
@@ -32,11 +33,12 @@ def containing(docs: DataFrame, passages: DataFrame, seed: int = 5) -> DataFrame
     return found.select("query_id", "item").unionByName(rest.select("query_id", "item")).distinct()
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(queries, ranked, qrels)"""
+def _inputs(spark: SparkSession, sf_dir: str, keyword: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(queries, ranked, qrels); keyword: whether the keyword hits are wanted."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     gold = containing(table(spark, sf_dir, "documents"), items)
-    return items.select("query_id"), metrics.predicted(stored(keyword_hits(spark, sf_dir, POOL)), "point_id"), stored(gold)
+    ranked = metrics.predicted(stored(keyword_hits(spark, sf_dir, POOL)), "point_id") if keyword else None
+    return items.select("query_id"), ranked, stored(gold)
 
 
 SQL_EVAL = f"""{sql_keyword(POOL)},
@@ -83,6 +85,21 @@ def eval_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate(_per(spark, sf_dir), rerank.status(_final(spark, sf_dir), queries))
 
 
+@query("eval_run", f"""WITH {SQL_MIXED}, gold AS (SELECT item_id AS query_id, doc_id AS item FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+m AS (SELECT mixed.query_id, rank, CASE WHEN gold.item IS NULL THEN 0 ELSE 1 END AS rel FROM mixed LEFT JOIN gold ON gold.query_id = mixed.query_id AND gold.item = mixed.point_id),
+nr AS (SELECT query_id, count(*) AS n_rel FROM gold GROUP BY query_id),
+s AS (SELECT query_id, sum(rel) FILTER (rank <= {K}) AS hits, sum(rel) AS cand, min(rank) FILTER (rank <= {K} AND rel = 1) AS first FROM m GROUP BY query_id)
+SELECT mode, count(*) AS n, round(avg(round(coalesce(hits / {K}.0::DOUBLE, 0), 6)), 6) AS "precision", round(avg(round(coalesce(hits / n_rel, 0), 6)), 6) AS recall, round(avg(round(coalesce(1 / first, 0), 6)), 6) AS mrr, round(avg(round(coalesce(cand / n_rel, 0), 6)), 6) AS candidate_recall
+FROM md LEFT JOIN nr USING (query_id) LEFT JOIN s USING (query_id) GROUP BY mode""")
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole evaluation by mode: every passage retrieved by its own mode and scored, those without hits included."""
+    queries, _, gold = _inputs(spark, sf_dir, False)
+    part = F.col("query_id") % 4
+    modes = queries.withColumn("mode", F.when(part == 0, "vector").when(part == 2, "hybrid").otherwise("keyword"))
+    per = metrics.per_query(queries, metrics.predicted(stored(mixed(spark, sf_dir)), "point_id"), gold, K, HITS)
+    return per.join(modes, "query_id").groupBy("mode").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "candidate_recall")))
+
+
 @query("metrics_unpivot", f"WITH {SQL_EVAL} SELECT query_id, unnest(['precision', 'recall', 'mrr', 'ndcg', 'candidate_recall']) AS metric, unnest([\"precision\", recall, mrr, ndcg, candidate_recall]) AS value FROM per")
 def metrics_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unpivoted(_per(spark, sf_dir))

@@ -168,6 +168,38 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid(points, queries, posting, terms(queries), weights, K)
 
 
+@query("hybrid_filtered", f"""WITH {sql_keyword(2 * K, name="kw_all")}, {SQL_DENSE_ASKED}, ok AS (SELECT doc_id FROM documents WHERE n_chars >= 400),
+kw AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (SELECT query_id, point_id, round(sum(qtf * idf * tf), 6) AS score FROM qt JOIN w USING (idx) JOIN post USING (idx) JOIN ok ON doc_id = point_id GROUP BY ALL) WHERE score > 0 QUALIFY rank <= {2 * K}),
+de_ok AS (SELECT de_all.* FROM de_all JOIN ok ON doc_id = point_id), {sql_ranked('de', 'de_ok', 2 * K)}, {sql_fused(K)} SELECT * FROM hy""")
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter holds before both rankings; weights of tokens stay those of all documents."""
+    points, queries = corpus(spark, sf_dir), asked(spark, sf_dir)
+    posting, weights = index.statistics(points.drop("dense"), F.col("text"))
+    return search.hybrid(points, queries, posting, terms(queries), weights, K, F.col("n_chars") >= 400)
+
+
+SQL_MIXED_ASKED = "SELECT item_id AS query_id, ['vector', 'keyword', 'hybrid', 'keyword'][1 + item_id % 4] AS mode, CASE WHEN item_id % 4 = 3 THEN 'zzqx' ELSE text END AS text FROM benchmark"
+SQL_MIXED = f"""{sql_keyword(2 * K, SQL_MIXED_ASKED)}, {SQL_DENSE_ASKED}, {sql_ranked('de', 'de_all', 2 * K)}, md AS ({SQL_MIXED_ASKED}), {sql_fused(K)},
+mixed AS (SELECT query_id, mode, point_id, score, rank, 'first' AS source FROM de JOIN md USING (query_id) WHERE mode = 'vector' AND rank <= {K} AND score >= 0.1
+  UNION ALL SELECT query_id, mode, point_id, score, rank, 'first' FROM hy JOIN md USING (query_id) WHERE mode = 'hybrid'
+  UNION ALL SELECT query_id, mode, point_id, score, rank, 'first' FROM kw JOIN md USING (query_id) WHERE mode = 'keyword' AND rank <= {K}
+  UNION ALL SELECT query_id, mode, point_id, score, rank, 'fallback' FROM de JOIN md USING (query_id) WHERE mode = 'keyword' AND rank <= {K} AND query_id NOT IN (SELECT query_id FROM kw))"""
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage by its own mode; some keyword queries have only a word that no document has."""
+    points, queries = corpus(spark, sf_dir), asked(spark, sf_dir)
+    part = F.col("query_id") % 4
+    queries = queries.withColumn("mode", F.when(part == 0, "vector").when(part == 2, "hybrid").otherwise("keyword")).withColumn("threshold", F.lit(0.1)).withColumn("text", F.when(part == 3, "zzqx").otherwise(F.col("text")))
+    posting, weights = index.statistics(points.drop("dense"), F.col("text"))
+    return search.retrieve(points, queries, posting, terms(queries), weights, K)
+
+
+@query("retrieve_mixed_modes", f"WITH {SQL_MIXED} SELECT * FROM mixed")
+def retrieve_mixed_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir)
+
+
 SQL_HALF = "SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN 'zzqx' ELSE text END AS text FROM benchmark"
 
 

@@ -86,16 +86,16 @@ def url_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.url_basename(F.col("url")).alias("name"))
 
 
-SQL_NAME = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' (2).pdf' WHEN 1 THEN '.HWP' WHEN 2 THEN ' [v1.0].hwpx' ELSE '' END"
+SQL_NAME = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' (2).pdf' WHEN 1 THEN '.HWP' WHEN 2 THEN ' [v1.0].hwpx' ELSE 'E' || chr(769) || chr(4352) || chr(4449) || '.pdf' END"
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.when(F.col("p_partkey") % 4 == 0, " (2).pdf").when(F.col("p_partkey") % 4 == 1, ".HWP").when(F.col("p_partkey") % 4 == 2, " [v1.0].hwpx").otherwise("")
+    end = F.when(F.col("p_partkey") % 4 == 0, " (2).pdf").when(F.col("p_partkey") % 4 == 1, ".HWP").when(F.col("p_partkey") % 4 == 2, " [v1.0].hwpx").otherwise("E\u0301\u1100\u1161.pdf")
     return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", end).alias("name"))
 
 
 def sql_key(x: str) -> str:
-    return rf"regexp_replace(lower(regexp_replace({x}, '(?i)\.(pdf|hwp|hwpx)$', '')), '[\s_\-&()\[\]{{}}.,·ㆍ]', '', 'g')"
+    return rf"regexp_replace(lower(nfc_normalize(regexp_replace({x}, '(?i)\.(pdf|hwp|hwpx)$', ''))), '[\s_\-&()\[\]{{}}.,·ㆍ]', '', 'g')"
 
 
 @query("name_key", f"SELECT p_partkey, {sql_key('name')} AS key FROM (SELECT p_partkey, {SQL_NAME} AS name FROM part)")

@@ -1,4 +1,4 @@
-"""Directories of PDF and HWP files as DataFrames: a row per page or file, and an error instead of an exception.
+"""Directories of PDF, HWP and HWPX files as DataFrames: a row per page or file, and an error instead of an exception.
 
 Files are read by Spark (binaryFile), so any file system that it knows will do, and parsed where they are read. Parsers are
 looked up by extension; those that need a library that isn't installed make error rows.
@@ -6,10 +6,13 @@ looked up by extension; those that need a library that isn't installed make erro
 
 from __future__ import annotations
 
+import re
 import struct
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from io import BytesIO
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,27 @@ def parse_hwp(data: bytes) -> list[str]:
         return ["\n".join(texts)]
 
 
+def parse_hwpx(data: bytes) -> list[str]:
+    """One text per file, a line for each paragraph: the sections of a ZIP of XML, in the order of their numbers."""
+    with zipfile.ZipFile(BytesIO(data)) as archive:
+        numbers = {n: int(m[1]) for n in archive.namelist() if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n))}
+        if not numbers:
+            raise ValueError("not a HWPX file")
+        lines: list[str] = []
+        for name in sorted(numbers, key=numbers.__getitem__):
+            try:
+                root = ElementTree.fromstring(archive.read(name))
+            except ElementTree.ParseError:
+                continue  # one section's loss
+            for e in root.iter():
+                kind = e.tag.rpartition("}")[2]
+                if kind == "p":
+                    lines.append("")
+                elif kind == "t" and lines:
+                    lines[-1] += "".join(e.itertext())
+    return ["\n".join(x for x in lines if x)]
+
+
 def parse_pdf(data: bytes) -> list[str]:
     """One text per page. Needs pypdf."""
     import pypdf
@@ -68,7 +92,7 @@ def parse_pdf(data: bytes) -> list[str]:
     return [p.extract_text() or "" for p in pypdf.PdfReader(BytesIO(data)).pages]
 
 
-PARSERS: dict[str, Callable[[bytes], list[str]]] = {".pdf": parse_pdf, ".hwp": parse_hwp, ".hwpx": parse_hwp}
+PARSERS: dict[str, Callable[[bytes], list[str]]] = {".pdf": parse_pdf, ".hwp": parse_hwp, ".hwpx": parse_hwpx}
 
 
 def load(spark: SparkSession, folder: str, parsers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:

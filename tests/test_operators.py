@@ -25,6 +25,8 @@ def texts():
         (T.compact(F.col("a")), "A b\nC", "abc"),
         (T.name_key(F.col("a")), "Re-Port_(1) [v2].PDF", "report1v2"),
         (T.copy_suffix_key(F.col("a")), "foo (1).pdf", "foo"),
+        (T.name_key(F.col("a")), "\u1112\u1161\u11ab\u1100\u1173\u11af Stra\u00dfe.hwp", "한글strasse"),
+        (T.name_key(F.col("a")), None, None),
         (T.url_basename(F.col("a")), "https://h.example/a/b%20c+d.pdf?x=1#y", "b c+d.pdf"),
         (T.url_basename(F.col("a")), r"C:\data\x.hwp", "x.hwp"),
         (T.url_basename(F.col("a")), "  ", ""),
@@ -95,6 +97,23 @@ def test_direction_words_rule_all_dates(spark):
     assert (row["announcement_after"], row["announcement_before"], row["bid_deadline_after"], row["bid_deadline_before"]) == ("2024-01-02", None, "2024-01-02", None)
 
 
+def test_organizations_in_and_beside_words(spark):
+    texts = [(1, "서울시청에서 발주한 사업"), (2, "서울시청 사업"), (3, "(주)가나다라마바와 서울시"), (4, "xABCx abc"), (5, ""), (6, None), (7, "없음")]
+    names = [("서울시청",), ("서울시",), ("가나다라마바",), ("abc",), ("b",), (" ",), (None,), ("서울시청",)]
+    found = filters.find_organizations(spark.createDataFrame(texts, "query_id long, text string"), spark.createDataFrame(names, "organization string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "서울시청"), (2, "서울시청"), (3, "가나다라마바"), (3, "서울시"), (4, "abc")]
+
+
+def test_filters_of_queries_have_organizations(spark):
+    texts = spark.createDataFrame([(1, "가나다청과 서울시청에서 발주한 예산 3억 이상"), (2, "공고일 2024-01-02 이후"), (3, None)], "query_id long, text string")
+    own = filters.from_queries(texts, spark.createDataFrame([("서울시청",), ("가나다청",), ("시청",)], "organization string"))
+    rows = {r["query_id"]: r for r in own.collect()}
+    assert own.columns == ["query_id", *filters.FIELDS[:9]]
+    assert (rows[1]["organization"], rows[1]["budget_min"]) == (["가나다청", "서울시청"], 3e8)
+    assert (rows[2]["organization"], rows[2]["announcement_after"]) == (None, "2024-01-02")
+    assert rows[3]["organization"] is None
+
+
 # Search
 
 POINTS = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0]), (6, None)]
@@ -115,6 +134,27 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, search.dense(points, queries, 2).collect())) == whole
 
 
+def test_retrieve_by_each_querys_mode(spark):
+    points = spark.createDataFrame([(1, "red fox", [1.0, 0.0], "a"), (2, "red hen", [0.9, 0.1], "a"), (3, "blue sky", [0.0, 1.0], "b"), (4, "fox", [0.1, 0.9], "b")], "point_id long, text string, dense array<double>, file_name string")
+    rows = [(1, "vector", "", [1.0, 0.0], None), (2, "keyword", "fox", [1.0, 0.0], None), (3, "keyword", "none", [0.0, 1.0], None), (4, "hybrid", "red", [1.0, 0.0], None), (5, "mmr", "red", [1.0, 0.0], None), (6, "hyde", "", [1.0, 0.0], [0.0, 1.0])]
+    queries = spark.createDataFrame(rows, "query_id long, mode string, text string, vector array<double>, hyde array<double>").withColumn("threshold", F.lit(0.5))
+    posting, weights = index.statistics(points, F.col("text"))
+    terms = queries.select("query_id", F.explode(index.tokens(F.col("text"))).alias("t")).groupBy("query_id", T.token_hash(F.col("t")).alias("idx")).agg(F.count("*").alias("qtf"))
+
+    def run(where=None):
+        out = {}
+        for r in search.retrieve(points, queries, posting, terms, weights, 2, where).orderBy("query_id", "rank").collect():
+            out.setdefault((r["query_id"], r["source"]), []).append(r["point_id"])
+        return out
+
+    # Of the MMR query the second point has .58 of relevance less .25 for the first one's file, the fourth .06.
+    assert run() == {(1, "first"): [1, 2], (2, "first"): [1, 4], (3, "fallback"): [3, 4], (4, "first"): [1, 2], (5, "first"): [1, 2], (6, "first"): [3, 4]}
+    kept = run(F.col("file_name") == "b")
+    assert kept == {(2, "first"): [4], (3, "fallback"): [3, 4], (4, "first"): [4, 3], (5, "first"): [4, 3], (6, "first"): [3, 4]}
+    with pytest.raises(ValueError):
+        search.retrieve(points, queries.withColumn("mode", F.lit("other")), posting, terms, weights, 2)
+
+
 def test_per_query_cut_comes_before_the_shuffle(spark):
     points = spark.createDataFrame(POINTS, "point_id long, dense array<double>")
     plan = search.dense(points, points.select(F.col("point_id").alias("query_id"), F.col("dense").alias("vector")), 2)._jdf.queryExecution().executedPlan().toString()
@@ -209,6 +249,13 @@ def test_windows(spark, per, overlap):
         assert [r["content"] for r in got.filter(F.col("k") == k).orderBy("pos").collect()] == [" ".join(own[i : i + per]) for i in range(0, n, step)]
 
 
+def test_semantic_chunks_that_are_long_are_cut_again(spark):
+    docs = spark.createDataFrame([(1, "a b. " + "word " * 1500 + "end. z"), (2, ""), (3, None)], "k long, text string")
+    rows = chunking.chunk(docs, "semantic", "k", percentile=100.0).collect()
+    assert {r["k"] for r in rows} == {1} and max(len(r["content"]) for r in rows) <= 1200
+    assert sorted(r["pos"] for r in rows) == list(range(len(rows)))
+
+
 def test_semantic_breaks(spark):
     vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.1, 1.0], [-1.0, 0.0]]
     units = spark.createDataFrame([(1, i, f"s{i}", v) for i, v in enumerate(vectors)], "k int, pos int, content string, vector array<double>")

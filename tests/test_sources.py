@@ -2,6 +2,7 @@
 
 import json
 import struct
+import zipfile
 import zlib
 
 from pyspark.sql import functions as F
@@ -52,6 +53,18 @@ def test_metadata_in_both_encodings(spark, tmp_path):
         assert [(r["file_name"], r["doc_id"], r["title"], r["budget"], r["file_key"], r["bid_start"]) for r in rows] == [("a (1).pdf", "N1", "제목, 하나", 1000.0, "a1", None), ("b.hwp", None, None, None, "b", None)]
 
 
+def test_hwpx_is_a_zip_of_xml(spark, tmp_path):
+    part = lambda *ps: '<s:sec xmlns:s="urn:s" xmlns:p="urn:p">' + "".join(f"<p:p><p:run>{t}</p:run></p:p>" for t in ps) + "</s:sec>"
+    with zipfile.ZipFile(tmp_path / "a.hwpx", "w") as z:
+        z.writestr("Contents/section10.xml", part("<p:t>last</p:t>"))
+        z.writestr("Contents/section2.xml", part("<p:t>one<p:tab/> two</p:t><p:t>three</p:t>", "<p:t/>", "<p:tbl><p:p><p:t>cell</p:t></p:p></p:tbl>"))
+        z.writestr("Contents/section3.xml", "<broken")
+    (tmp_path / "b.hwpx").write_bytes(b"not a zip")
+    assert files.parse_hwpx((tmp_path / "a.hwpx").read_bytes()) == ["one twothree\ncell\nlast"]
+    rows = {r["file_name"]: r for r in files.load(spark, str(tmp_path)).collect()}
+    assert rows["a.hwpx"]["error"] is None and rows["a.hwpx"]["file_type"] == "hwpx" and rows["b.hwpx"]["error"].startswith("BadZipFile")
+
+
 def test_evaluation_set_and_chunks(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps([{"file_name": "A.pdf", "user_input": " q ", "reference": "r"}, {"user_input": "lost"}, {"file_name": " "}]))
     rows = tables.read_eval_set(spark, str(tmp_path / "e.json")).collect()
