@@ -12,7 +12,8 @@ window small: no task ever sorts a whole source. By default the budget is the le
 every source at least once.
 
 Nulls: a null source is a source of its own; a null text has no words; a null id is ordered before others. A source
-without words gets no budget, and its documents are used once. Empty tables give empty results.
+without words gets no budget, and its documents are used once. Empty tables give empty results. Repeated rows are rows of
+their own, and so are ties: of equal rows it doesn't matter which one is used once more.
 """
 
 from __future__ import annotations
@@ -34,9 +35,13 @@ def _hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts).cast("binary"))
 
 
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("null"))
+
+
 def measured(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, text_key, source_key, tokens, h: what mixing needs of each document."""
-    key = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
+    key = _source_key(F.col("source"))
     tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), key.alias("source_key"), tokens.alias("tokens")).withColumn("h", _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
@@ -104,8 +109,23 @@ def plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = REPEA
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mixture uses them, with all their columns."""
-    uses = plan(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(uses, docs["doc_id"].cast("long").eqNullSafe(uses["_id"]) & (F.xxhash64(docs["text"].cast("string")) == uses["_key"]))
-    each = F.explode(F.sequence(F.lit(1), uses["_copies"])).alias("use")
-    return joined.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), each).select("row.*")
+    """The documents as often as the mixture uses them, with all their columns.
+
+    Of repeated rows (equal id, text and source) the plan may use some once more than others; those uses go to one of them,
+    the first by its columns, so that a source never exceeds its budget.
+    """
+    per = plan(docs, **options).groupBy("doc_id", "text_key", "source_key").agg(F.min("copies").alias("_copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_extra"))
+    uses = Scratch(docs.sparkSession).save(per.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"), "_copies", "_extra"))
+
+    def rows(own: DataFrame, *more: Column) -> DataFrame:
+        same = docs["doc_id"].cast("long").eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"].cast("string")) == own["_key"]) & (_source_key(docs["source"]) == own["_source"])
+        return docs.join(own, same).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *more)
+
+    each = uses.filter("_copies > 0")
+    out = rows(each, F.explode(F.sequence(F.lit(1).cast("long"), each["_copies"])).alias("use")).select("row.*")
+    more = uses.filter("_extra > 0")  # at most one group of a source: the one in which its budget ends
+    if more.isEmpty():
+        return out
+    keys = [more[c].alias(f"k{i}") for i, c in enumerate(("_id", "_key", "_source", "_extra"))]
+    first = rows(more, *keys).groupBy("k0", "k1", "k2", "k3").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionByName(first.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "k3")).alias("use")).select("row.*"))

@@ -92,6 +92,18 @@ def test_mixture_keeps_every_document_and_respects_the_limit(spark):
     assert mixed.count() == sum(r["copies"] for r in out)
 
 
+def test_repeated_rows_keep_to_the_budget(spark):
+    """One document thirty times in a source whose budget ends among its rows; elsewhere ids and texts repeat over sources."""
+    rows = [(1, "w " * 10, "small")] * 30 + [(1, "w " * 10, "other")] * 2 + [(i, "w " * 40, "big") for i in range(10, 60)]
+    out = mixing.plan(frame(spark, rows), budget=2500).collect()
+    assert len({r["copies"] for r in out if r["source_key"] == "s:small"}) == 2
+    planned = Counter()
+    for r in out:
+        planned[r["doc_id"], r["source_key"]] += r["copies"]
+    mixed = Counter((r["doc_id"], f"s:{r['source']}") for r in mixing.mixed_documents(frame(spark, rows), budget=2500).collect())
+    assert mixed == planned
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "a b", "s")], [(1, None, None)], [(1, "a", "x"), (2, "b", "y")]])
 def test_mixture_of_little(spark, rows):
     assert sorted(r["copies"] for r in mixing.plan(frame(spark, rows)).collect()) == [1] * len(rows)
