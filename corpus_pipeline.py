@@ -9,23 +9,27 @@ from quillstone.llm.common import Scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; null and empty texts are scored like others, an empty table stays empty."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id; null texts are equal to empty ones."""
     return exact_dedup.kept(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest id; texts without words are near to nothing and stay."""
     return near_dup.kept(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources that the mixture uses more than once give their documents more than once."""
+    """Sources that the mixture uses more than once give their documents more than once; those without words once."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row, repeated ones included; a null text is an empty one."""
     return bpe.round_trip(docs, *queries.tokenizer())
 
 
