@@ -91,22 +91,18 @@ def organizations(names: DataFrame, column: str) -> DataFrame:
     return own.withColumn("length", F.length("organization"))
 
 
-#: Texts and names meet on so many first characters of a name; shorter names on all they have.
-HEAD = 4
-
-
 def find_organizations(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Names that occur in a query's text, inside words too, and aren't part of a longer name that does. queries: query_id, text.
 
-    A name's first characters have to stand somewhere in the text, so texts and names meet on those and nothing is compared
-    with everything. Case doesn't count; null and blank texts and names find nothing.
+    The pieces of a text as long as any name is meet names by equality, so nothing is compared with everything. Case doesn't
+    count; null and blank texts and names find nothing.
     """
+    known = names.filter(F.trim("organization") != "").select("organization", F.lower("organization").alias("piece")).distinct()
+    lengths = known.agg(F.collect_set(F.length("piece")).alias("_lengths"))  # one row: lengths of names
     low = F.lower("text")
-    heads = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring(low, i, n))))
-    places = queries.filter(F.trim("text") != "").select("query_id", F.explode(F.array_distinct(heads)).alias("head"))
-    known = names.filter(F.trim("organization") != "").select("organization", F.substring(F.lower("organization"), 1, HEAD).alias("head")).distinct()
-    met = places.join(known, "head").select("query_id", "organization").distinct()
-    found = met.join(queries.select("query_id", "text"), "query_id").filter(F.contains(F.lower("text"), F.lower("organization"))).select("query_id", "organization").distinct()
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform("_lengths", lambda n: F.substring(low, i, n))))
+    asked = queries.filter(F.trim("text") != "").crossJoin(F.broadcast(lengths)).select("query_id", F.explode(F.array_distinct(pieces)).alias("piece"))
+    found = asked.join(known, "piece").select("query_id", "organization").distinct()
     longer = found.select(F.col("query_id").alias("q"), F.col("organization").alias("o"))
     inside = (F.col("query_id") == F.col("q")) & (F.length("o") > F.length("organization")) & F.contains(F.lower("o"), F.lower("organization"))
     return found.join(longer, inside, "left_anti")
