@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import rerank
+
 
 def predicted(hits: DataFrame, key: str = "item") -> DataFrame:
     """hits: query_id, <key>, rank. Blank keys go, each key counts once by its best rank, ranks close up."""
@@ -58,6 +60,19 @@ def aggregate(per: DataFrame, status: DataFrame | None = None) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *means, *shares)
 
 
+def run(queries: DataFrame, final: DataFrame, candidates: DataFrame, qrels: DataFrame, k: int, candidate_k: int, by: str = "mode") -> DataFrame:
+    """An evaluation by what retrieve_with_candidates() returns: means and rerank shares for each value of by.
+
+    queries: query_id, by; those without hits count too. The candidates' own recall stands beside the final list's metrics.
+    """
+    per = per_query(queries, predicted(final.withColumnRenamed("final_rank", "rank"), "point_id"), qrels, k).drop("candidate_recall")
+    wide = per_query(queries, predicted(candidates, "point_id"), qrels, candidate_k).select("query_id", F.col("recall").alias("candidate_recall"))
+    rows = per.join(wide, "query_id").join(rerank.status(final, queries), "query_id").join(queries.select("query_id", by), "query_id")
+    means = [F.round(F.avg(m), 6).alias(m) for m in METRICS]
+    shares = [F.round(F.avg(F.when(F.col("status") == s, 1.0).otherwise(0.0)), 6).alias(f"{s}_ratio") for s in STATUSES]
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *means, *shares)
+
+
 def unpivoted(per: DataFrame) -> DataFrame:
     """query_id, metric, value: what a tracking system takes."""
     return per.unpivot("query_id", [m for m in METRICS if m in per.columns], "metric", "value")

@@ -5,6 +5,7 @@ Every result has query_id, point_id, score and rank, rank from 1 with ties to th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,9 @@ from pyspark.sql import Window as W
 from ..functions import fixed
 from ..functions.text import token_hash
 from ..sources.stored import stored
+from . import blocks, rerank
 
-#: At most so many queries are broadcast at a time; more of them go in blocks.
+#: At most so many queries are broadcast as rows; more of them go in blocks.
 QUERY_BLOCK = 2048
 
 
@@ -35,27 +37,19 @@ def ranked(hits: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("quer
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*by_score))).filter(F.col("rank") <= k)
 
 
-def in_blocks(queries: DataFrame, run) -> DataFrame:
-    """run(block) for blocks of queries of at most about QUERY_BLOCK rows, which it may broadcast."""
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        return run(F.broadcast(queries))
-    blocks = -(-n // (QUERY_BLOCK // 2))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (run(F.broadcast(queries.filter(part == i).limit(n))) for i in range(blocks)))
+def dense(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, where: Column | None = None, filters: DataFrame | None = None) -> DataFrame:
+    """Cosine search. points: point_id, dense, ...; queries: query_id, vector. Filters hold before the ranking.
 
-
-def dense(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, where: Column | None = None) -> DataFrame:
-    """Cosine search. points: point_id, dense, ...; queries: query_id, vector. Filters hold before the ranking."""
+    where: one condition for all queries. filters: conditions of each query's own (see blocks.compiled). Query sets that are small and
+    have one condition are broadcast; others go in blocks, all of them in one pass over the points.
+    """
     rows = points if where is None else points.filter(where)
+    if filters is not None or queries.count() > QUERY_BLOCK:
+        return ranked(blocks.nearest(rows, queries, k, threshold, filters), k)
     rows = rows.select("point_id", normalised(F.col("dense")).alias("_p")).filter("_p IS NOT NULL")
     asked = queries.select("query_id", normalised(F.col("vector")).alias("_q")).filter("_q IS NOT NULL")
-
-    def run(block: DataFrame) -> DataFrame:
-        hits = rows.crossJoin(block).select("query_id", "point_id", F.round(dot(F.col("_p"), F.col("_q")), 9).alias("score"))
-        return ranked(hits if threshold is None else hits.filter(F.col("score") >= threshold), k)
-
-    return in_blocks(asked, run)
+    hits = rows.crossJoin(F.broadcast(asked)).select("query_id", "point_id", F.round(dot(F.col("_p"), F.col("_q")), 9).alias("score"))
+    return ranked(hits if threshold is None else hits.filter(F.col("score") >= threshold), k)
 
 
 def postings(points: DataFrame, tokens: Column) -> DataFrame:
@@ -69,15 +63,23 @@ def idf(posting: DataFrame, n: Column) -> DataFrame:
     return df.select("idx", "df", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None, bitmaps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Sum over common tokens of tf in the query * idf * tf in the text. query_terms: query_id, idx, qtf.
 
-    allowed: point_id of the points that a filter leaves; it holds before the ranking, and weights stay those of all points.
+    allowed: point_id of the points that a filter leaves; bitmaps: what blocks.allowed() made of filters of each query's own. They hold
+    before the ranking, and weights stay those of all points.
     """
     posting = posting if allowed is None else posting.join(allowed.select("point_id"), "point_id", "left_semi")
     asked = query_terms.join(weights, "idx")
-    hits = posting.join(asked, "idx").groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf")), 6).alias("score"))
-    return ranked(hits.filter("score > 0"), k)
+    score = F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf")), 6).alias("score")
+    if bitmaps is None:
+        return ranked(posting.join(asked, "idx").groupBy("query_id", "point_id").agg(score).filter("score > 0"), k)
+    bits, numbers = bitmaps
+    asked = asked.join(numbers, "query_id", "left")
+    hits = posting.join(asked, "idx").groupBy("query_id", "point_id", "block", "n").agg(score).filter("score > 0")
+    free, bound = hits.filter("block IS NULL"), hits.filter("block IS NOT NULL").join(bits, ["point_id", "block"])
+    fit = bound.filter(blocks.has_bit(F.col("bits"), F.col("n")))
+    return ranked(reduce(DataFrame.unionByName, (x.select("query_id", "point_id", "score") for x in (free, fit))), k)
 
 
 def fuse(arms: list[DataFrame], k: int, rrf_k: int = fixed.HYBRID_RRF_K, first_rank: int = 0) -> DataFrame:
@@ -165,9 +167,12 @@ def by_mode(mode: str, arms: dict[str, DataFrame]) -> DataFrame:
 MODES = ("vector", "hyde", "keyword", "hybrid", "mmr")
 
 
-def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, where: Column | None = None, file: str = "file_name") -> DataFrame:
+def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, where: Column | None = None, file: str = "file_name", filters: DataFrame | None = None) -> DataFrame:
     """The k hits of each query by its own mode: query_id, mode, point_id, score, rank, source (first, or fallback).
 
+    where is a condition for all queries; filters has conditions of each query's own (filters.from_queries makes it from their
+    texts), and queries without a row there have none. Both hold in every list before it is ranked, fallbacks included.
+
     points: point_id, dense and what where and file name (file: only where a query's mode is mmr). queries: query_id, mode,
     vector, and if they have them hyde (a hypothetical passage's vector) and threshold, which cuts the lists of vector and
     hyde. Keyword queries without a hit are searched by vector. Queries of an unknown or null mode are an error.
@@ -181,9 +186,10 @@ def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_te
     by = queries.select("query_id", "mode", own("threshold", "double").alias("threshold"))
     vector = F.when(F.col("mode") == "hyde", F.coalesce(own("hyde", queries.schema["vector"].dataType), "vector")).otherwise(F.col("vector"))
     depth = 2 * max([k, fixed.MMR_POOL] if "mmr" in modes else [k])
-    near = stored(dense(points, queries.select("query_id", vector.alias("vector")), depth, where=where)).join(by, "query_id")
+    near = stored(dense(points, queries.select("query_id", vector.alias("vector")), depth, where=where, filters=filters)).join(by, "query_id")
     wordy = by.filter(F.col("mode").isin("keyword", "hybrid", "mmr")).select("query_id")
-    words = stored(keyword(posting, query_terms.join(wordy, "query_id", "left_semi"), weights, depth, None if where is None else points.filter(where))).join(by, "query_id")
+    bitmaps = None if filters is None else blocks.allowed(points, filters.join(wordy, "query_id", "left_semi"))
+    words = stored(keyword(posting, query_terms.join(wordy, "query_id", "left_semi"), weights, depth, None if where is None else points.filter(where), bitmaps)).join(by, "query_id")
     columns = ["query_id", "point_id", "score", "rank"]
     of = lambda hits, mode, n: hits.filter((F.col("mode") == mode) & (F.col("rank") <= n)).select(columns)
     good = near.filter(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")))
@@ -196,6 +202,20 @@ def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_te
     return first.unionByName(with_fallback(of(words, "keyword", k), of(near, "keyword", k))).join(by.select("query_id", "mode"), "query_id")
 
 
+def retrieve_with_candidates(points: DataFrame, queries: DataFrame, posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, candidate_k: int,
+                             reranked: Callable[[DataFrame], DataFrame] | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """(final, candidates): candidates are retrieve()'s hits, max(k, candidate_k) of each query; final their first k, or k of what
+    reranked makes of them: query_id, point_id, final_rank, rerank_score.
+
+    reranked: from candidates to those that stay, with rerank_score and rerank_rank. Queries of which it leaves nothing
+    keep their first list, with rerank_score null. more: where, file and filters of retrieve().
+    """
+    candidates = stored(retrieve(points, queries, posting, query_terms, weights, max(k, candidate_k), **more))
+    if reranked is None:
+        return candidates.filter(F.col("rank") <= k).select("query_id", "point_id", F.col("rank").alias("final_rank"), F.lit(None).cast("double").alias("rerank_score")), candidates
+    return rerank.with_fallback(stored(reranked(candidates)), candidates, k), candidates
+
+
 def compare_modes(arms: dict[str, DataFrame], k: int) -> DataFrame:
     """Where each mode ranks a point, side by side."""
     every = reduce(DataFrame.unionByName, (a.filter(F.col("rank") <= k).select("query_id", "point_id", F.lit(m).alias("mode"), "rank") for m, a in arms.items()))

@@ -33,11 +33,11 @@ def containing(docs: DataFrame, passages: DataFrame, seed: int = 5) -> DataFrame
     return found.select("query_id", "item").unionByName(rest.select("query_id", "item")).distinct()
 
 
-def _inputs(spark: SparkSession, sf_dir: str, keyword: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(queries, ranked, qrels); keyword: whether the keyword hits are wanted."""
+def _inputs(spark: SparkSession, sf_dir: str, hits: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(queries, ranked, qrels); ranked: of the keyword hits, if there are any."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     gold = containing(table(spark, sf_dir, "documents"), items)
-    ranked = metrics.predicted(stored(keyword_hits(spark, sf_dir, POOL)), "point_id") if keyword else None
+    ranked = None if hits is None else metrics.predicted(hits, "point_id")
     return items.select("query_id"), ranked, stored(gold)
 
 
@@ -51,8 +51,12 @@ per AS (SELECT item_id AS query_id, round(coalesce(hits / {K}.0::DOUBLE, 0), 6)
   FROM benchmark LEFT JOIN nr ON nr.query_id = item_id LEFT JOIN s ON s.query_id = item_id)"""
 
 
-def _per(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.per_query(*_inputs(spark, sf_dir), K, POOL)
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(keyword_hits(spark, sf_dir, POOL))
+
+
+def _per(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    return metrics.per_query(*_inputs(spark, sf_dir, _hits(spark, sf_dir) if hits is None else hits), K, POOL)
 
 
 @query("eval_per_record", f"WITH {SQL_EVAL} SELECT * FROM per")
@@ -81,8 +85,10 @@ per AS (SELECT item_id AS query_id, round(coalesce(hits / {K}.0::DOUBLE, 0), 6)
 SELECT count(*) AS n, round(avg(p), 6) AS "precision", round(avg(r), 6) AS recall, round(avg(mr), 6) AS mrr, round(avg(nd), 6) AS ndcg, round(avg(cr), 6) AS candidate_recall,
   round(avg(CASE WHEN status = 'applied' THEN 1.0 ELSE 0 END), 6) AS applied_ratio, round(avg(CASE WHEN status = 'fallback' THEN 1.0 ELSE 0 END), 6) AS fallback_ratio, round(avg(CASE WHEN status = 'empty_result' THEN 1.0 ELSE 0 END), 6) AS empty_result_ratio FROM per JOIN st USING (query_id)""")
 def eval_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = _inputs(spark, sf_dir)[0]
-    return metrics.aggregate(_per(spark, sf_dir), rerank.status(_final(spark, sf_dir), queries))
+    """The keyword search runs once, for the metrics and for what reranking did."""
+    found = _hits(spark, sf_dir)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return metrics.aggregate(_per(spark, sf_dir, found), rerank.status(_final(spark, sf_dir, found), queries))
 
 
 @query("eval_run", f"""WITH {SQL_MIXED}, gold AS (SELECT item_id AS query_id, doc_id AS item FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
@@ -93,7 +99,7 @@ SELECT mode, count(*) AS n, round(avg(round(coalesce(hits / {K}.0::DOUBLE, 0), 6
 FROM md LEFT JOIN nr USING (query_id) LEFT JOIN s USING (query_id) GROUP BY mode""")
 def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole evaluation by mode: every passage retrieved by its own mode and scored, those without hits included."""
-    queries, _, gold = _inputs(spark, sf_dir, False)
+    queries, _, gold = _inputs(spark, sf_dir, None)
     part = F.col("query_id") % 4
     modes = queries.withColumn("mode", F.when(part == 0, "vector").when(part == 2, "hybrid").otherwise("keyword"))
     per = metrics.per_query(queries, metrics.predicted(stored(mixed(spark, sf_dir)), "point_id"), gold, K, HITS)

@@ -14,12 +14,12 @@ from .search import POOL, asked, keyword_hits, sql_keyword
 THRESHOLD = 0.5
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """query_id, point_id, score, rank with the hit's text, source, lang, n_chars and tokens, and the query's text and tokens.
 
-    Tokens are told apart once for each text that was hit, not for each hit.
+    Tokens are told apart once for each text that was hit, not for each hit. found: the keyword hits, if they have been made.
     """
-    found = stored(keyword_hits(spark, sf_dir, POOL))
+    found = stored(keyword_hits(spark, sf_dir, POOL)) if found is None else found
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang", "source", "n_chars")
     docs = docs.join(found.select("point_id").distinct(), "point_id", "left_semi").withColumn("tokens", token_set(F.col("text")))
     queries = asked(spark, sf_dir).select("query_id", F.col("text").alias("query_text"), token_set(F.col("text")).alias("query_tokens"))
@@ -31,9 +31,9 @@ SQL_LEXICAL = f"lex AS (SELECT query_id, point_id, score, rank, CASE WHEN len(q)
 SQL_RERANKED = f"re AS (SELECT query_id, point_id, score, rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, rank) AS rerank_rank FROM lex WHERE rerank_score >= {THRESHOLD})"
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """Hits with their lexical score and content key instead of texts, written once for all that is made of them."""
-    own = hits(spark, sf_dir).withColumn("lexical", lexical_score(F.col("query_tokens"), F.col("tokens"))).withColumn("ck", rerank.content_key(F.col("text")))
+    own = hits(spark, sf_dir, found).withColumn("lexical", lexical_score(F.col("query_tokens"), F.col("tokens"))).withColumn("ck", rerank.content_key(F.col("text")))
     return stored(own.select("query_id", "point_id", "score", "rank", "source", "lexical", "ck"))
 
 
@@ -61,9 +61,9 @@ final AS (SELECT query_id, point_id, rerank_rank AS final_rank, rerank_score FRO
   UNION ALL SELECT query_id, point_id, rank, NULL FROM hits WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM re))"""
 
 
-def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _final(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """Passages of which the threshold leaves nothing keep the first list."""
-    own = _scored(spark, sf_dir)
+    own = _scored(spark, sf_dir, found)
     return rerank.with_fallback(_reranked(own), own, 5)
 
 
