@@ -1,7 +1,6 @@
 """Files to metadata rows and names to files: exact, by copy suffix, by containment, by similarity.
 
-Names meet only within an extension and, where that suffices, on equal keys; what needs comparing pairwise is distinct
-names, not rows, and goes on after equal ones have been taken out.
+Names meet on equal keys, and else through the index of operators.names; rows are compared only after that.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import copy_suffix_key, extension, name_key
 from ..functions.udfs import similarity
+from ..sources.stored import stored
+from . import names
 
 Ratio = Callable[[Column, Column], Column]
 THRESHOLD, SIMILAR = 0.8, 0.9
@@ -30,54 +31,81 @@ def _keys(names: DataFrame, column: str, prefix: str, *more: str) -> DataFrame:
     return names.select(own.alias(prefix), *more, extension(own).alias("ext"), name_key(own).alias(f"{prefix}_key"), copy_suffix_key(own).alias(f"{prefix}_bare"))
 
 
-def best_match(files: DataFrame, listed: DataFrame, threshold: float = THRESHOLD, ratio: Ratio = similarity) -> DataFrame:
+def _candidates(a: DataFrame, b: DataFrame, floor: float, ratio: Ratio) -> DataFrame:
+    """actual_key, csv_key of names that are the same but for a copy suffix, part of one another, or alike by floor at least."""
+    one, other = a.select(F.col("actual_key").alias("a")), b.select(F.col("csv_key").alias("b"))
+    swapped = names.containing(other.select(F.col("b").alias("a")), one.select(F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    inside = names.containing(one, other).unionByName(swapped)
+    close = names.alike(one, other, floor, ratio).select("a", "b")
+    keys = ["actual_key", "csv_key"]
+    copied = a.join(b, a["actual_bare"] == b["csv_key"]).select(keys).unionAll(a.join(b, a["actual_key"] == b["csv_bare"]).select(keys))
+    return inside.unionByName(close).toDF(*keys).unionAll(copied).distinct()
+
+
+def best_match(files: DataFrame, listed: DataFrame, threshold: float = THRESHOLD, ratio: Ratio = similarity, below: bool = True) -> DataFrame:
     """files: name. listed: name, ordinal. One row per file: name, best, score, match_type, matched.
 
     Equal keys (1) beat equal keys without copy suffix (.99), containment (.95) and similarity; of equal scores the first
-    listed wins. Similarity has to reach .9 at least.
+    listed wins. Similarity has to reach .9 at least. below: whether files that nothing matches by the threshold say
+    what comes nearest, for which they, and they alone, are compared with every name of their extension.
     """
     a = _keys(files.select("name").distinct(), "name", "actual").filter("actual_key != ''")
-    b = _keys(listed, "name", "csv", "ordinal").filter("csv_key != ''")
-    exact = a.join(b, (a["actual_key"] == b["csv_key"]) & ((a["ext"] == "") | (a["ext"] == b["ext"])))
+    b = _keys(listed, "name", "csv", "ordinal").filter("csv_key != ''").withColumnRenamed("ext", "csv_ext")
+    a, b = stored(a), stored(b)
+    fits = (F.col("ext") == "") | (F.col("ext") == F.col("csv_ext"))
+    exact = a.join(b, (a["actual_key"] == b["csv_key"]) & fits)
     exact = exact.groupBy("actual").agg(F.min(F.struct("ordinal", "csv"))["csv"].alias("best")).select("actual", "best", F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"))
     rest = a.join(exact, "actual", "left_anti")
-    pairs = rest.join(b.withColumnRenamed("ext", "csv_ext"), (F.col("ext") == "") | (F.col("ext") == F.col("csv_ext")))
     copied = (F.col("actual_bare") == F.col("csv_key")) | (F.col("actual_key") == F.col("csv_bare"))
     inside = F.contains("csv_key", "actual_key") | F.contains("actual_key", "csv_key")
     kind = F.when(copied, "copy_suffix").when(inside, "contains").otherwise("similarity")
     score = F.when(copied, 0.99).when(inside, 0.95).otherwise(ratio(F.col("actual_key"), F.col("csv_key")))
-    scored = pairs.withColumn("score", score).withColumn("match_type", kind).filter("score > 0")
-    first = scored.groupBy("actual").agg(F.min(F.struct((-F.col("score")).alias("cost"), "ordinal", F.col("csv").alias("best"), "score", "match_type")).alias("x"))
-    found = exact.unionByName(first.select("actual", "x.best", "x.score", "x.match_type"))
+
+    def first(pairs: DataFrame, least: float) -> DataFrame:
+        scored = pairs.filter(fits).withColumn("score", score).withColumn("match_type", kind).filter((F.col("score") > 0) & (F.col("score") >= least))
+        own = scored.groupBy("actual").agg(F.min(F.struct((-F.col("score")).alias("cost"), "ordinal", F.col("csv").alias("best"), "score", "match_type")).alias("x"))
+        return own.select("actual", "x.best", "x.score", "x.match_type")
+
+    near = stored(first(rest.join(_candidates(rest, b, threshold, ratio), "actual_key").join(b, "csv_key"), threshold))
+    found = exact.unionByName(near)
+    if below:
+        found = found.unionByName(first(rest.join(near, "actual", "left_anti").join(b, fits), 0.0))
     need = F.when(F.col("match_type") == "similarity", F.greatest(F.lit(threshold), F.lit(SIMILAR))).otherwise(F.lit(threshold))
     out = files.select("name").join(found, found["actual"] == files["name"], "left").drop("actual")
     return out.select("name", "best", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("match_type", F.lit("none")).alias("match_type"), F.coalesce(F.col("score") >= need, F.lit(False)).alias("matched"))
 
 
-def first_containing(names: DataFrame, listed: DataFrame) -> DataFrame:
-    """names: name, key. listed: ordinal, listed_name, listed_key. The first listed one that holds a name or is held by it."""
-    hit = F.contains("listed_key", "key") | F.contains("key", "listed_key")
-    pairs = names.filter("key != ''").join(listed.filter("listed_key != ''"), hit)
+def first_containing(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """wanted: name, key. listed: ordinal, listed_name, listed_key. The first listed one that holds a name or is held by it."""
+    one, other = wanted.select(F.col("key").alias("a")), listed.select(F.col("listed_key").alias("b"))
+    swapped = names.containing(other.select(F.col("b").alias("a")), one.select(F.col("a").alias("b")))
+    met = names.containing(one, other).toDF("key", "listed_key").unionByName(swapped.toDF("listed_key", "key")).distinct()
+    pairs = wanted.join(met, "key").join(listed, "listed_key")
     first = pairs.groupBy("name").agg(F.min(F.struct("ordinal", "listed_name"))["listed_name"].alias("listed_name"))
-    return names.select("name").join(first, "name", "left")
+    return wanted.select("name").join(first, "name", "left")
+
 
+def resolve(wanted: DataFrame, files: DataFrame, ratio: Ratio = similarity) -> DataFrame:
+    """wanted: name; files: name. name, resolved, how: equal key, the only longer name, the most similar by a margin, or unchanged.
 
-def resolve(names: DataFrame, files: DataFrame, ratio: Ratio = similarity) -> DataFrame:
-    """names: name; files: name. name, resolved, how: equal key, the only longer name, the most similar by a margin, or unchanged."""
-    asked = _keys(names.distinct(), "name", "asked")
-    there = _keys(files.distinct(), "name", "file").withColumnRenamed("ext", "file_ext")
-    pairs = asked.join(there, F.col("ext") == F.col("file_ext"))
-    score = F.when((F.col("asked_key") == F.col("file_key")) | (F.col("asked_bare") == F.col("file_bare")), 1.0).otherwise(ratio(F.col("asked_key"), F.col("file_key")))
-    same = (F.col("asked_key") == F.col("file_key")) | (F.col("asked_bare") == F.col("file_bare"))
-    longer = (F.length("asked_bare") >= PREFIX) & F.startswith("file_bare", F.col("asked_bare"))
+    Names meet on equal keys, on their first PREFIX characters, and where they are alike by THRESHOLD - MARGIN at least: a second name
+    that is less alike than that doesn't come within the margin of a first that counts.
+    """
+    asked = stored(_keys(wanted.distinct(), "name", "asked"))
+    there = stored(_keys(files.distinct(), "name", "file").withColumnRenamed("ext", "file_ext"))
+    keys = ["asked", "file"]
+    same = asked.join(there, asked["asked_key"] == there["file_key"]).filter("ext = file_ext").select(keys).unionAll(asked.join(there, asked["asked_bare"] == there["file_bare"]).filter("ext = file_ext").select(keys)).distinct()
+    close = names.alike(asked.select(F.col("asked_key").alias("a")), there.select(F.col("file_key").alias("b")), THRESHOLD - MARGIN, ratio)
+    near = asked.join(close, asked["asked_key"] == close["a"]).join(there, F.col("b") == F.col("file_key")).filter("ext = file_ext").select(*keys, "score")
+    scored = same.withColumn("score", F.lit(1.0)).unionByName(near.join(same, keys, "left_anti"))
+    start = lambda c: F.substring(c, 1, PREFIX)
+    longer = asked.filter(F.length("asked_bare") >= PREFIX).join(there, (start("asked_bare") == start("file_bare")) & (F.col("ext") == F.col("file_ext"))).filter(F.startswith("file_bare", "asked_bare"))
     order = W.partitionBy("asked").orderBy(F.desc("score"), F.desc("file"))
-    ranked = pairs.withColumn("score", score).withColumn("same", same).withColumn("longer", longer).withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("score").over(order), F.lit(0.0)))
-    per_name = ranked.groupBy("asked").agg(
-        F.min(F.when(F.col("same"), F.col("file"))).alias("equal"),
-        F.when(F.sum(F.col("longer").cast("int")) == 1, F.min(F.when(F.col("longer"), F.col("file")))).alias("only"),
-        F.min(F.when((F.col("n") == 1) & (F.col("score") >= THRESHOLD) & (F.col("score") - F.col("next") >= MARGIN), F.col("file"))).alias("near"),
-    )
-    out = names.join(per_name, per_name["asked"] == names["name"], "left")
+    ranked = scored.withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("score").over(order), F.lit(0.0)))
+    best = ranked.filter(f"n = 1 AND score >= {THRESHOLD} AND score - next >= {MARGIN}").select("asked", F.col("file").alias("near"))
+    per_name = asked.select("asked").join(same.groupBy("asked").agg(F.min("file").alias("equal")), "asked", "left")
+    per_name = per_name.join(longer.groupBy("asked").agg(F.when(F.count("*") == 1, F.min("file")).alias("only")), "asked", "left").join(best, "asked", "left")
+    out = wanted.join(per_name, per_name["asked"] == wanted["name"], "left")
     how = F.when(F.col("equal").isNotNull(), "equal").when(F.col("only").isNotNull(), "prefix").when(F.col("near").isNotNull(), "similar").otherwise("unchanged")
     return out.select("name", F.coalesce("equal", "only", "near", "name").alias("resolved"), how.alias("how"))
 

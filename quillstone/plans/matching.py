@@ -72,6 +72,12 @@ def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_match(_files(spark, sf_dir), _listed(spark, sf_dir), ratio=matching.levenshtein_ratio)
 
 
+@query("fuzzy_match_above", f"SELECT name, CASE WHEN score >= 0.8 THEN best END AS best, CASE WHEN score >= 0.8 THEN score ELSE 0.0 END AS score, CASE WHEN score >= 0.8 THEN match_type ELSE 'none' END AS match_type, matched FROM ({SQL_BEST})")
+def fuzzy_match_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only matches of the threshold at least: names meet through the index alone."""
+    return matching.best_match(_files(spark, sf_dir), _listed(spark, sf_dir), ratio=matching.levenshtein_ratio, below=False)
+
+
 @query("fuzzy_best_match_ratio")
 def fuzzy_best_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by matching blocks, for which SQL has no function."""
