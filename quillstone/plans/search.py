@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_hash
-from ..operators import index, search
+from ..operators import index, inverted, search
+from ..sources.stored import shared_dir
 from .registry import query, sql_hash, sql_tokens, table
 
 K, POOL, EVERY = 10, 40, 100
@@ -37,9 +38,21 @@ def terms(queries: DataFrame, *keys: str) -> DataFrame:
     return own.groupBy("query_id", *keys, token_hash(F.col("t")).alias("idx")).agg(F.count("*").alias("qtf"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """The stored index of the documents, in blocks of one language: a session writes it once, in the shared folder, for all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/inverted-{key[0]}-{len(_INDEXES)}"
+        inverted.add(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text", "lang"), path, locality=("lang",))
+        _INDEXES[key] = path
+    return inverted.open_index(spark, _INDEXES[key])
+
+
 def keyword_hits(spark: SparkSession, sf_dir: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    posting, weights = index.statistics(corpus(spark, sf_dir).drop("dense"), F.col("text"))
-    return search.keyword(posting, terms(asked(spark, sf_dir) if queries is None else queries), weights, k)
+    return inverted.search(index_of(spark, sf_dir), terms(asked(spark, sf_dir) if queries is None else queries), k)[0]
 
 
 def dense_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import inverted
 from ..operators.index import points
+from ..sources.stored import stored
 
 
 def ingest(chunks: DataFrame, target: str, checkpoint: str, provider: str = "local") -> StreamingQuery:
@@ -21,6 +23,20 @@ def ingest(chunks: DataFrame, target: str, checkpoint: str, provider: str = "loc
     return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_index(chunks: DataFrame, path: str, checkpoint: str, locality: tuple[str, ...] = ()) -> StreamingQuery:
+    """An inverted index that is kept up with arriving chunks (point_id, text, ordinal, locality columns): a micro-batch is a batch of it.
+
+    Chunks that come again replace their older versions; of several in one micro-batch the last by ordinal stays. A
+    micro-batch that runs again overwrites what it wrote.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("point_id").agg(F.max_by(F.struct(*batch.columns), "ordinal").alias("x")).select("x.*")
+        inverted.add(stored(last), path, number, locality)
+
+    return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The index as of now: of each point id the row of the last batch."""
     rows = spark.read.parquet(target).drop("batch")
