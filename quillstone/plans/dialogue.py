@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context
-from .registry import query, sql_compact, sql_squeeze, table
+from ..sources.stored import shared_dir
+from ..streaming import sessions
+from .registry import ORACLES, query, sql_compact, sql_squeeze, table
 from .text import digest
 
 KINDS = ["factual", "comparative", "summarization", "procedural", "analytical", "filter_based"]
@@ -63,3 +67,16 @@ def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").filter("role = 'user'")
     known = own.filter("conv_id % 4 < 3").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("  "), F.col("text"))).otherwise(F.replace("text", F.lit(" "), F.lit(""))).alias("question"), F.concat(F.lit("r"), F.concat_ws("-", "conv_id", "turn")).alias("reference"))
     return context.reference_answers(own.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text"), known)
+
+
+@query("history_stream", ORACLES["history_window"])
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histories from a stream: earlier and later turns arrive in micro-batches of their own, and state carries over."""
+    base = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    rows = turns(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    for part in (F.col("turn") < 3, F.col("turn") >= 3):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        stream = sessions.with_history(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), 3, None)
+        own = stream.select("conv_id", "turn", F.size("history").alias("n"), digest(F.array_join("history", "\n")).alias("digest"))
+        own.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
