@@ -21,12 +21,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
-def merged(links: DataFrame, scratch: Scratch, rounds: int = 1) -> DataFrame:
-    """(id, label) after a few rounds: ids of equal label are in one component, which may still have several labels."""
+def contracted(links: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """(a, b) after a few rounds: the same components in fewer hops, a > b. Ids whose least b is equal are in one component."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     for _ in range(rounds):
         edges = scratch.save(_stars(_stars(edges, True), False))
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
+    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def components(links: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:

@@ -8,8 +8,9 @@ holds such a pair together at depth d with probability 0.75 p(d - 1): 0.75 at de
 trees find a link at the threshold with 0.99 at least if its node is still large at MAX_LEVELS, with 0.9999 at depth 5.
 
 A node is small if it has at most LEAF classes, or at most LEAF outside its main component; these, its leads, are compared
-with the whole node, in cells of bounded size. Others branch, and those that are large at MAX_LEVELS are compared whole, every
-two parts in a cell of their own. Only components are wanted, so nodes whose classes are all in one component have nothing
+with the whole node, in cells of bounded size. Others branch, LEVELS levels at a time: a class's paths follow from its
+signature alone, and of the nodes on them those count whose ancestors are all large. Nodes that are large at MAX_LEVELS are compared
+whole, every two parts in a cell of their own. Only components are wanted, so nodes whose classes are all in one component have nothing
 left to find, and only pairs whose ends have different labels (components as far as known) are compared. That loses no
 component. A pair that shares several small nodes is compared in the least of them.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mixed, pieces, runs, texts
-from .components import components, merged
+from .components import components, contracted
 
 WORDS, PERCENT = 5, 75
 TREES, MAX_LEVELS = 20, 12
@@ -114,19 +115,49 @@ def _first_nodes(classes: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).filter("c > 1").select("node", "hub"), "node")
 
 
-def _children(large: DataFrame, signed: DataFrame, level: int) -> DataFrame:
-    """(node, cid, tree) of the level below. large: (node, cid, tree); signed: (cid, sig) of the level's block."""
-    at = 2 * F.col("tree") + 2 * TREES * (level % LEVELS)
-    more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(3)) == 0
-    both = F.array(F.xxhash64("node", F.lit(0), F.get("sig", at)), F.xxhash64("node", F.lit(1), F.get("sig", at + 1)))
-    return large.join(signed, "cid").select(F.explode(F.when(more, both).otherwise(F.slice(both, 1, 1))).alias("node"), "cid", "tree")
+def _paths(large: DataFrame, signed: DataFrame, level: int, steps: int) -> DataFrame:
+    """(cid, tree, path, first): the nodes of the next levels that a class goes to, one row for each last one.
+
+    Paths of a class that begin alike share nodes; a path accounts for those from position first on, so each node has each class
+    once. large: (node, cid, tree) at the level; signed: (cid, sig) of the level's block.
+    """
+    values = [F.get("sig", 2 * F.col("tree") + 2 * TREES * ((level + i) % LEVELS) + j) for i in range(steps) for j in (0, 1)]
+    rows = large.join(signed, "cid").select("cid", "tree", "node", F.array(*values).alias("own"), F.array().cast("array<bigint>").alias("path"), F.lit(0).alias("first"))
+    for i in range(steps):
+        more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(3)) == 0
+        both = F.array(F.xxhash64("node", F.lit(0), F.get("own", F.lit(2 * i))), F.xxhash64("node", F.lit(1), F.get("own", F.lit(2 * i + 1))))
+        rows = rows.select("cid", "tree", "own", "path", "first", F.posexplode(F.when(more, both).otherwise(F.slice(both, 1, 1))).alias("at", "node"))
+        rows = rows.select("cid", "tree", "own", "node", F.concat("path", F.array("node")).alias("path"), F.when(F.col("at") > 0, i).otherwise(F.col("first")).alias("first"))
+    return rows.select("cid", "tree", "path", "first")
+
+
+def _on_paths(paths: DataFrame) -> DataFrame:
+    """(node, cid, tree, at, above): each node of each class once; at is its place on the path, above the node before it."""
+    rows = paths.select("cid", "tree", "path", F.explode(F.sequence(F.col("first"), F.size("path") - 1)).alias("at"))
+    return rows.select(F.get("path", "at").alias("node"), "cid", "tree", "at", F.get("path", F.col("at") - 1).alias("above"))
+
+
+def _reached(rows: DataFrame, steps: int) -> DataFrame:
+    """Rows of nodes all of whose ancestors on the path are large; a class has few nodes in a tree. rows: those of _apart, with at and above."""
+    own = rows.groupBy("cid", "tree").agg(F.collect_list(F.struct("node", "at", "above", "label", "c", "x", "lead", "large")).alias("own"))
+
+    def below(parents):
+        ids = F.transform(F.filter(parents, lambda r: r["large"]), lambda r: r["node"])
+        return F.filter("own", lambda r: (r["at"] > 0) & F.array_contains(ids, r["above"]))
+
+    levels = [F.filter("own", lambda r: r["at"] == 0)]
+    for _ in range(steps - 1):
+        levels.append(below(levels[-1]))
+    return own.select("cid", "tree", F.explode(F.concat(*levels)).alias("r")).select("cid", "tree", "r.*")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """rows (node, cid, tree, label) of nodes that hold several labels, with c (classes), x (classes without the main label), lead (is one of these)."""
+    """rows (node, cid, tree, label) of nodes that hold several labels, with c (classes), x (classes without the main label), lead (is one of these), large; other columns stay."""
     each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
     nodes = each.groupBy("node").agg(F.sum("n").alias("c"), F.max(F.struct("n", "label")).alias("most")).filter("c > most.n")
-    return rows.join(nodes, "node").select("node", "cid", "tree", "label", "c", (F.col("c") - F.col("most.n")).alias("x"), (F.col("label") != F.col("most.label")).alias("lead"))
+    known = nodes.select("node", "c", (F.col("c") - F.col("most.n")).alias("x"), F.col("most.label").alias("main"))
+    large = (F.col("c") > LEAF) & (F.col("x") > LEAF)
+    return rows.join(known, "node").withColumn("lead", F.col("label") != F.col("main")).withColumn("large", large).drop("main")
 
 
 def _with_hubs(large: DataFrame, time: int) -> DataFrame:
@@ -137,18 +168,20 @@ def _with_hubs(large: DataFrame, time: int) -> DataFrame:
 
 
 def _cells(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows by cell: leads are in every cell of their node, others in one, which is a lead's home too. rows: (node, cid, label, lead, c)."""
-    cells, own = F.ceil(F.col("c") / CELL).cast("int"), F.pmod(F.xxhash64("cid", "node"), F.ceil(F.col("c") / CELL)).cast("int")
-    dealt = rows.select(F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array(own))).alias("part"), own.alias("own"), "node", "cid", "label", "lead")
-    dealt = dealt.select(F.xxhash64("node", "part").alias("cell"), "node", "cid", "label", "lead", (F.col("part") == F.col("own")).alias("home"))
-    return dealt.join(known, "cid").select("cell", "node", "cid", "label", "lead", "home", "n", "sketch", "nodes")
-
+    """Rows by cell, in which leads meet others, and each other where they are at home. rows: (node, cid, label, lead, c, whole).
 
-def _parts(large: DataFrame) -> DataFrame:
-    """(node, cid, label, lead, c): every two parts of a node, about LEAF classes each, as a node; all are leads."""
-    n = F.ceil(F.col("c") / LEAF).cast("int")
-    parts = large.select("node", "cid", "label", F.pmod(F.xxhash64("cid", "node"), n).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
-    return parts.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", "label", F.lit(True).alias("lead"), F.lit(1).alias("c"))
+    Leads are in every cell of their node, others in one, which is a lead's home too. Of nodes to compare whole, every two parts
+    have a cell, in which one part leads; each part also has one for itself.
+    """
+    n = F.ceil(F.col("c") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("cid", "node"), F.ceil(F.col("c") / CELL)).cast("int")
+    columns = ["node", "cid", "label"]
+    some = rows.filter("NOT whole").select(F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))).alias("part"), own.alias("own"), *columns, "lead")
+    some = some.select(F.xxhash64("node", "part").alias("cell"), *columns, "lead", (F.col("part") == F.col("own")).alias("home"))
+    parts = rows.filter("whole").select(F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), own.alias("own"), *columns)
+    cell, itself = F.xxhash64("node", F.least("own", "part"), F.greatest("own", "part")), F.col("part") == F.col("own")
+    whole = parts.select(cell.alias("cell"), *columns, (F.col("own") <= F.col("part")).alias("lead"), itself.alias("home"))
+    return some.unionByName(whole).join(known, "cid").select("cell", *columns, "lead", "home", "n", "sketch", "nodes")
 
 
 RUNS = "run long, first boolean, cid long, label long, leads array<long>"
@@ -265,53 +298,55 @@ def near_dup(docs: DataFrame) -> DataFrame:
     ids = nodes.select("cid").distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
     bodies = scratch.save(rows.join(ids, ["doc_id", "text_key"]).select("cid", "text").dropDuplicates(["cid"]))
     known = classes.select("cid", F.col("n_shingles").alias("n"), "sketch")
-    links, labels = None, None
+    edges = labels = None
 
     def labelled(some: DataFrame) -> DataFrame:
-        return some.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        return some.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    def compare(some: DataFrame, small: DataFrame | None = None) -> None:
-        """Adds the links of leads and other classes of their nodes. small: (cid, nodes), where pairs may meet earlier."""
-        nonlocal links, labels
-        each = known.withColumn("nodes", F.array().cast("array<bigint>")) if small is None else known.join(small, "cid")
+    def compare(some: DataFrame, met: DataFrame | None = None) -> DataFrame:
+        """The links of leads and other classes of their nodes, with the edges known before. met: (cid, nodes), where pairs may meet earlier."""
+        each = known.withColumn("nodes", F.array().cast("array<bigint>")) if met is None else known.join(met, "cid")
         runs = _cells(some, each).repartition("cell").sortWithinPartitions("cell").mapInArrow(_runs, RUNS)
         found = runs.join(bodies, "cid").select("run", "first", "cid", "label", "leads", "text").repartition("run").sortWithinPartitions("run", F.desc("first"))
         own = scratch.save(found.mapInArrow(_confirm, "a long, b long"))
-        links = own if links is None else links.unionByName(own)
-        labels = merged(links, scratch, 2)
+        return own if edges is None else own.unionByName(edges)
+
+    def learn(links: DataFrame) -> None:
+        nonlocal edges, labels
+        edges = contracted(links, scratch)
+        labels = edges.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("label"))
 
     # First each class with the smallest one of its node, which joins most of what belongs together.
     some = nodes.filter(F.col("tree") < HUB_TREES)
     sized = some.join(some.groupBy("node").agg(F.count("*").alias("c")), "node")
-    compare(sized.select("node", "cid", F.col("cid").alias("label"), (F.col("cid") == F.col("hub")).alias("lead"), "c"))
+    learn(compare(sized.select("node", "cid", F.col("cid").alias("label"), (F.col("cid") == F.col("hub")).alias("lead"), "c", F.lit(False).alias("whole"))))
 
-    # Down the trees, in large first nodes with hubs before.
-    rows_in, small, level, sign = nodes.select("node", "cid", "tree"), [], 1, classes.select("cid", "sig")
-    is_large = (F.col("c") > LEAF) & (F.col("x") > LEAF)
-    here = scratch.save(_apart(labelled(rows_in)))
+    # Then the classes of large first nodes with hubs.
+    first = nodes.select("node", "cid", "tree")
+    here = scratch.save(_apart(labelled(first)))
     for time in range(1, HUB_ROUNDS + 1):
-        large = here.filter(is_large & (F.col("tree") < HUB_TREES))
-        if not large.isEmpty():
-            compare(_with_hubs(large, time))
-            here = scratch.save(_apart(labelled(rows_in)))
-    columns = ["node", "cid", "label", "lead", "c"]
-    while not (large := here.filter(is_large)).isEmpty():
-        small.append(here.filter(~is_large).select(columns))
-        if level == MAX_LEVELS:
+        large = here.filter(F.col("large") & (F.col("tree") < HUB_TREES))
+        if large.isEmpty():
             break
+        learn(compare(_with_hubs(large, time).withColumn("whole", F.lit(False))))
+        here = scratch.save(_apart(labelled(first)))
+
+    # Down the trees.
+    columns, level, sign = ["node", "cid", "label", "lead", "c"], 1, classes.select("cid", "sig")
+    large, ends = here.filter("large"), [here.filter("NOT large")]
+    while level < MAX_LEVELS and not large.isEmpty():
         if level % LEVELS == 0:
             own = bodies.join(large.select("cid").distinct(), "cid", "left_semi").select("cid", "text")
             sign = scratch.save(own.mapInArrow(_signatures(level // LEVELS), "cid long, sig array<int>"))
-        rows_in = scratch.save(_children(large.select("node", "cid", "tree"), sign, level))
-        level += 1
-        here = scratch.save(_apart(labelled(rows_in)))
-    else:
-        small.append(here.select(columns))
-    met = reduce(DataFrame.unionByName, small)
-    compare(met, met.groupBy("cid").agg(F.collect_list("node").alias("nodes")))
-    if not large.isEmpty():
-        compare(_parts(large))
-    joined = components(links, scratch)
+        steps = min(LEVELS - level % LEVELS, MAX_LEVELS - level)
+        paths = scratch.save(_paths(large.select("node", "cid", "tree"), sign, level, steps))
+        here = scratch.save(_reached(_apart(labelled(_on_paths(paths))), steps))
+        level += steps
+        large = here.filter(F.col("large") & (F.col("at") == steps - 1))
+        ends.append(here.filter("NOT large"))
+    small = reduce(DataFrame.unionByName, [e.select(*columns, F.lit(False).alias("whole")) for e in ends])
+    met = small.unionByName(large.select(*columns, F.lit(True).alias("whole")))
+    joined = components(compare(met, met.groupBy("cid").agg(F.collect_list("node").alias("nodes"))), scratch)
 
     labels = classes.select("cid", "doc_id").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = labels.groupBy("label").agg(F.min("doc_id").alias("component"))

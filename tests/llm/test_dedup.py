@@ -139,6 +139,28 @@ def test_near_boilerplate_family(spark, monkeypatch):
     assert near_recall(spark, docs) >= 0.97
 
 
+def test_near_several_levels_at_once(spark):
+    """A pass over three levels reaches the nodes that three passes over one level reach, each class once in each."""
+    rng = np.random.default_rng(6)
+    sigs = spark.createDataFrame([(i, rng.integers(0, 3, near_dup.WIDTH).tolist()) for i in range(40)], "cid long, sig array<int>")
+    top = sigs.selectExpr("cid % 4 AS node", "cid", "int(cid % 2) AS tree")
+    level = near_dup.LEVELS
+    at_once = rows(near_dup._on_paths(near_dup._paths(top, sigs, level, 3)), "at", "node", "cid", "tree")
+    want, here = [], top
+    for i in range(3):
+        here = near_dup._on_paths(near_dup._paths(here, sigs, level + i, 1)).select("node", "cid", "tree")
+        want += [(i, *r) for r in here.collect()]
+    assert len(at_once) == len(set(at_once)) > 3 * 40
+    assert sorted(at_once) == sorted(want)
+
+
+def test_near_only_below_large_nodes(spark):
+    """Of the nodes on a path those stay whose ancestors are all large."""
+    of = [(1, 0, None, True), (2, 0, None, False), (3, 1, 1, False), (4, 1, 2, True), (5, 2, 3, True), (6, 2, 4, True), (7, 1, 1, True), (8, 2, 7, False)]
+    table = spark.createDataFrame([(9, 0, *r, 0, 5, 5, True) for r in of], "cid long, tree int, node long, at int, above long, large boolean, label long, c long, x long, lead boolean")
+    assert sorted(r["node"] for r in near_dup._reached(table, 3).collect()) == [1, 2, 3, 7, 8]
+
+
 def test_near_survival_by_depth():
     """A pair at the threshold stays together in a tree as often as the docstring says."""
     rng = np.random.default_rng(5)
