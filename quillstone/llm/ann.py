@@ -9,7 +9,9 @@ ends when few lists change. Reverse lists have no bound, so they are cut into bl
 part of NN-descent: pairs that a round misses are met in another.
 
 A query starts from nodes of the graph that its own vector suggests and, round by round, joins the neighbours of its best
-nodes, until its best BEAM no longer change. Scores are inner products in double precision on the original vectors.
+nodes, until its best BEAM no longer change. How wide the beam has to be depends on the table, so recall is measured in the run: for
+SAMPLE queries the nearest nodes are found exactly, by products with all nodes, and as long as less than RECALL of them is
+in the beams, all queries go on with beams twice as wide. A doubling that gains nothing ends this with a warning. Scores are inner products in double precision on the original vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do null ids, nor vectors that are not of
 the most frequent length (of equally frequent ones, the greater). Nearest of equal score is the smaller id; final scores are
@@ -19,6 +21,7 @@ With fewer candidates than k, all of them come back. Empty tables give empty res
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ from .common import Scratch
 K, BLOCK = 24, 64
 TREES, LEAF = 6, 128
 BEAM = 64
+#: Queries whose nearest are found exactly, and the share of these that the beams have to hold.
+SAMPLE, RECALL = 64, 0.95
 #: Descent ends when so small a share of the lists' entries is new.
 SETTLED = 0.001
 #: Rounds or hops after which something must be wrong.
@@ -205,6 +210,48 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: Data
     return best.select("query", "node", "score")
 
 
+def _exact(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query, least, n): the score of the k-th nearest node, or of the last one, for SAMPLE queries; n is k or the number of nodes."""
+    asked = queries.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
+    ids, q = np.array([r["id"] for r in asked], np.int64), np.array([r["v"] for r in asked], float).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full((len(ids), k), -np.inf)
+        for b in batches:
+            if b.num_rows:
+                top = np.partition(np.concatenate((top, q @ _matrix(b.column("v"), dim).T), axis=1), -k, axis=1)[:, -k:]
+        at = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[0]]), pa.array(top[at])], names=["query", "score"])
+
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))
+    best = nodes.select("v").mapInArrow(run, "query long, score double").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+
+
+def _held(best: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact queries' nearest nodes that best (query, node, score) holds; sums in another order differ a little."""
+    near = best.join(exact, "query").filter(F.col("score") >= F.col("least") - 1e-9 * F.abs("least"))
+    per = near.groupBy("query", "n").agg(F.count("*").alias("c")).agg(F.sum(F.least("c", "n"))).first()[0]
+    total = exact.agg(F.sum("n")).first()[0]
+    return (per or 0) / total if total else 1.0
+
+
+def widened(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, n: int, dim: int, k: int, scratch: Scratch) -> DataFrame:
+    """Search with beams that are doubled until they hold RECALL of the k nearest of a sample of the queries."""
+    exact = scratch.save(_exact(queries, nodes, dim, k))
+    beam = max(BEAM, k)
+    best = search(queries, entries, edges, nodes, scratch, beam)
+    held = _held(best, exact)
+    while held < RECALL and beam < n:
+        beam, before = 2 * beam, held
+        best = search(queries, best, edges, nodes, scratch, beam)
+        held = _held(best, exact)
+        if held < RECALL and held - before < 0.002:
+            warnings.warn(f"beams of {beam} hold {held:.3f} of the nearest, as narrower ones do", stacklevel=2)
+            break
+    return best
+
+
 def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every row for which is_query(id) holds."""
     scratch = Scratch(rows.sparkSession)
@@ -224,7 +271,7 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
     queries = scratch.save(nodes.join(at, nodes["id"] == at["node"], "left_semi").select("id", "v"))
     itself = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     entries = itself.unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node"), "score"))
-    found = scratch.save(_scored(search(queries, entries, edges, nodes, scratch).select("query", "node"), queries, nodes))
+    found = scratch.save(_scored(widened(queries, entries, edges, nodes, n, dim, k + 1, scratch).select("query", "node"), queries, nodes))
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id", "row"))
     near = members.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r")
     listed = found.join(near, "node").select("query", "score", "vec_id", "row")

@@ -207,6 +207,16 @@ def test_recall_on_larger_tables(spark, clusters):
     assert sum(r["vec_id"] in want[r["query_id"]] for r in got) / (20 * len(want)) >= 0.9
 
 
+def test_beams_widen_until_recall_is_met(spark, monkeypatch):
+    """Narrow beams miss much of what is near in vectors without structure; they are widened until a sample's nearest are held."""
+    monkeypatch.setattr(ann, "BEAM", 21)
+    beams, search = [], ann.search
+    monkeypatch.setattr(ann, "search", lambda *a: beams.append(a[5]) or search(*a))
+    rng = np.random.default_rng(8)
+    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 64)))], 40) >= 0.9
+    assert beams[0] == 21 and len(beams) > 1 and all(b == 2 * a for a, b in zip(beams, beams[1:]))
+
+
 def test_vectors_of_unequal_length(spark):
     rows = [(i, [1.0, float(i), 2.0]) for i in range(30)] + [(40, [1.0, 2.0]), (60, [1.0] * 5), (61, [2.0, 1.0])]
     got = ann.nearest(vectors(spark, rows), lambda i: i % 20 == 0).collect()
