@@ -212,8 +212,9 @@ def test_beams_widen_until_recall_is_met(spark, monkeypatch):
     monkeypatch.setattr(ann, "BEAM", 21)
     beams, search = [], ann.search
     monkeypatch.setattr(ann, "search", lambda *a: beams.append(a[5]) or search(*a))
-    rng = np.random.default_rng(8)
-    assert recall(spark, [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((4000, 64)))], 40) >= 0.9
+    v = np.random.default_rng(8).standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert recall(spark, list(enumerate(v.astype(np.float32).astype(float).tolist())), 40) >= 0.9
     assert beams[0] == 21 and len(beams) > 1 and all(b == 2 * a for a, b in zip(beams, beams[1:]))
 
 
