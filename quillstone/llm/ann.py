@@ -9,7 +9,7 @@ ends when few lists change. Reverse lists have no bound, so they are cut into bl
 part of NN-descent: pairs that a round misses are met in another.
 
 A query starts from nodes of the graph that its own vector suggests and, round by round, joins the neighbours of its best
-nodes, until its best BEAM no longer change. How wide the beam has to be depends on the table, so recall is measured in the run: for
+nodes, and the nodes that have these among their BACK nearest, until its best BEAM no longer change. How wide the beam has to be depends on the table, so recall is measured in the run: for
 SAMPLE queries the nearest nodes are found exactly, by products with all nodes, and as long as less than RECALL of them is
 in the beams, all queries go on with beams twice as wide. A doubling that gains nothing ends this with a warning. Scores are inner products in double precision on the original vectors.
 
@@ -33,8 +33,10 @@ from pyspark.sql import Window as W
 from .common import Scratch
 
 K, BLOCK = 24, 64
-TREES, LEAF = 6, 128
+TREES, LEAF = 8, 1024
 BEAM = 64
+#: Best neighbours of a node that lead the search back to it.
+BACK = 8
 #: Queries whose nearest are found exactly, and the share of these that the beams have to hold.
 SAMPLE, RECALL = 64, 0.95
 #: Descent ends when so small a share of the lists' entries is new.
@@ -192,22 +194,38 @@ def _scored(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame
     return rows.select("query", "node", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
+def both_ways(edges: DataFrame, back: int = BACK) -> DataFrame:
+    """src, dst: each node's neighbours, and the nodes that have it among their best back ones. Without these a node that no list holds
+    could not be reached."""
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst"))
+    reverse = edges.withColumn("rank", rank).filter(F.col("rank") <= back).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select("src", "dst").unionByName(reverse).distinct()
+
+
 def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
-    """(query, node, score): the best nodes found by greedy search from entries (query, node, score), no two equal. queries: id, v."""
-    best = scratch.save(entries.withColumn("open", F.lit(1)))
+    """(query, node, score, open): the best nodes found by greedy search from entries (query, node, score[, open]), no two equal. queries: id, v.
+
+    The beam's nodes are opened; as many again are kept behind it, open or not, so that a wider search goes on from them.
+    """
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
+        return scratch.save(rows.withColumn("rank", rank).filter(F.col("rank") <= 2 * beam))
+
+    best = ranked(entries if "open" in entries.columns else entries.withColumn("open", F.lit(1)))
+    turn = (F.col("open") == 1) & (F.col("rank") <= beam)
     for _ in range(ENDLESS):
-        frontier = best.filter("open = 1").join(edges, best["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
+        frontier = best.filter(turn).join(edges, best["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
         fresh = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
         scored = _scored(fresh, queries, nodes).withColumn("open", F.lit(1))
-        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
-        after = scratch.save(best.withColumn("open", F.lit(0)).unionByName(scored).withColumn("rank", rank).filter(F.col("rank") <= beam).drop("rank"))
+        after = ranked(best.withColumn("open", F.when(turn, 0).otherwise(F.col("open"))).drop("rank").unionByName(scored))
         scratch.drop(best)
         best = after
-        if best.filter("open = 1").isEmpty():
+        if best.filter(turn).isEmpty():
             break
     else:
         raise RuntimeError("beams have not settled")
-    return best.select("query", "node", "score")
+    return best.select("query", "node", "score", "open")
 
 
 def _exact(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
@@ -265,13 +283,14 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
     members = scratch.save(own.select("id", "row", F.xxhash64("v").alias("h"), "v").join(nodes.select(F.col("id").alias("node"), "h", "v"), ["h", "v"]).select("node", F.col("id").alias("vec_id"), "row"))
     n = nodes.count()
     edges = graph(nodes, n, dim, scratch)
+    ways = scratch.save(both_ways(edges))
     # A query's vector is in the table, so its node and its node's list are where the search enters the graph.
     asked = members.filter(is_query(F.col("vec_id")))
     at = asked.select("node").distinct()
     queries = scratch.save(nodes.join(at, nodes["id"] == at["node"], "left_semi").select("id", "v"))
     itself = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     entries = itself.unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node"), "score"))
-    found = scratch.save(_scored(widened(queries, entries, edges, nodes, n, dim, k + 1, scratch).select("query", "node"), queries, nodes))
+    found = scratch.save(_scored(widened(queries, entries, ways, nodes, n, dim, k + 1, scratch).select("query", "node"), queries, nodes))
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id", "row"))
     near = members.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r")
     listed = found.join(near, "node").select("query", "score", "vec_id", "row")
