@@ -94,14 +94,19 @@ def organizations(names: DataFrame, column: str) -> DataFrame:
 def find_organizations(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Names that occur in a query's text, inside words too, and aren't part of a longer name that does. queries: query_id, text.
 
-    The pieces of a text as long as any name is meet names by equality, so nothing is compared with everything. Case doesn't
-    count; null and blank texts and names find nothing.
+    A piece of a text is taken where a name's first two characters stand, as long as the names are that begin so, and meets
+    names by equality: nothing is compared with everything. Case doesn't count; null and blank texts and names find nothing.
     """
     known = names.filter(F.trim("organization") != "").select("organization", F.lower("organization").alias("piece")).distinct()
-    lengths = known.agg(F.collect_set(F.length("piece")).alias("_lengths"))  # one row: lengths of names
-    low = F.lower("text")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform("_lengths", lambda n: F.substring(low, i, n))))
-    asked = queries.filter(F.trim("text") != "").crossJoin(F.broadcast(lengths)).select("query_id", F.explode(F.array_distinct(pieces)).alias("piece"))
+    head = lambda c, at: F.substring(c, at, 2)
+    heads = known.filter(F.length("piece") > 1).groupBy(head(F.col("piece"), 1).alias("_head")).agg(F.collect_set(F.length("piece")).alias("_lengths"))
+    letters = known.filter(F.length("piece") == 1).agg(F.collect_set("piece").alias("_letters"))  # one row: names of one character
+    texts = queries.filter(F.trim("text") != "").select("query_id", F.lower("text").alias("_low"))
+    placed = texts.select("query_id", "_low", F.explode(F.sequence(F.lit(1), F.length("_low"))).alias("_at")).withColumn("_head", head(F.col("_low"), F.col("_at")))
+    begun = placed.join(F.broadcast(heads), "_head").select("query_id", "_low", "_at", F.explode("_lengths").alias("_n"))
+    pieces = begun.select("query_id", F.substring("_low", F.col("_at"), F.col("_n")).alias("piece"))
+    single = texts.crossJoin(F.broadcast(letters)).select("query_id", F.explode(F.filter("_letters", lambda c: F.contains("_low", c))).alias("piece"))
+    asked = pieces.unionAll(single)
     found = asked.join(known, "piece").select("query_id", "organization").distinct()
     longer = found.select(F.col("query_id").alias("q"), F.col("organization").alias("o"))
     inside = (F.col("query_id") == F.col("q")) & (F.length("o") > F.length("organization")) & F.contains(F.lower("o"), F.lower("organization"))

@@ -348,3 +348,14 @@ def test_model_failure_is_one_rows(spark):
 
     rows = spark.createDataFrame([("x",), ("bad",), (None,)], "p string").select("p", udfs.generate(F.col("p"), make).alias("r")).collect()
     assert {r["p"]: r["r"] for r in rows} == {"x": "X", "bad": None, None: None}
+
+
+def test_names_meet_few_pieces_of_a_text(spark):
+    """Only pieces that begin like a name are looked up, names of one character included."""
+    texts = [(1, "Offer of Customer#000000012 BUILDING에서 발주한 사업"), (2, "x"), (3, "nothing here"), (4, None), (5, "ab")]
+    names = ["Customer#000000012 BUILDING", "Customer#000000012", "BUILDING", "X", "b", "ab", " "]
+    asked = spark.createDataFrame(texts, "query_id long, text string")
+    found = filters.find_organizations(asked, spark.createDataFrame([(n,) for n in names], "organization string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "Customer#000000012 BUILDING"), (2, "X"), (5, "ab")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_head" in plan and "flatten" not in plan
