@@ -16,6 +16,8 @@ SIZE, OVERLAP = 500, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 SENTENCE_SEPARATORS = ("\n\n", "\n", ". ", " ")
 HARD_CUT = 4000
+#: Unicode's space separators: what is cut from the ends of a sentence.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
@@ -88,9 +90,9 @@ def windows(units: DataFrame, key: str, per_chunk: int = 4, overlap: int = 1, ha
 
 
 def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, pos, content: a text cut after sentence ends and at line ends; blank ones don't count."""
+    """key, pos, content: a text cut after sentence ends and at line ends; blank ones, no-break spaces included, don't count."""
     marked = F.regexp_replace(F.regexp_replace(F.col(text), r"\n+", "\n"), r"([.!?])[ \t]+", "$1\n")
-    parts = F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(marked, "\n"), lambda s: F.btrim(s, F.lit(SPACES))), lambda s: s != "")
     return docs.select(key, F.posexplode(parts).alias("pos", "content"))
 
 

@@ -359,3 +359,9 @@ def test_names_meet_few_pieces_of_a_text(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "Customer#000000012 BUILDING"), (2, "X"), (5, "ab")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_head" in plan and "flatten" not in plan
+
+
+def test_sentences_end_without_unicode_spaces(spark):
+    docs = spark.createDataFrame([(1, "One.\u00a0\n\u3000Two. \u00a0Three.\n\u00a0\u2003\nFour\u00a0five.\u00a0")], "doc_id long, text string")
+    got = [tuple(r) for r in chunking.sentences(docs, "doc_id").orderBy("pos").collect()]
+    assert got == [(1, 0, "One."), (1, 1, "Two."), (1, 2, "Three."), (1, 3, "Four\u00a0five.")]
