@@ -63,14 +63,17 @@ def idf(posting: DataFrame, n: Column) -> DataFrame:
     return df.select("idx", "df", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None, bitmaps: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def keyword(posting: DataFrame, query_terms: DataFrame, weights: DataFrame, k: int, allowed: DataFrame | None = None, bitmaps: tuple[DataFrame, DataFrame] | None = None, points: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """Sum over common tokens of tf in the query * idf * tf in the text. query_terms: query_id, idx, qtf.
 
     allowed: point_id of the points that a filter leaves; bitmaps: what blocks.allowed() made of filters of each query's own. They hold
-    before the ranking, and weights stay those of all points.
+    before the ranking, and weights stay those of all points. A posting of index.counted() is scored point by point, under the filters of
+    points themselves instead of bitmaps; the queries go there, and only k hits of each task come back.
     """
     posting = posting if allowed is None else posting.join(allowed.select("point_id"), "point_id", "left_semi")
     asked = query_terms.join(weights, "idx")
+    if "idxs" in posting.columns:
+        return ranked(blocks.scored(posting, asked.select("query_id", "idx", (F.col("qtf") * F.col("idf")).alias("w")), k, points, filters), k)
     score = F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("tf")), 6).alias("score")
     if bitmaps is None:
         return ranked(posting.join(asked, "idx").groupBy("query_id", "point_id").agg(score).filter("score > 0"), k)
@@ -188,8 +191,9 @@ def retrieve(points: DataFrame, queries: DataFrame, posting: DataFrame, query_te
     depth = 2 * max([k, fixed.MMR_POOL] if "mmr" in modes else [k])
     near = stored(dense(points, queries.select("query_id", vector.alias("vector")), depth, where=where, filters=filters)).join(by, "query_id")
     wordy = by.filter(F.col("mode").isin("keyword", "hybrid", "mmr")).select("query_id")
-    bitmaps = None if filters is None else blocks.allowed(points, filters.join(wordy, "query_id", "left_semi"))
-    words = stored(keyword(posting, query_terms.join(wordy, "query_id", "left_semi"), weights, depth, None if where is None else points.filter(where), bitmaps)).join(by, "query_id")
+    own_filters = None if filters is None else filters.join(wordy, "query_id", "left_semi")
+    bitmaps = None if filters is None or "idxs" in posting.columns else blocks.allowed(points, own_filters)
+    words = stored(keyword(posting, query_terms.join(wordy, "query_id", "left_semi"), weights, depth, None if where is None else points.filter(where), bitmaps, points, own_filters)).join(by, "query_id")
     columns = ["query_id", "point_id", "score", "rank"]
     of = lambda hits, mode, n: hits.filter((F.col("mode") == mode) & (F.col("rank") <= n)).select(columns)
     good = near.filter(F.col("threshold").isNull() | (F.col("score") >= F.col("threshold")))

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_score, token_set
-from ..operators import filters, index, metrics, rerank, search
+from ..operators import filters, metrics, rerank, search
 from .filters import sql_found
 from .metrics import containing
 from .registry import query, sql_token_set, table
 from .rerank import THRESHOLD
-from .search import SQL_DENSE_ASKED, corpus, sql_fused, sql_keyword, sql_ranked, terms
+from .search import SQL_DENSE_ASKED, corpus, sql_fused, sql_keyword, sql_ranked, statistics, terms
 
 K, CANDIDATES = 5, 20
 MODES = ("hybrid", "keyword", "vector")
@@ -39,7 +39,7 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(final, candidates) of all questions, reranked by the share of a question's tokens that a text has."""
     rows, asked = points(spark, sf_dir), questions(spark, sf_dir)
     names = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("organization")).distinct()
-    posting, weights = index.statistics(rows.select("point_id", "text"), F.col("text"))
+    posting, weights = statistics(spark, sf_dir, terms(asked))
 
     def reranked(candidates: DataFrame) -> DataFrame:
         texts = rows.select("point_id", token_set(F.col("text")).alias("tokens")).join(candidates.select("point_id").distinct(), "point_id", "left_semi")
