@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
-from .index import tokens
-from .search import postings, ranked
+from .index import counted
+from .search import ranked
 
 #: Points of a block, blocks that each query scores first, and folders that tokens are dealt to.
 BLOCK, FIRST, BUCKETS = 128, 8, 16
@@ -41,16 +43,31 @@ def _folder(path: str, name: str, batch: int) -> str:
     return f"{path}/{name}/batch={batch}"
 
 
+def _block_rows(points: pa.Table) -> pa.Table:
+    """The rows of one block, whose points come with their tokens and counts."""
+    lists = points.column("idxs").combine_chunks()
+    at = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()))
+    own = pa.table({"idx": lists.flatten(), "point": points.column("point_id").combine_chunks().take(at), "tf": points.column("tfs").combine_chunks().flatten()})
+    own = own.sort_by([("idx", "ascending"), ("point", "ascending")]).combine_chunks()
+    idx, tf = own.column("idx").to_numpy(), own.column("tf").to_numpy()
+    first = np.flatnonzero(np.append(True, idx[1:] != idx[:-1])) if len(idx) else np.empty(0, int)
+    ends, n = pa.array(np.append(first, len(idx)).astype(np.int32)), np.diff(np.append(first, len(idx)))
+    most = np.maximum.reduceat(tf, first) if len(idx) else tf
+    lists_of = lambda c: pa.ListArray.from_arrays(ends, own.column(c).combine_chunks())
+    block = np.full(len(first), points.column("block")[0].as_py())
+    return pa.table({"idx": idx[first], "block": block, "most": most, "n": n.astype(np.int64), "points": lists_of("point"), "tfs": lists_of("tf"), "bucket": (idx[first] % BUCKETS).astype(np.int32)})
+
+
 def _blocks(own: DataFrame) -> DataFrame:
-    """Rows of the index from point_id, block, idx, tf."""
-    rows = own.groupBy("idx", "block").agg(F.max("tf").alias("most"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("point_id", "tf"))).alias("x"))
-    return rows.select("idx", "block", "most", "n", F.col("x.point_id").alias("points"), F.col("x.tf").alias("tfs"), F.pmod("idx", F.lit(BUCKETS)).cast("int").alias("bucket"))
+    """Rows of the index from point_id, block, idxs, tfs: a block's points meet in one task and are turned to lists of tokens there."""
+    kind = own.schema["point_id"].dataType.simpleString()
+    some = own.filter(F.size("idxs") > 0).select("point_id", "block", "idxs", "tfs")
+    return some.groupBy("block").applyInArrow(_block_rows, f"idx long, block long, most long, n long, points array<{kind}>, tfs array<long>, bucket int")
 
 
 def _put(rows: DataFrame, path: str, batch: int) -> None:
-    """A file or a few for each bucket, sorted by token, so that scans skip row groups."""
-    spread = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("bucket", "idx")
-    spread.write.mode("overwrite").partitionBy("bucket").parquet(_folder(path, "blocks", batch))
+    """Files of each bucket, sorted by token, so that scans skip row groups. The tasks that made the blocks write them."""
+    rows.sortWithinPartitions("bucket", "idx").write.mode("overwrite").partitionBy("bucket").parquet(_folder(path, "blocks", batch))
 
 
 def _earlier(spark: SparkSession, path: str, name: str, batch: int) -> DataFrame:
@@ -66,18 +83,16 @@ def add(points: DataFrame, path: str, batch: int = 0, locality: tuple[str, ...]
     n = points.count()
     part = F.pmod(F.xxhash64("point_id"), F.lit(max(1, -(-n // BLOCK))))
     block = F.xxhash64(F.lit(batch), *(F.col(c).cast("string") for c in locality), part)
-    counted = stored(postings(points, tokens(F.col("text"))))
-    places = points.select("point_id", block.alias("block"))
-    _put(_blocks(counted.join(places, "point_id")), path, batch)
-    forward = points.select("point_id").join(counted.groupBy("point_id").agg(F.collect_list("idx").alias("idxs")), "point_id", "left")
-    forward.write.mode("overwrite").parquet(_folder(path, "forward", batch))
-    added = counted.groupBy("idx").agg(F.count("*").alias("df"))
+    counted(points.select("point_id", "text", block.alias("block")), F.col("text"), "block").write.mode("overwrite").parquet(_folder(path, "forward", batch))
+    forward = spark.read.parquet(_folder(path, "forward", batch))
+    _put(_blocks(forward), path, batch)
+    added = forward.select(F.explode("idxs").alias("idx")).groupBy("idx").agg(F.count("*").alias("df"))
     kind = points.schema["point_id"].dataType.simpleString()
     dead, terms, gone = spark.createDataFrame([], f"point_id {kind}, of int"), added, 0
     if batch > 0:
         living = _living(_earlier(spark, path, "forward", batch), _earlier(spark, path, "dead", batch))
         leaving = points.select("point_id") if deleted is None else points.select("point_id").unionByName(deleted.select("point_id"))
-        old = stored(living.join(leaving.distinct(), "point_id", "left_semi"))
+        old = stored(living.join(leaving.distinct(), "point_id", "left_semi").select("point_id", "batch", "idxs"))
         dead, gone = old.select("point_id", F.col("batch").alias("of")), old.count()
         removed = old.select(F.explode("idxs").alias("idx")).groupBy("idx").agg((-F.count("*")).alias("df"))
         terms = added.unionByName(removed).groupBy("idx").agg(F.sum("df").alias("df"))
@@ -146,8 +161,8 @@ def living_postings(index: Index) -> DataFrame:
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """The index at path as one batch at target, without dead versions; blocks keep their points."""
     index = open_index(spark, path)
-    _put(_blocks(living_postings(index)), target, 0)
     _living(spark.read.parquet(f"{path}/forward"), index.dead).drop("batch").write.mode("overwrite").parquet(_folder(target, "forward", 0))
+    _put(_blocks(spark.read.parquet(_folder(target, "forward", 0))), target, 0)
     index.dead.limit(0).write.mode("overwrite").parquet(_folder(target, "dead", 0))
     index.weights.select("idx", "df").write.mode("overwrite").parquet(_folder(target, "terms", 0))
     spark.read.parquet(f"{path}/counts").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(_folder(target, "counts", 0))

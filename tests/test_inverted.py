@@ -85,3 +85,13 @@ def test_empty_index(spark, tmp_path, query_terms):
     inverted.add(frame(spark, []), str(tmp_path))
     hits, work = inverted.search(inverted.open_index(spark, str(tmp_path)), query_terms, 3)
     assert hits.count() == 0 and work.count() == 0
+
+
+def test_blocks_are_made_in_one_shuffle(spark):
+    """Points go to their block's task with their tokens in lists; tokens aren't shuffled one by one, nor dealt to buckets again."""
+    counts = index.counted(frame(spark, texts(1, range(60))).withColumn("block", F.col("point_id") % 4), F.col("text"), "block")
+    own = inverted._blocks(counts)
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = sorted((r["point_id"], i, n) for r in counts.collect() for i, n in zip(r["idxs"], r["tfs"], strict=True))
+    assert sorted((p, r["idx"], n) for r in own.collect() for p, n in zip(r["points"], r["tfs"], strict=True)) == rows
+    assert all(r["most"] == max(r["tfs"]) and r["n"] == len(r["points"]) and r["points"] == sorted(r["points"]) for r in own.collect())
