@@ -17,8 +17,8 @@ from ..functions.text import token_hash
 from ..sources.stored import stored
 from . import blocks, rerank
 
-#: At most so many queries are broadcast as rows; more of them go in blocks.
-QUERY_BLOCK = 2048
+#: At most so many queries are broadcast as rows; more of them go in blocks, as matrix products.
+QUERY_BLOCK = 16
 
 
 def dot(a: Column, b: Column) -> Column:

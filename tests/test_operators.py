@@ -365,3 +365,13 @@ def test_sentences_end_without_unicode_spaces(spark):
     docs = spark.createDataFrame([(1, "One.\u00a0\n\u3000Two. \u00a0Three.\n\u00a0\u2003\nFour\u00a0five.\u00a0")], "doc_id long, text string")
     got = [tuple(r) for r in chunking.sentences(docs, "doc_id").orderBy("pos").collect()]
     assert got == [(1, 0, "One."), (1, 1, "Two."), (1, 2, "Three."), (1, 3, "Four\u00a0five.")]
+
+
+def test_dense_queries_go_as_matrix_products(spark):
+    """A hundred queries and more made a row for each pair of query and point before."""
+    points = spark.range(300).select(F.col("id").alias("point_id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("id") * i + 1.0)).alias("dense"))
+    queries = points.filter("point_id % 3 = 0").select(F.col("point_id").alias("query_id"), F.col("dense").alias("vector"))
+    found = search.dense(points, queries, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert sorted((r["query_id"], r["point_id"]) for r in found.filter("rank = 1").collect()) == [(i, i) for i in range(0, 300, 3)]
