@@ -9,7 +9,8 @@ ends when few lists change. Reverse lists have no bound, so they are cut into bl
 part of NN-descent: pairs that a round misses are met in another.
 
 A query starts from nodes of the graph that its own vector suggests and, round by round, joins the neighbours of its best
-nodes, and the nodes that have these among their BACK nearest, until its best BEAM no longer change. How wide the beam has to be depends on the table, so recall is measured in the run: for
+nodes, and the nodes that have these among their BACK nearest, until its best BEAM no longer change. A query's beam is one row;
+lists and vectors are asked for by block, so rows grow with queries and blocks, not with pairs. How wide the beam has to be depends on the table, so recall is measured in the run: for
 SAMPLE queries the nearest nodes are found exactly, by products with all nodes, and as long as less than RECALL of them is
 in the beams, all queries go on with beams twice as wide. A doubling that gains nothing ends this with a warning. Scores are inner products in double precision on the original vectors.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Scratch, mixed, partitions
 
 K, BLOCK = 24, 64
 TREES, LEAF = 8, 1024
@@ -202,30 +203,164 @@ def both_ways(edges: DataFrame, back: int = BACK) -> DataFrame:
     return edges.select("src", "dst").unionByName(reverse).distinct()
 
 
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(ids.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % blocks
+
+
+def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (id, x) with the block of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_block(b.column("id").to_numpy(), blocks)), b.column("id"), b.column("x")], names=["block", "id", "x"])
+
+    return rows.select("id", "x").mapInArrow(run, f"block long, id long, x {rows.schema['x'].dataType.simpleString()}")
+
+
+def _dealt(ids: list[np.ndarray], blocks: int) -> Iterator[tuple]:
+    """(block, place of the query, its ids there) for each query and block."""
+    for i, own in enumerate(ids):
+        of = _block(own, blocks)
+        order = np.argsort(of, kind="stable")
+        of, own = of[order], own[order]
+        for part in np.split(np.arange(len(own)), np.flatnonzero(of[1:] != of[:-1]) + 1) if len(own) else ():
+            yield of[part[0]], i, own[part]
+
+
+def _lists(x: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(i) for i in x]))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], kind))
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the number of each row's."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _where_kept(asks: DataFrame, kept: DataFrame, answer, schema: str) -> DataFrame:
+    """Asks (block, query, ids, ...) go to the tasks that hold the blocks (block, id, x); answer(ids, x, batch of asks) makes rows of query and the rest."""
+    both = kept.withColumn("ask", F.lit(0)).unionByName(asks.withColumn("ask", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, ready = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, ask = b.column("block").to_numpy(), b.column("ask").to_numpy()
+            turns = np.flatnonzero((of[1:] != of[:-1]) | (ask[1:] != ask[:-1])) + 1
+            for s, e in zip([0, *turns.tolist()], [*turns.tolist(), len(of)], strict=True):
+                part = b.slice(s, e - s)
+                if of[s] != block:
+                    block, own, ready = of[s], [], None
+                if not ask[s]:
+                    own.append(part.select(["id", "x"]))
+                elif own:
+                    if ready is None:
+                        t = pa.Table.from_batches(own).combine_chunks().sort_by("id")
+                        ready = t.column("id").to_numpy(), t.column("x").combine_chunks()
+                    yield answer(*ready, part)
+
+    return both.repartition("block").sortWithinPartitions("block", "ask").mapInArrow(run, schema)
+
+
+def _neighbours(ids: np.ndarray, x: pa.ListArray, asks: pa.RecordBatch) -> pa.RecordBatch:
+    """What the asked nodes' lists hold, for each query."""
+    flat, size = _ragged(x)
+    start = np.cumsum(size) - size
+    want, n = _ragged(asks.column("ids"))
+    at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
+    out = []
+    for part, own in zip(np.split(at, np.cumsum(n)[:-1]), np.split(want, np.cumsum(n)[:-1]), strict=True):
+        part = part[ids[part] == own]  # a node without a list leads nowhere
+        out.append(np.unique(np.concatenate([flat[start[p] : start[p] + size[p]] for p in part])) if len(part) else np.empty(0, np.int64))
+    return pa.RecordBatch.from_arrays([asks.column("query"), _lists(out, pa.int64())], names=["query", "ids"])
+
+
+def _products(ids: np.ndarray, x: pa.ListArray, asks: pa.RecordBatch) -> pa.RecordBatch:
+    """The asked nodes that are no worse than a query's floor, with their inner products."""
+    dim = len(asks.column("v")[0])
+    own, q, floor = _matrix(x, dim), _matrix(asks.column("v"), dim), asks.column("floor").to_numpy()
+    want, n = _ragged(asks.column("ids"))
+    at, of = np.searchsorted(ids, want), np.repeat(np.arange(len(n)), n)
+    score = np.concatenate([np.einsum("ij,ij->i", own[at[i : i + 16384]], q[of[i : i + 16384]]) for i in range(0, len(at), 16384)] or [np.empty(0)])
+    use = score >= floor[of]
+    cuts = np.cumsum(np.bincount(of[use], minlength=len(n)))[:-1]
+    return pa.RecordBatch.from_arrays([asks.column("query"), _lists(np.split(want[use], cuts), pa.int64()), _lists(np.split(score[use], cuts), pa.float64())], names=["query", "ids", "scores"])
+
+
+STATE = "query long, v array<double>, nodes array<long>, scores array<double>, open array<int>"
+
+
+def state(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """A row for each query: its vector, and its entries (query, node, score), none of them open yet."""
+    each = entries.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))).alias("e"))
+    rows = each.join(queries.select(F.col("id").alias("query"), "v"), "query")
+    return rows.select("query", "v", F.col("e.node").alias("nodes"), F.transform("e.s", lambda s: -s).alias("scores"), F.transform("e.s", lambda s: F.lit(1)).alias("open"))
+
+
 def search(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
-    """(query, node, score, open): the best nodes found by greedy search from entries (query, node, score[, open]), no two equal. queries: id, v.
+    """(query, node, score): the best nodes found by greedy search from entries (query, node, score), no two equal. queries: id, v.
 
-    The beam's nodes are opened; as many again are kept behind it, open or not, so that a wider search goes on from them.
+    The beam's nodes are opened; as many again are kept behind it, open or not, so that a wider search goes on from them: entries may
+    also be a state(), which then comes back. edges: src, dst. A query is one row throughout. Nodes' lists and vectors stay in blocks,
+    and a hop asks each block once for a query's nodes there, so no row is made for a pair.
     """
+    if "nodes" not in entries.columns:
+        best = search(queries, state(queries, entries), edges, nodes, scratch, beam)
+        return best.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("r")).select("query", F.col("r.nodes").alias("node"), F.col("r.scores").alias("score"))
+    ways = edges if "block" in edges.columns else listed(edges, scratch)
+    kept = nodes if "block" in nodes.columns else vectors(nodes, scratch)
+    parts = partitions(kept.sparkSession)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            open_ = [np.asarray(o[:beam], bool) for o in b.column("open").to_pylist()]
+            dealt = list(_dealt([np.asarray(n[:beam], np.int64)[o] for n, o in zip(b.column("nodes").to_pylist(), open_, strict=True)], parts))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in dealt], pa.int64()), b.column("query").take(pa.array([d[1] for d in dealt], pa.int64())), _lists([d[2] for d in dealt], pa.int64())], names=["block", "query", "ids"])
 
-    def ranked(rows: DataFrame) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
-        return scratch.save(rows.withColumn("rank", rank).filter(F.col("rank") <= 2 * beam))
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [np.setdiff1d(np.concatenate(list(map(np.asarray, i))).astype(np.int64), n) for i, n in zip(b.column("ids").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
+            floors = np.array([s[2 * beam - 1] if len(s) >= 2 * beam else -np.inf for s in b.column("scores").to_pylist()])
+            dealt = list(_dealt(new, parts))
+            at = pa.array([d[1] for d in dealt], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in dealt], pa.int64()), b.column("query").take(at), b.column("v").take(at), pa.array(floors).take(at), _lists([d[2] for d in dealt], pa.int64())], names=["block", "query", "v", "floor", "ids"])
 
-    best = ranked(entries if "open" in entries.columns else entries.withColumn("open", F.lit(1)))
-    turn = (F.col("open") == 1) & (F.col("rank") <= beam)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, s, o, ids, scores in zip(*(b.column(c).to_pylist() for c in ("nodes", "scores", "open", "ids", "more")), strict=True):
+                n, s, o = np.asarray(n, np.int64), np.asarray(s, float), np.asarray(o, np.int32)
+                o = np.where(np.arange(len(o)) < beam, 0, o)
+                n, s = (np.concatenate([x, *map(np.asarray, y or [])]) for x, y in ((n, ids), (s, scores)))
+                n, o = n.astype(np.int64), np.concatenate((o, np.ones(len(n) - len(o), np.int32)))
+                order = np.lexsort((n, -s))[: 2 * beam]
+                out.append((n[order], s[order], o[order]))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("v"), *(_lists(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int32()), strict=True))], names=["query", "v", "nodes", "scores", "open"])
+
+    turn = F.exists(F.slice("open", 1, beam), lambda o: o == 1)
+    best = entries
     for _ in range(ENDLESS):
-        frontier = best.filter(turn).join(edges, best["node"] == edges["src"]).select("query", F.col("dst").alias("node")).distinct()
-        fresh = frontier.join(best.select("query", "node"), ["query", "node"], "left_anti")
-        scored = _scored(fresh, queries, nodes).withColumn("open", F.lit(1))
-        after = ranked(best.withColumn("open", F.when(turn, 0).otherwise(F.col("open"))).drop("rank").unionByName(scored))
-        scratch.drop(best)
-        best = after
+        asks = best.filter(turn).mapInArrow(opened, "block long, query long, ids array<long>")
+        met = _where_kept(asks, ways, _neighbours, "query long, ids array<long>").groupBy("query").agg(F.collect_list("ids").alias("ids"))
+        new = met.join(best.select("query", "v", "nodes", "scores"), "query").select("query", "v", "nodes", "scores", "ids").mapInArrow(fresh, "block long, query long, v array<double>, floor double, ids array<long>")
+        found = _where_kept(new, kept, _products, "query long, ids array<long>, scores array<double>").groupBy("query").agg(F.collect_list(F.struct("ids", "scores")).alias("r"))
+        rows = best.join(found.select("query", F.col("r.ids").alias("ids"), F.col("r.scores").alias("more")), "query", "left")
+        best = scratch.save(rows.mapInArrow(merged, STATE))
         if best.filter(turn).isEmpty():
-            break
-    else:
-        raise RuntimeError("beams have not settled")
-    return best.select("query", "node", "score", "open")
+            return best
+    raise RuntimeError("beams have not settled")
+
+
+def listed(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each node's list (block, id, x) of those that it leads to. edges: src, dst."""
+    return scratch.save(_blocks(edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("x")), partitions(edges.sparkSession)))
+
+
+def vectors(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each node's vector (block, id, x)."""
+    return scratch.save(_blocks(nodes.select("id", F.col("v").alias("x")), partitions(nodes.sparkSession)))
 
 
 def _exact(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
@@ -247,27 +382,31 @@ def _exact(queries: DataFrame, nodes: DataFrame, dim: int, k: int) -> DataFrame:
 
 
 def _held(best: DataFrame, exact: DataFrame) -> float:
-    """The share of the exact queries' nearest nodes that best (query, node, score) holds; sums in another order differ a little."""
-    near = best.join(exact, "query").filter(F.col("score") >= F.col("least") - 1e-9 * F.abs("least"))
-    per = near.groupBy("query", "n").agg(F.count("*").alias("c")).agg(F.sum(F.least("c", "n"))).first()[0]
+    """The share of the exact queries' nearest nodes that best (a state) holds; sums in another order differ a little."""
+    near = best.join(exact, "query").select("n", F.size(F.filter("scores", lambda s: s >= F.col("least") - 1e-9 * F.abs("least"))).alias("c"))
+    per = near.agg(F.sum(F.least("c", "n"))).first()[0]
     total = exact.agg(F.sum("n")).first()[0]
     return (per or 0) / total if total else 1.0
 
 
 def widened(queries: DataFrame, entries: DataFrame, edges: DataFrame, nodes: DataFrame, n: int, dim: int, k: int, scratch: Scratch) -> DataFrame:
-    """Search with beams that are doubled until they hold RECALL of the k nearest of a sample of the queries."""
+    """(query, node): the k nearest nodes, and those that are as near but for rounding, by search with beams that are doubled until they
+    hold RECALL of the k nearest of a sample of the queries."""
     exact = scratch.save(_exact(queries, nodes, dim, k))
+    ways, kept = listed(edges, scratch), vectors(nodes, scratch)
     beam = max(BEAM, k)
-    best = search(queries, entries, edges, nodes, scratch, beam)
+    best = search(queries, scratch.save(state(queries, entries)), ways, kept, scratch, beam)
     held = _held(best, exact)
     while held < RECALL and beam < n:
         beam, before = 2 * beam, held
-        best = search(queries, best, edges, nodes, scratch, beam)
+        best = search(queries, best, ways, kept, scratch, beam)
         held = _held(best, exact)
         if held < RECALL and held - before < 0.002:
             warnings.warn(f"beams of {beam} hold {held:.3f} of the nearest, as narrower ones do", stacklevel=2)
             break
-    return best
+    least = F.coalesce(F.get("scores", F.lit(k - 1)), F.lit(float("-inf")))
+    near = best.withColumn("least", least - 1e-9 * F.abs(least)).select("query", F.explode(F.filter(F.arrays_zip("nodes", "scores"), lambda r: r["scores"] >= F.col("least"))).alias("r"))
+    return near.select("query", F.col("r.nodes").alias("node"))
 
 
 def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
@@ -290,7 +429,7 @@ def nearest(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embed
     queries = scratch.save(nodes.join(at, nodes["id"] == at["node"], "left_semi").select("id", "v"))
     itself = queries.select(F.col("id").alias("query"), F.col("id").alias("node"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     entries = itself.unionByName(edges.join(at, edges["src"] == at["node"], "left_semi").select(F.col("src").alias("query"), F.col("dst").alias("node"), "score"))
-    found = scratch.save(_scored(widened(queries, entries, ways, nodes, n, dim, k + 1, scratch).select("query", "node"), queries, nodes))
+    found = scratch.save(_scored(widened(queries, entries, ways, nodes, n, dim, k + 1, scratch), queries, nodes))
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id", "row"))
     near = members.withColumn("r", order).filter(F.col("r") <= k + 1).drop("r")
     listed = found.join(near, "node").select("query", "score", "vec_id", "row")

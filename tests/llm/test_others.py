@@ -234,6 +234,20 @@ def test_search_goes_on_until_beams_settle(spark):
     assert sorted(r["node"] for r in found.collect()) == list(range(13))
 
 
+def test_search_keeps_one_row_for_each_query(spark):
+    """Beams are arrays, so rows don't grow with pairs; a wider search goes on from the beams of a narrower one."""
+    nodes = spark.createDataFrame([(i, [i + 1.0]) for i in range(13)], "id long, v array<double>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    asked = nodes.filter("id < 2")
+    entries = spark.createDataFrame([(0, 0, 1.0), (1, 1, 4.0)], "query long, node long, score double")
+    scratch = Scratch(spark)
+    best = ann.search(asked, ann.state(asked, entries), edges, nodes, scratch, 2)
+    wider = ann.search(asked, best, edges, nodes, scratch, 7)
+    for found in (best, wider):
+        got = {r["query"]: (r["nodes"], r["scores"]) for r in found.collect()}
+        assert found.count() == 2 and got == {q: ([12, 11, 10, 9], [(q + 1.0) * x for x in (13, 12, 11, 10)]) for q in (0, 1)}
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (20, [0.0, 0.0]), (40, [float("nan"), 1.0]), (60, [float("inf"), 1.0]), (80, [None, 1.0]), (100, []), (None, [1.0, 1.0]), (120, [-1.0, 0.0])]
     assert recall(spark, rows, 20) == 1.0
