@@ -248,6 +248,48 @@ def test_search_keeps_one_row_for_each_query(spark):
         assert found.count() == 2 and got == {q: ([12, 11, 10, 9], [(q + 1.0) * x for x in (13, 12, 11, 10)]) for q in (0, 1)}
 
 
+def test_hops_leave_lists_and_vectors_where_they_are(spark, monkeypatch):
+    """A hop reads the nodes' lists by bucket: queries are shuffled, the table is not."""
+    nodes = spark.createDataFrame([(i, [i + 1.0]) for i in range(40)], "id long, v array<double>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    plans, save = [], Scratch.save
+
+    def watched(self, df):
+        out = save(self, df)
+        if "open" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    found = ann.search(nodes.filter("id < 2"), spark.createDataFrame([(0, 0, 1.0), (1, 1, 4.0)], "query long, node long, score double"), edges, nodes, Scratch(spark), 3)
+    assert {r["node"] for r in found.collect()} == set(range(34, 40))
+    hops = [p for p in plans if "products" in p]
+    assert len(hops) > 10 and all("Bucketed: true" in p for p in hops)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ways_")]
+
+
+def test_larger_tables_start_with_wider_beams(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BEAM", 21)
+    monkeypatch.setattr(ann, "BEAM_NODES", 200)
+    beams, search = [], ann.search
+    monkeypatch.setattr(ann, "search", lambda *a: beams.append(a[5]) or search(*a))
+    v = np.random.default_rng(5).standard_normal((800, 8)).astype(np.float32).astype(float)
+    assert recall(spark, list(enumerate(v.tolist())), 20) >= 0.95 and beams[0] == 42
+
+
+def test_long_lists_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PIECE", 100)
+    v = np.random.default_rng(6).standard_normal((700, 8)).astype(np.float32).astype(float)
+    assert recall(spark, list(enumerate(v.tolist())), 20) >= 0.95
+
+
+def test_doubles_stay_doubles(spark):
+    """Vectors that are equal as floats are still told apart where the table has doubles."""
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(60)] + [(60, [1e60, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 40, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [60, 59, 58, 57, 56]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (20, [0.0, 0.0]), (40, [float("nan"), 1.0]), (60, [float("inf"), 1.0]), (80, [None, 1.0]), (100, []), (None, [1.0, 1.0]), (120, [-1.0, 0.0])]
     assert recall(spark, rows, 20) == 1.0
