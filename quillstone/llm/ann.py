@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import uuid
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -45,6 +45,8 @@ BEAM_NODES = 12_800
 BACK = 8
 #: Bytes of vectors in a row of the lists that are searched, and in a group of such rows: what a task holds of them follows these.
 PIECE, ROWS_BYTES = 2048, 8 << 20
+#: The share of queries that may still go on when a search is asked whether its beams are wide enough.
+FEW = 0.2
 #: Queries whose nearest are found exactly, and the share of these that the beams have to hold.
 SAMPLE, RECALL = 64, 0.95
 #: Descent ends when so small a share of the lists' entries is new.
@@ -371,21 +373,22 @@ def _entered(queries: DataFrame, lists: DataFrame, kind: str) -> DataFrame:
     return queries.join(lists, "id", "left").select("id", "v", "ids", "scores").mapInArrow(run, STATE)
 
 
-def search(queries: DataFrame, entries: DataFrame, edges: DataFrame | Ways, nodes: DataFrame, scratch: Scratch, beam: int = BEAM) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, edges: DataFrame | Ways, nodes: DataFrame, scratch: Scratch, beam: int = BEAM, enough: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """(query, node, score): the best nodes found by greedy search from entries (query, node, score), no two equal. queries: id, v.
 
     The beam's nodes are opened; as many again are kept behind it, open or not, so that a wider search goes on from them: entries may
     also be a state(), which then comes back. edges: src, dst, or Ways, which stay where they are: a query's vector goes to the lists of the
-    nodes that it opens, and only those that belong into its beam come back.
+    nodes that it opens, and only those that belong into its beam come back. enough(state): whether a search of which few queries
+    still go on is worth its last hops; otherwise it ends there, for a wider one to go on.
     """
     if not isinstance(edges, Ways):
         own = Ways(edges, packed(nodes, "<f8"), "<f8", scratch)
         try:
-            return search(queries, entries, own, nodes, scratch, beam)
+            return search(queries, entries, own, nodes, scratch, beam, enough)
         finally:
             own.drop()
     if "nodes" not in entries.columns:
-        best = search(queries, scratch.save(state(queries, entries, edges.kind)), edges, nodes, scratch, beam)
+        best = search(queries, scratch.save(state(queries, entries, edges.kind)), edges, nodes, scratch, beam, enough)
         return best.select("query", F.explode(F.arrays_zip("nodes", "scores")).alias("r")).select("query", F.col("r.nodes").alias("node"), F.col("r.scores").alias("score"))
     kind = edges.kind
 
@@ -433,7 +436,7 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame | Ways, node
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("v"), *(_lists(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int32()), strict=True))], names=["query", "v", "nodes", "scores", "open"])
 
     turn = F.exists(F.slice("open", 1, beam), lambda o: o == 1)
-    best, settled = entries, []
+    best, settled, few = entries, [], int(FEW * entries.count())
     for _ in range(ENDLESS):
         active = best.filter(turn)
         asks = active.mapInArrow(opened, "id long, query long, floor double, q binary")
@@ -443,8 +446,11 @@ def search(queries: DataFrame, entries: DataFrame, edges: DataFrame | Ways, node
         rows = active.join(found.select("query", F.col("r.ids").alias("ids"), F.col("r.more").alias("more")), "query", "left")
         settled.append(best)
         best = scratch.save(rows.mapInArrow(kept, STATE))
-        if best.filter(turn).isEmpty():
-            after = scratch.save(reduce(DataFrame.unionByName, [s.filter(~turn) for s in settled], best))
+        going, whole = best.filter(turn).count(), reduce(DataFrame.unionByName, [s.filter(~turn) for s in settled], best)
+        if going and going <= few and enough is not None:
+            going, enough = going if enough(whole) else 0, None
+        if not going:
+            after = scratch.save(whole)
             scratch.drop(best, *settled[1:])
             return after
     raise RuntimeError("beams have not settled")
@@ -483,14 +489,16 @@ def widened(queries: DataFrame, lists: DataFrame, nodes: DataFrame, n: int, dim:
     ways = Ways(both_ways(lists), nodes, kind, scratch)
     try:
         beam = max(k, int(BEAM * max(1.0, (n / BEAM_NODES) ** 0.5)))
-        best = search(queries, scratch.save(_entered(queries, lists, kind)), ways, nodes, scratch, beam)
+        likely = lambda state: _held(state, exact) >= RECALL or beam >= n
+        best = search(queries, scratch.save(_entered(queries, lists, kind)), ways, nodes, scratch, beam, likely)
         held = _held(best, exact)
         while held < RECALL and beam < n:
             beam, before = 2 * beam, held
-            best = search(queries, best, ways, nodes, scratch, beam)
+            best = search(queries, best, ways, nodes, scratch, beam, likely)
             held = _held(best, exact)
             if held < RECALL and held - before < 0.002:
                 warnings.warn(f"beams of {beam} hold {held:.3f} of the nearest, as narrower ones do", stacklevel=2)
+                best = search(queries, best, ways, nodes, scratch, beam)  # to its end
                 break
     finally:
         ways.drop()

@@ -268,6 +268,17 @@ def test_hops_leave_lists_and_vectors_where_they_are(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("ways_")]
 
 
+def test_narrow_search_ends_early_for_a_wider_one(spark, monkeypatch):
+    """A search whose beams won't do is left before its last hops, and the wider one goes on to where it would have come to anyway."""
+    monkeypatch.setattr(ann, "FEW", 1.0)
+    nodes = spark.createDataFrame([(i, [i + 1.0]) for i in range(13)], "id long, v array<double>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    asked, scratch, seen = nodes.filter("id = 0"), Scratch(spark), []
+    best = ann.search(asked, ann.state(asked, spark.createDataFrame([(0, 0, 1.0)], "query long, node long, score double")), edges, nodes, scratch, 2, lambda s: bool(seen.append(s.count())))
+    assert seen == [1] and best.first()["nodes"] == [1, 0]
+    assert ann.search(asked, best, edges, nodes, scratch, 3).first()["nodes"] == [12, 11, 10, 9, 8, 7]
+
+
 def test_larger_tables_start_with_wider_beams(spark, monkeypatch):
     monkeypatch.setattr(ann, "BEAM", 21)
     monkeypatch.setattr(ann, "BEAM_NODES", 200)
